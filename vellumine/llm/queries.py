@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vellumine.llm import merkle
 from vellumine.llm.top_per_group import top_per_group
 from vellumine.sources.tables import table
 
@@ -15,5 +17,20 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_per_group(table(spark, folder, "citations"), "document_id", "support_score", "cite_id", 3).select("document_id", "cite_id")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks of the same text and documents of the same file hash, whatever the form they are written in."""
+    chunks = merkle.collapse(table(spark, folder, "chunks"), "chunk_id", *merkle.text_node(F.col("text")))
+    code = merkle.hex_code(F.col("sha256"))
+    files = merkle.collapse(table(spark, folder, "document_status"), "document_id", F.md5(code), code)
+    pairs = [merkle.copies_of(d, i).withColumn("record_table", F.lit(n)) for d, i, n in ((chunks, "chunk_id", "chunks"), (files, "document_id", "document_status"))]
+    return pairs[0].unionByName(pairs[1]).select("record_table", "kept_id", "copy_id")
+
+
+def p7_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """One record for each text of `chunks`, with the number of copies."""
+    chunks = merkle.collapse(table(spark, folder, "chunks"), "chunk_id", *merkle.text_node(F.col("text")))
+    return chunks.where("chunk_id = kept_id").select("chunk_id", "copies")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
