@@ -7,11 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumine.functions.text import token_count
 from vellumine.llm import merkle
+from vellumine.llm.boundary_split import split_oversized
+from vellumine.llm.mixing import mixture, source_report
+from vellumine.llm.packing import pack
 from vellumine.llm.top_per_group import top_per_group
 from vellumine.sources.tables import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks that had to be cut."""
+    return split_oversized(table(spark, folder, "chunks"), "chunk_id", "text").where("pieces > 1").select("chunk_id").distinct()
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chunk's text in pieces within the limit."""
+    return split_oversized(table(spark, folder, "chunks"), "chunk_id", "text")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """The three best citations of every document."""
     return top_per_group(table(spark, folder, "citations"), "document_id", "support_score", "cite_id", 3).select("document_id", "cite_id")
@@ -32,5 +46,42 @@ def p7_copies(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.where("chunk_id = kept_id").select("chunk_id", "copies")
 
 
+def _tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", "source", "text", token_count("text").alias("tokens"))
+
+
+def _profiles(spark: SparkSession, folder: str) -> dict[str, int]:
+    rows = table(spark, folder, "pack_profiles").where("profile is not null and capacity_tokens > 0").collect()  # a fixed table of settings
+    return {r.profile: r.capacity_tokens for r in rows}
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that fit no container whole, by profile."""
+    packed = pack(_tokens(spark, folder), "doc_id", "tokens", _profiles(spark, folder))
+    return packed.where("pieces > 1").select("profile", "doc_id").distinct()
+
+
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill of the containers of each profile."""
+    packed = pack(_tokens(spark, folder), "doc_id", "tokens", _profiles(spark, folder))
+    each = packed.groupBy("profile", "capacity", "container").agg(F.sum("tokens").alias("filled"))
+    total = each.groupBy("profile", "capacity").agg(F.count(F.lit(1)).alias("containers"), F.sum("filled").alias("tokens"))
+    return total.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4))
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return mixture(_tokens(spark, folder), table(spark, folder, "mix_targets"), "doc_id", "source", "text", "tokens")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources that cannot supply their share of the mixture."""
+    return source_report(*_mix(spark, folder)).where("short").select("source")
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and reached share of each source."""
+    return source_report(*_mix(spark, folder)).select("source", "target_share", "reached_share", "reached_tokens")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
