@@ -12,6 +12,7 @@ from vellumine.llm import merkle
 from vellumine.llm.boundary_split import split_oversized
 from vellumine.llm.mixing import mixture, source_report
 from vellumine.llm.packing import pack
+from vellumine.llm.site_lines import site_lines, without_lines
 from vellumine.llm.top_per_group import top_per_group
 from vellumine.sources.tables import table
 
@@ -31,6 +32,17 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return top_per_group(table(spark, folder, "citations"), "document_id", "support_score", "cite_id", 3).select("document_id", "cite_id")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of `pages.text` that stand in many documents of their source."""
+    return site_lines(table(spark, folder, "pages"), ["document_id", "page_number"], "document_id", "source", "text")
+
+
+def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page without its site's lines."""
+    pages, keys = table(spark, folder, "pages").select("document_id", "page_number", "source", "text"), ["document_id", "page_number"]
+    return without_lines(pages, keys, "text", site_lines(pages, keys, "document_id", "source", "text"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the same text and documents of the same file hash, whatever the form they are written in."""
     chunks = merkle.collapse(table(spark, folder, "chunks"), "chunk_id", *merkle.text_node(F.col("text")))
