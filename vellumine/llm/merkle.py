@@ -16,19 +16,15 @@ from vellumine.session import written
 
 # Characters that show nothing.
 INVISIBLE = "[\\u00AD\\u034F\\u061C\\u115F\\u1160\\u17B4\\u17B5\\u180B-\\u180E\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u206F\\uFE00-\\uFE0F\\uFEFF]+"
-SPACE = "[\\s\\p{Z}\\u0085]+"
-# A mark stays only with a digit right before and right after it.
-_LOOSE_MARK = "(?<!\\p{Nd})\\p{P}+|\\p{P}(?!\\p{Nd})"
+# White space and marks go; a mark stays only with a digit right before and right after it.
+_LOOSE = "[\\s\\p{Z}\\u0085]+|\\p{P}(?:(?!\\p{Nd})|(?<!\\p{Nd}\\p{P}))"
 _FIELD = "(?s)^[\\s\\p{Z}\\p{P}]*\\p{L}[^:]{0,80}:.*[^\\s\\p{Z}\\p{P}].*$"
 
 
 def normal_leaf(text: Column) -> Column:
     """A text without what only formats it: invisible characters, case, loose punctuation, all white space."""
-    t = F.regexp_replace(text, INVISIBLE, "")
-    t = F.replace(F.lower(t), F.lit("ß"), F.lit("ss"))
-    # twice: of "a.,b" the first pass may leave a mark whose neighbour was a mark
-    t = F.regexp_replace(F.regexp_replace(t, _LOOSE_MARK, ""), _LOOSE_MARK, "")
-    return F.regexp_replace(t, SPACE, "")
+    t = F.lower(F.regexp_replace(text, INVISIBLE, ""))
+    return F.regexp_replace(F.replace(t, F.lit("ß"), F.lit("ss")), _LOOSE, "")
 
 
 def _digest(canonical: Column) -> Column:
@@ -39,8 +35,8 @@ def _field_parts(text: Column) -> Column:
     return F.filter(F.split(text, "[|;]"), lambda part: part.rlike("[\\p{L}\\p{N}]"))
 
 
-def text_node(text: Column) -> tuple[Column, Column]:
-    """(digest, canonical text) of a string: a leaf, or an unordered node if it is a list of `label: value` fields."""
+def _fields(text: Column) -> Column:
+    """The sorted (h, c) of the fields of a list of `label: value` fields; null for any other text."""
     parts = _field_parts(text)
     is_list = text.contains(":") & text.rlike("[|;]") & (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(_FIELD))
 
@@ -49,11 +45,27 @@ def text_node(text: Column) -> tuple[Column, Column]:
         label, value = normal_leaf(F.substring(part, F.lit(1), at - 1)), normal_leaf(F.substring(part, at + 1, F.length(part)))
         return F.struct(_digest(F.concat(_digest(label), _digest(value))).alias("h"), F.concat(label, F.lit("\u0001"), value).alias("c"))
 
-    fields = F.array_sort(F.transform(parts, field))
+    return F.when(is_list, F.array_sort(F.transform(parts, field)))
+
+
+def _list_node(fields: Column) -> tuple[Column, Column]:
     node = _digest(F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda x: x["h"]), "")))
-    spelled = F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda x: x["c"]), "\u0002"))
-    leaf = normal_leaf(text)
-    return F.when(is_list, node).otherwise(_digest(leaf)), F.when(is_list, spelled).otherwise(leaf)
+    return node, F.concat(F.lit("{"), F.array_join(F.transform(fields, lambda x: x["c"]), "\u0002"))
+
+
+def text_node(text: Column) -> tuple[Column, Column]:
+    """(digest, canonical text) of a string: a leaf, or an unordered node if it is a list of `label: value` fields."""
+    fields, leaf = _fields(text), normal_leaf(text)
+    h, c = _list_node(fields)
+    return F.coalesce(h, _digest(leaf)), F.coalesce(c, leaf)
+
+
+def text_nodes(df: DataFrame, text: str, digest: str = "__h", canonical: str = "__c") -> DataFrame:
+    """df with the digest and canonical text of a text column; every text is normalised once."""
+    nodes = df.withColumn("__fields", _fields(F.col(text)))
+    nodes = nodes.withColumn("__leaf", F.when(F.col("__fields").isNull(), normal_leaf(F.col(text))))
+    h, c = _list_node(F.col("__fields"))
+    return nodes.withColumn(canonical, F.coalesce(c, F.col("__leaf"))).withColumn(digest, F.coalesce(h, _digest(F.col("__leaf")))).drop("__fields", "__leaf")
 
 
 def node(value: Column, kind: T.DataType) -> tuple[Column, Column]:

@@ -45,7 +45,8 @@ def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the same text and documents of the same file hash, whatever the form they are written in."""
-    chunks = merkle.collapse(table(spark, folder, "chunks"), "chunk_id", *merkle.text_node(F.col("text")))
+    texts = merkle.text_nodes(table(spark, folder, "chunks").select("chunk_id", "text"), "text")
+    chunks = merkle.collapse(texts, "chunk_id", F.col("__h"), F.col("__c"))
     code = merkle.hex_code(F.col("sha256"))
     files = merkle.collapse(table(spark, folder, "document_status"), "document_id", F.md5(code), code)
     pairs = [merkle.copies_of(d, i).withColumn("record_table", F.lit(n)) for d, i, n in ((chunks, "chunk_id", "chunks"), (files, "document_id", "document_status"))]
@@ -54,7 +55,8 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_copies(spark: SparkSession, folder: str) -> DataFrame:
     """One record for each text of `chunks`, with the number of copies."""
-    chunks = merkle.collapse(table(spark, folder, "chunks"), "chunk_id", *merkle.text_node(F.col("text")))
+    texts = merkle.text_nodes(table(spark, folder, "chunks").select("chunk_id", "text"), "text")
+    chunks = merkle.collapse(texts, "chunk_id", F.col("__h"), F.col("__c"))
     return chunks.where("chunk_id = kept_id").select("chunk_id", "copies")
 
 
