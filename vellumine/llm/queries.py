@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import token_count
-from vellumine.llm import merkle
+from vellumine.llm import language, merkle, pair_defects
 from vellumine.llm.boundary_split import split_oversized
 from vellumine.llm.mixing import mixture, source_report
 from vellumine.llm.packing import pack
@@ -43,6 +43,28 @@ def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
     return without_lines(pages, keys, "text", site_lines(pages, keys, "document_id", "source", "text"))
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Answered requests whose answer is of no use, with the defect."""
+    model = language.train(table(spark, folder, "chunks"), "chunk_id", "text", "language")
+    return pair_defects.defects(table(spark, folder, "chat_requests"), table(spark, folder, "chat_responses"), "request_id", "query", "answer", model)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks without the right language code, with it, and pages of several languages, with each."""
+    chunks, pages = table(spark, folder, "chunks").select("chunk_id", "text", "language"), table(spark, folder, "pages").select("page_id", "text")
+    model = language.train(chunks, "chunk_id", "text", "language")
+    given = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", language.label_code(F.col("language")).alias("given"))
+    right = language.identify(chunks, "chunk_id", "text", model).join(given, "chunk_id").where("given is null or given != language")
+    several = language.identify(pages, "page_id", "text", model).select("page_id", F.array_distinct("stretches.language").alias("languages")).where("size(languages) > 1")
+    return right.select(F.col("chunk_id").alias("record_id"), "language").unionByName(several.select(F.col("page_id").alias("record_id"), F.explode("languages").alias("language")))
+
+
+def p6_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language, confidence and stretches of every page."""
+    model = language.train(table(spark, folder, "chunks"), "chunk_id", "text", "language")
+    return language.identify(table(spark, folder, "pages"), "page_id", "text", model)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of the same text and documents of the same file hash, whatever the form they are written in."""
     texts = merkle.text_nodes(table(spark, folder, "chunks").select("chunk_id", "text"), "text")
