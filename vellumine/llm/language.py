@@ -48,6 +48,12 @@ def ordinary(words: list[str]) -> int:
     return low if low * 5 > len(words) or len(words) < 10 else sum(1 for w in words if len(w) > 1)
 
 
+def speaking(words: list[str]) -> list[str]:
+    """Words that tell a language: without the names inside a sentence that has ordinary words enough."""
+    low = sum(1 for w in words if len(w) > 1 and not w[0].isupper())
+    return words if low < 3 else [w for k, w in enumerate(words) if not k or not w[0].isupper()]
+
+
 @dataclass
 class Model:
     """Embeddings E (buckets x dim), softmax W (dim x codes), bias b; `temperature` and `floor` for the decision."""
@@ -88,6 +94,7 @@ class Model:
             found = WORD.findall(t)
             words[j] = len(found)
             plain[j] = ordinary(found)
+            found = speaking(found)
             ids += [self.word(w.lower()) for w in found]
             owner += [j] * len(found)
         n = len(texts)
@@ -152,8 +159,8 @@ def fit(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int =
 
 
 def _features(text: str, buckets: int) -> np.ndarray:
-    words = WORD.findall(text.lower())
-    return np.concatenate([subwords(w, buckets) for w in words]) if words else np.zeros(0, dtype=np.int64)
+    words = speaking(WORD.findall(text))
+    return np.concatenate([subwords(w.lower(), buckets) for w in words]) if words else np.zeros(0, dtype=np.int64)
 
 
 def train(df: DataFrame, ident: str, text: str, language: str, sample: int = 4000) -> Model:

@@ -97,6 +97,10 @@ def broken_off(answers: DataFrame, spike: int = 10) -> DataFrame:
     rows = written(rows, "pair-sentences")
     complete = rows.select(F.explode(F.filter("parts", lambda s: s.rlike(_END))).alias("s")).select(F.explode(_views(F.col("s"))).alias("s"))
     complete = complete.select(F.regexp_replace(masked(F.col("s")), "[.!?।॥\"'”’»)\\]]+$", "").alias("m")).distinct()
+    # a begun sentence after complete ones breaks off, however short; so does a long run of ordinary words
+    words = F.regexp_count("tail", F.lit("(?<!\\p{L})[\\p{Ll}\\u0900-\\u0D7F][\\p{L}\\p{M}]+"))
+    begun = F.element_at("parts", -2).rlike(_END) & F.col("tail").rlike("[\\p{Ll}\\u0900-\\u0D7F]{2}") & F.col("a").contains(F.concat(F.element_at("parts", -2), F.lit(" "), F.col("tail")))
+    plainly = rows.where("open").where(F.when(F.size("parts") > 1, begun).otherwise(False) | (words >= 5)).select("i", F.lit(True).alias("plainly"))
     # only a tail with an ordinary word can be a sentence; figures, names and codes are answers of their own
     tails = rows.where("open").select("i", "n", "tail", F.explode(_views(F.col("tail"))).alias("s")).withColumn("m", F.rtrim(masked(F.col("s"))))
     tails = tails.where(F.col("m").rlike("\\p{Ll}{2}|[\\u0900-\\u0D7F]{2}"))
@@ -126,8 +130,8 @@ def broken_off(answers: DataFrame, spike: int = 10) -> DataFrame:
     last = F.lower(F.regexp_extract("tail", "([\\p{L}\\p{M}]+)[^\\p{L}\\p{M}]*$", 1))
     seen = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.array_join(F.filter("parts", lambda s: s.rlike(_END)), " ")), F.lit("[\\p{L}\\p{M}]+"), F.lit(0)))).alias("w")).distinct().withColumn("known", F.lit(True))
     whole = met.where("equal").withColumn("w", last).join(seen, "w", "left").groupBy("i").agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("known"))
-    cut = met.groupBy("i").agg(F.bool_or("cut").alias("cut")).join(whole, "i", "left")
-    return cut.where("cut and not coalesce(known, false)").select("i")
+    cut = met.groupBy("i").agg(F.bool_or("cut").alias("cut")).join(whole, "i", "left").join(plainly, "i", "full")
+    return cut.where("(coalesce(cut, false) or coalesce(plainly, false)) and not coalesce(known, false)").select("i")
 
 
 def defects(requests: DataFrame, responses: DataFrame, ident: str, query: str, answer: str, model: language.Model) -> DataFrame:
