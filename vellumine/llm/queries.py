@@ -13,6 +13,7 @@ from vellumine.llm.boundary_split import split_oversized
 from vellumine.llm.mixing import mixture, source_report
 from vellumine.llm.packing import pack
 from vellumine.llm.site_lines import site_lines, without_lines
+from vellumine.llm.template_residue import residue
 from vellumine.llm.top_per_group import top_per_group
 from vellumine.sources.tables import table
 
@@ -119,5 +120,16 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return source_report(*_mix(spark, folder)).select("source", "target_share", "reached_share", "reached_tokens")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are residue in place of content."""
+    return residue(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with content of their own."""
+    docs = table(spark, folder, "documents")
+    return docs.join(residue(docs, "doc_id", "text"), "doc_id", "left_anti").select("doc_id", "source", "lang", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
