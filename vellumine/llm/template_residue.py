@@ -18,7 +18,7 @@ from vellumine.session import written
 # How unfilled slots look (wrapped names, defaults of languages and sheets, blanks).
 SUSPECT = (
     r"(?=[{$\[<«@%_#(?.xXNuTFn₹])(?:\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|\$?\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|\[[^\[\]\n]{1,60}\]|<<[^<>\n]{1,60}>>|<[^<>\n]{1,60}>|«[^«»\n]{1,60}»"
-    r"|@@[^@\n]{1,60}@@|%\p{L}[\p{L}\p{M}_. ]{0,40}%|__\p{L}[^_\n]{0,20}(?:_[^_\n]{1,20}){0,3}__|#(?:REF!|N/A|NAME\?|VALUE!|DIV/0!|NULL!|NUM!)|\(\p{Ll}[^()\p{Nd}\n]{2,40}\)"
+    r"|@@[^@\n]{1,60}@@|%\p{L}[\p{L}\p{M}_. ]{0,40}%|__[\p{L}\p{N}][^_\n]{0,20}(?:_[^_\n]{1,20}){0,3}__|#(?:REF!|N/A|NAME\?|VALUE!|DIV/0!|NULL!|NUM!)|\(\p{Ll}[^()\p{Nd}\n]{2,40}\)"
     r"|\b(?:NaN|undefined|null|None|TBD|TBA|TBC|TODO|FIXME|N/A)\b|\bX{3,}\b|(?:₹ ?)?\bx{2,}(?:[,.]x{2,})+|\?{2,}|_{3,}|\.{4,}|₹(?=\s+\p{L}))"
 )
 # Lines of error pages, of script, cookie and sign-in notices, and of filler; each is a sentence's opening.
@@ -40,7 +40,7 @@ NOTICES = (
     r".{0,60}जावास्क्रिप्ट (चालू|सुरू|सक्षम) कर.{0,20}|.{0,40}कुकी(ज|ज़)? (चालू|सुरू|स्वीकार).{0,20}|(please )?(sign|log) in (again )?(to|before)\b.*|(bitte melden sie sich an|veuillez vous connecter|inicie sesión)\b.*",
 )
 FILLERS = (
-    r"(sample|dummy|placeholder|filler|example) (text|content|paragraph|heading|copy)\b.{0,40}|this is (a )?(dummy|sample|placeholder)\b.*|your (heading|content|text|title|copy|message) (goes )?here\b.*|replace this (paragraph|text|section|sentence|line)\b.*|(insert|add|enter|type|put) (your |the )?(text|content|title|heading) here\b.*|(content|text|details|more) (is )?(coming soon|to follow|to come)\b.*",
+    r"(sample|dummy|placeholder|filler|example) (text|content|paragraph|heading|copy)\b.{0,40}|this is (a )?(dummy|sample|placeholder)\b.*|your (heading|content|text|title|copy|message) (goes )?here\b.*|replace this (paragraph|text|section|sentence|line)\b.*|(insert|add|enter|type|write|put) [^.]{1,60} here[.!]?$|(content|text|details|more) (is )?(coming soon|to follow|to come)\b.*",
     r"texte (à remplacer|de remplissage|d'exemple|factice)\b.*|(insérez|saisissez|entrez) (votre )?texte\b.*|texto de (relleno|ejemplo|prueba|muestra)\b.*|(escriba|inserte) (su |el )?texto\b.*|(hier steht|dies ist|das ist) (ein )?(blindtext|platzhalter|beispieltext|mustertext)\b.*|(blindtext|platzhaltertext)[.!]?$|hier (ihren )?text (einfügen|eingeben)\b.*",
     r"येथे (आपला )?मजकूर.{0,20}|यहां (अपना )?(पाठ|टेक्स्ट).{0,20}|यहाँ (अपना )?(पाठ|टेक्स्ट).{0,20}|(नमुना|नमूना) (मजकूर|पाठ).{0,20}",
 )
