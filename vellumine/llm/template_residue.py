@@ -37,8 +37,9 @@ NOTICES = (
     r"you (must|need to|have to) (enable|allow|accept|activate|turn on) (java ?script|cookies|scripts?)\b.*|(this|the) (viewer|page|site|reader|reading room|application) (needs|requires) (java ?script|scripts?|cookies)\b.*",
     r"scripts? (must|need to|have to) be (on|enabled|allowed)\b.*|noscript\b.*|your browser (does not|doesn't) support\b.*|(loading|please wait)(…|\.\.\.).*|(if nothing appears|check that scripts)\b.*|checking (that|if) you are (not a robot|human)\b.*",
     r"bitte aktivieren sie (java ?script|cookies)\b.*|(bitte )?(java ?script|cookies) (aktivieren|muss aktiviert).*|veuillez (activer|autoriser) (java ?script|les cookies)\b.*|(por favor,? )?(active|habilite|active usted|debe activar) (java ?script|las cookies)\b.*",
-    r".{0,60}जावास्क्रिप्ट (चालू|सुरू|सक्षम) कर.{0,20}|.{0,40}कुकी(ज|ज़)? (चालू|सुरू|स्वीकार).{0,20}|(please )?(sign|log) in (again )?(to|before)\b.*|(bitte melden sie sich an|veuillez vous connecter|inicie sesión)\b.*",
+    r"(please )?(sign|log) in (again )?(to|before)\b.*|(bitte melden sie sich an|veuillez vous connecter|inicie sesión)\b.*",
 )
+ASKED = r"(जावास्क्रिप्ट|कुकीज़|कुकीज|कुकी) (चालू|सुरू|सक्षम|स्वीकार) कर.{0,20}$"
 FILLERS = (
     r"(sample|dummy|placeholder|filler|example) (text|content|paragraph|heading|copy)\b.{0,40}|this is (a )?(dummy|sample|placeholder)\b.*|your (heading|content|text|title|copy|message) (goes )?here\b.*|replace this (paragraph|text|section|sentence|line)\b.*|(insert|add|enter|type|write|put) [^.]{1,60} here[.!]?$|(content|text|details|more) (is )?(coming soon|to follow|to come)\b.*",
     r"texte (à remplacer|de remplissage|d'exemple|factice)\b.*|(insérez|saisissez|entrez) (votre )?texte\b.*|texto de (relleno|ejemplo|prueba|muestra)\b.*|(escriba|inserte) (su |el )?texto\b.*|(hier steht|dies ist|das ist) (ein )?(blindtext|platzhalter|beispieltext|mustertext)\b.*|(blindtext|platzhaltertext)[.!]?$|hier (ihren )?text (einfügen|eingeben)\b.*",
@@ -62,10 +63,10 @@ def _sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "(?<=[.!?।])\\s+|\\s*\\n\\s*"), F.trim), lambda s: s != "")
 
 
-def _pairs(sentence: Column) -> Column:
-    """Pairs of neighbouring words, with two edges on either side."""
-    words = F.split(F.concat(F.lit("^ ^ "), sentence, F.lit(" $ $")), "\\s+")
-    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1)))
+def _pairs(words: Column) -> Column:
+    """Pairs of neighbouring words."""
+    n = F.size(words) - 1
+    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def slot_residue(docs: DataFrame) -> DataFrame:
@@ -81,7 +82,8 @@ def slot_residue(docs: DataFrame) -> DataFrame:
     side = [F.concat_ws(" ", F.element_at("w", F.col("k") + a), F.element_at("w", F.col("k") + b)) for a, b in ((-2, -1), (1, 2))]
     places = places.select("i", side[0].alias("l"), side[1].alias("r")).where("not contains(l, '∎') and not contains(r, '∎') and not (l = '^ ^' and r = '$ $')")
     clean = marked.where("not suspect").select(F.explode(_sentences(masked(F.col("t")))).alias("s")).distinct()
-    pairs = written(clean.select(F.explode(F.array_distinct(_pairs(F.col("s")))).alias("p")).distinct(), "residue-pairs")
+    clean = clean.select(F.split(F.concat(F.lit("^ ^ "), F.col("s"), F.lit(" $ $")), "\\s+").alias("w"))
+    pairs = written(clean.select(F.explode(_pairs(F.col("w"))).alias("p")).distinct(), "residue-pairs")
     aligned = places.distinct().join(pairs.withColumnRenamed("p", "l"), "l", "left_semi").join(pairs.withColumnRenamed("p", "r"), "r", "left_semi")
     return money.unionByName(aligned.select("i"))
 
@@ -100,15 +102,14 @@ def known_lines(docs: DataFrame) -> DataFrame:
     latin = F.array(*[F.lit(w) for w in LATIN])
 
     def filler(sentence: Column) -> Column:
-        words = F.regexp_extract_all(sentence, F.lit("\\p{L}[\\p{L}\\p{M}]*"), F.lit(0))
-        n = F.size(words)
-        plain = ~sentence.rlike("\\p{Nd}")
-        few = (n >= 3) & (F.size(F.array_distinct(words)) <= F.when(n >= 5, 2).otherwise(1))
-        return plain & (few | ((n >= 3) & (F.size(F.filter(words, lambda w: F.array_contains(latin, w))) >= 0.6 * n)))
+        words = F.split(F.trim(F.regexp_replace(sentence, "[^\\p{L}\\p{M}]+", " ")), " ")
+        n, forms = F.size(words), F.array_distinct(words)
+        few = F.size(forms) <= F.when(n >= 5, 2).otherwise(1)
+        return ~sentence.rlike("\\p{Nd}") & (n >= 3) & (few | (F.size(F.array_except(forms, latin)) <= 0.4 * F.size(forms)))
 
     # sentences of reports are long; notices and filler aren't
     parts = F.filter(_sentences(F.lower(F.replace("t", F.lit("’"), F.lit("'")))), lambda s: F.length(s) <= 140)
-    return docs.where(F.exists(parts, lambda s: s.rlike(opening) | filler(s))).select("i")
+    return docs.select("i", parts.alias("parts")).where(F.exists("parts", lambda s: s.rlike(opening) | s.rlike(ASKED) | filler(s))).select("i")
 
 
 def residue(df: DataFrame, ident: str, text: str) -> DataFrame:
