@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumine.functions.text import token_count
-from vellumine.llm import language, merkle, pair_defects
+from vellumine.llm import language, merkle, pair_defects, scan_noise
 from vellumine.llm.boundary_split import split_oversized
 from vellumine.llm.mixing import mixture, source_report
 from vellumine.llm.packing import pack
@@ -44,6 +44,25 @@ def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
     return without_lines(pages, keys, "text", site_lines(pages, keys, "document_id", "source", "text"))
 
 
+def _scans(spark: SparkSession, folder: str) -> DataFrame:
+    pages, chunks = table(spark, folder, "pages"), table(spark, folder, "chunks")
+    ocr, raw = (scan_noise.texts_of(pages, "page_id", f"pages.{c}", c, "document_id", "page_number", False) for c in ("ocr_text", "raw_text"))
+    return ocr.unionByName(raw).unionByName(scan_noise.texts_of(chunks, "chunk_id", "chunks.text", "text", "document_id", "page_number", True))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Kinds of noise in the texts of pages and chunks."""
+    found, _, _ = scan_noise.find_noise(_scans(spark, folder))
+    return found.select(F.col("r").alias("record_id"), F.col("f").alias("field"), "noise")
+
+
+def p4_repaired(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts of pages and chunks in continuous paragraphs."""
+    texts = _scans(spark, folder)
+    _, fixes, titles = scan_noise.find_noise(texts)
+    return scan_noise.repaired(texts, fixes, titles).select(F.col("r").alias("record_id"), F.col("f").alias("field"), F.col("t").alias("text"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Answered requests whose answer is of no use, with the defect."""
     model = language.train(table(spark, folder, "chunks"), "chunk_id", "text", "language")
