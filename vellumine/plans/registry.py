@@ -1,24 +1,538 @@
-"""Named queries over a data folder."""
+"""Named queries over a data folder: one for each operator or step of the lifecycle.
+
+Scores are rounded so that sums in another order compare equal.  Searches ask with every request or vector whose id is
+divisible by 20, against all rows.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.functions.text import token_count
-from vellumine.sources.tables import table
+from vellumine.functions import numbers as N
+from vellumine.functions import text as X
+from vellumine.operators import agent, answers, chunking, evaluation, retrieval, state
+from vellumine.operators.pages import extracted_pages
+from vellumine.session import shared_folder
+from vellumine.sources.files import index_rows
+from vellumine.sources.tables import once, table
+from vellumine.streaming import flows
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return once(table(s, d, "pages"), "page_id")
+
+
+def _chunks(s: SparkSession, d: str) -> DataFrame:
+    return once(table(s, d, "chunks"), "chunk_id")
+
+
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    return once(table(s, d, "chat_requests"), "request_id")
+
+
+def _responses(s: SparkSession, d: str) -> DataFrame:
+    return once(table(s, d, "chat_responses"), "request_id")
+
+
+def _answered(s: SparkSession, d: str) -> DataFrame:
+    return _responses(s, d).select("request_id", "answer").join(_requests(s, d).select("request_id", "query"), "request_id")
+
+
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    return _requests(s, d).where("request_id % 20 = 0").select(F.col("request_id").alias("query_id"), "query")
+
+
+def _corpus(s: SparkSession, d: str) -> DataFrame:
+    return _chunks(s, d).select(F.col("chunk_id").alias("id"), "document_id", "source", "page_number", "section", "text")
+
+
+def _joined(c: Column) -> Column:
+    return F.array_join(c, " ")
+
+
+# ---- text functions
+
+
+@query
+def tokenize_counts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select("doc_id", F.coalesce(X.token_count("text"), F.lit(0)).alias("tokens"))
+
+
+@query
+def token_vocabulary(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "documents").select(F.explode(X.tokenize("text")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+
+
+@query
+def normalized_forms(s: SparkSession, d: str) -> DataFrame:
+    forms = {"retrieval": X.retrieval_text("answer"), "citation": X.citation_text("answer"), "rerank": X.rerank_text("answer"), "evaluation": X.evaluation_text("answer")}
+    return _responses(s, d).where("answer is not null").select("request_id", *[v.alias(k) for k, v in forms.items()])
+
+
+@query
+def normalized_tokens(s: SparkSession, d: str) -> DataFrame:
+    bare = F.filter(F.transform(X.tokenize("text"), X.normalize_token), lambda t: t != "")
+    return _chunks(s, d).select("chunk_id", F.size(bare).alias("tokens"), F.size(F.array_distinct(bare)).alias("distinct_tokens"))
+
+
+@query
+def query_terms(s: SparkSession, d: str) -> DataFrame:
+    return _requests(s, d).select("request_id", _joined(X.query_terms("query")).alias("terms"))
+
+
+@query
+def answer_terms(s: SparkSession, d: str) -> DataFrame:
+    return _responses(s, d).where("answer is not null").select("request_id", _joined(X.answer_terms("answer")).alias("terms"))
+
+
+@query
+def query_overlap(s: SparkSession, d: str) -> DataFrame:
+    return _answered(s, d).where("answer is not null").select("request_id", F.round(X.query_overlap("query", "answer"), 6).alias("overlap"))
+
+
+@query
+def phrase_overlap(s: SparkSession, d: str) -> DataFrame:
+    return _answered(s, d).where("answer is not null").select("request_id", F.round(X.phrase_overlap(X.query_terms("query"), "answer"), 6).alias("overlap"))
+
+
+@query
+def token_disagreement(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", X.token_disagreement("text", "ocr_text").alias("disagreement"))
+
+
+@query
+def text_quality(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", F.round(X.text_quality("text"), 6).alias("quality"))
+
+
+@query
+def corruption_ratio(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", F.round(X.corruption_ratio("text"), 6).alias("ratio"))
+
+
+@query
+def detect_language(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", X.detect_language("text").alias("detected"))
+
+
+@query
+def should_scan(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", X.should_scan("raw_text", F.col("image_count")).alias("scan"))
+
+
+@query
+def choose_text(s: SparkSession, d: str) -> DataFrame:
+    choice = X.choose_text("raw_text", "ocr_text")
+    return _pages(s, d).select("page_id", choice["method"].alias("method"), F.round(choice["score"], 6).alias("score"))
+
+
+@query
+def should_denoise(s: SparkSession, d: str) -> DataFrame:
+    gate = X.should_denoise("text", "ocr_text", F.col("ocr_confidence"), F.col("ocr_used"))
+    return _pages(s, d).select("page_id", gate["needs"].alias("needs"), F.round(gate["ratio"], 6).alias("ratio"), gate["disagreement"].alias("disagreement"))
+
+
+@query
+def valid_restoration(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", X.valid_restoration("raw_text", "text", "ocr_text").alias("valid"))
+
+
+@query
+def clean_text(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).where("text is not null").select("page_id", F.md5(X.clean_scan("text")).alias("digest"))
+
+
+@query
+def clean_unicode(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).select("page_id", F.length(X.clean_text("text")).alias("characters"))
+
+
+@query
+def without_headers(s: SparkSession, d: str) -> DataFrame:
+    known = ["For and on behalf of the Board", "This page is left blank on purpose."]
+    return _pages(s, d).where("text is not null").select("page_id", F.md5(X.without_headers("text", known)).alias("digest"))
+
+
+@query
+def sanitize_filename(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "document_status").select("filename", X.sanitize_filename("filename").alias("safe")).distinct()
+
+
+@query
+def content_hash(s: SparkSession, d: str) -> DataFrame:
+    hashed = table(s, d, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return hashed.groupBy("sha256").agg(F.min("doc_id").alias("kept_id"), F.count(F.lit(1)).alias("copies"))
+
+
+@query
+def number_strings(s: SparkSession, d: str) -> DataFrame:
+    return _responses(s, d).where("answer is not null").select("request_id", F.array_join(F.transform(N.number_strings("answer"), F.trim), "|").alias("numbers"))
+
+
+@query
+def answer_numbers(s: SparkSession, d: str) -> DataFrame:
+    return _responses(s, d).where("answer is not null").select("request_id", F.array_join(F.transform(N.answer_numbers("answer"), N.bare_number), "|").alias("numbers"))
+
+
+@query
+def answer_names(s: SparkSession, d: str) -> DataFrame:
+    return _responses(s, d).where("answer is not null").select("request_id", F.array_join(N.names("answer"), "|").alias("names"))
+
+
+# ---- pages, sections, chunks
+
+
+@query
+def page_lines(s: SparkSession, d: str) -> DataFrame:
+    lines = chunking.page_lines(_pages(s, d))
+    return lines.groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("lines"), F.sum((F.col("line") != "").cast("int")).alias("filled"))
+
+
+@query
+def heading_lines(s: SparkSession, d: str) -> DataFrame:
+    return chunking.page_lines(_pages(s, d)).where(chunking.is_heading(F.col("line"))).select("document_id", "page_number", "line_no", "line")
+
+
+@query
+def sections(s: SparkSession, d: str) -> DataFrame:
+    return chunking.sections(_pages(s, d)).select("document_id", "page_number", "section_index", "section", F.length("text").alias("characters"))
+
+
+@query
+def chunk_rows(s: SparkSession, d: str) -> DataFrame:
+    return chunking.chunks(_pages(s, d)).select("chunk_id", "document_id", "page_number", "section", "section_index", "chunk_index", F.length("text").alias("characters"))
+
+
+@query
+def chunk_statistics(s: SparkSession, d: str) -> DataFrame:
+    n = F.length("text")
+    return _chunks(s, d).groupBy("language").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("document_id").alias("documents"), F.max(n).alias("longest"), F.round(F.avg(n), 4).alias("average"))
+
+
+@query
+def sentence_windows(s: SparkSession, d: str) -> DataFrame:
+    parts = chunking.sentences(F.coalesce(F.col("text"), F.lit("")))
+    return _chunks(s, d).select("chunk_id", F.size(parts).alias("parts"))
+
+
+@query
+def extracted(s: SparkSession, d: str) -> DataFrame:
+    return extracted_pages(_pages(s, d)).select("page_id", "method", "used", "detected", "characters")
+
+
+# ---- retrieval and ranking
+
+
+def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = table(s, d, "embeddings")
+    return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", "label"), v.select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@query
+def vector_topk(s: SparkSession, d: str) -> DataFrame:
+    out = retrieval.vector_topk(*_vectors(s, d))
+    return out.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query
+def vector_topk_filtered(s: SparkSession, d: str) -> DataFrame:
+    out = retrieval.vector_topk(*_vectors(s, d), k=5, same="label")
+    return out.select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def _bm25(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    named = [F.coalesce(F.col(c), F.lit("Unknown" if c != "text" else "")) for c in ("section", "source", "text")]
+    return retrieval.bm25_index(_corpus(s, d).select("id", F.concat_ws(" ", *named).alias("text")))
+
+
+@query
+def bm25_words(s: SparkSession, d: str) -> DataFrame:
+    return _bm25(s, d)[1].select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@query
+def bm25_topk(s: SparkSession, d: str) -> DataFrame:
+    out = retrieval.bm25_topk(_asked(s, d), *_bm25(s, d))
+    return out.select("query_id", "id", F.round("bm25_score", 4).alias("score"), "rank")
+
+
+def _ranked_vectors(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.vector_topk(*_vectors(s, d)).select("query_id", "id", "rank")
+
+
+@query
+def rank_fusion(s: SparkSession, d: str) -> DataFrame:
+    """Vector ranks fused with the ranks of a second, label-filtered search."""
+    other = retrieval.vector_topk(*_vectors(s, d), same="label").select("query_id", "id", "rank")
+    out = retrieval.reciprocal_rank_fusion(_ranked_vectors(s, d), other)
+    return out.select("query_id", "id", F.round("rrf_score", 9).alias("score"), "vector_rank", "bm25_rank", "rank")
+
+
+@query
+def merged_records(s: SparkSession, d: str) -> DataFrame:
+    first = retrieval.vector_topk(*_vectors(s, d)).withColumnRenamed("rank", "vector_rank")
+    second = retrieval.vector_topk(*_vectors(s, d), k=5, same="label").withColumnRenamed("rank", "bm25_rank")
+    out = retrieval.merge_records(first, second)
+    return out.select("query_id", "id", F.round("distance", 6).alias("distance"), "vector_rank", "bm25_rank")
+
+
+@query
+def evidence_rescue(s: SparkSession, d: str) -> DataFrame:
+    out = retrieval.evidence_rescue(_asked(s, d), _corpus(s, d))
+    return out.select("query_id", "id", F.round("evidence_rescue_score", 4).alias("score"), "rank")
+
+
+@query
+def hybrid_light(s: SparkSession, d: str) -> DataFrame:
+    out = retrieval.hybrid(_asked(s, d), _corpus(s, d))
+    return out.select("query_id", "id", F.round("evidence_rescue_score", 4).alias("rescue"), F.round("bm25_score", 4).alias("bm25"), "rank")
+
+
+def _candidates(s: SparkSession, d: str) -> DataFrame:
+    found = retrieval.hybrid(_asked(s, d), _corpus(s, d)).drop("rank")
+    rows = found.join(_asked(s, d), "query_id").join(_corpus(s, d), "id")
+    # the offline stand-in for a cross-encoder: the BM25 score
+    return rows.withColumn("rerank_score", F.coalesce("bm25_score", F.lit(0.0)))
+
+
+@query
+def reranked(s: SparkSession, d: str) -> DataFrame:
+    out = retrieval.rerank(_candidates(s, d))
+    return out.select("query_id", "id", F.round("final_score", 4).alias("score"), "exact", "rank")
+
+
+def _context(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.context_filter(retrieval.protect_exact(retrieval.rerank(_candidates(s, d))))
+
+
+@query
+def context_rows(s: SparkSession, d: str) -> DataFrame:
+    return _context(s, d).select("query_id", "id", F.round("relevance", 4).alias("relevance"), "rank")
+
+
+@query
+def context_text(s: SparkSession, d: str) -> DataFrame:
+    return retrieval.context_text(_context(s, d)).select("query_id", F.length("context").alias("characters"), "sources")
+
+
+@query
+def lexical_scores(s: SparkSession, d: str) -> DataFrame:
+    rows = _responses(s, d).select("request_id", F.explode("sources").alias("x")).join(_requests(s, d).select("request_id", "query"), "request_id")
+    rows = rows.select("request_id", "query", "x.chunk_id").distinct().join(_chunks(s, d).select("chunk_id", "section", "text"), "chunk_id")
+    score = retrieval.lexical_score(F.col("query"), F.col("section"), F.col("text"))
+    rows = rows.select(F.col("request_id").alias("query_id"), "chunk_id", score.alias("score"))
+    return rows.select("query_id", "chunk_id", "score", F.round(retrieval.minmax("score"), 6).alias("norm"))
+
+
+# ---- answers and the agent
+
+
+def _evidence(s: SparkSession, d: str) -> DataFrame:
+    rows = _responses(s, d).where("answer is not null").select("request_id", "answer", F.explode("sources").alias("x")).select("request_id", "answer", "x.chunk_id").distinct()
+    rows = rows.join(_requests(s, d).select("request_id", "query"), "request_id").join(_chunks(s, d).select("chunk_id", "document_id", "source", "page_number", "section", "text"), "chunk_id")
+    return rows.withColumnsRenamed({"request_id": "query_id", "chunk_id": "id"})
+
+
+@query
+def answer_support(s: SparkSession, d: str) -> DataFrame:
+    out = answers.support(_evidence(s, d))
+    return out.select("query_id", "id", F.size("numbers").alias("numbers"), F.size("named").alias("names"), F.round("support_score", 6).alias("score"))
+
+
+@query
+def built_citations(s: SparkSession, d: str) -> DataFrame:
+    return answers.citations(_evidence(s, d)).select("query_id", "citation_id", "id", "page_number", "section", F.length("evidence").alias("characters"), F.round("support_score", 6).alias("score"))
+
+
+@query
+def citation_errors(s: SparkSession, d: str) -> DataFrame:
+    """The stored citations checked against the stored chunks."""
+    cited = once(table(s, d, "citations"), "cite_id").select(F.col("cite_id").alias("query_id"), "citation_id", F.col("chunk_id").alias("id"), "page_number", "evidence")
+    known = _chunks(s, d).select(F.col("chunk_id").alias("id")).join(cited.select("query_id", "id"), "id")
+    return answers.citation_errors(cited, known).select(F.col("query_id").alias("cite_id"), F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def formatted_citations(s: SparkSession, d: str) -> DataFrame:
+    out = answers.format_citations(answers.citations(_evidence(s, d), 3))
+    return out.select("query_id", F.length("citations").alias("characters"))
+
+
+@query
+def grounded_answers(s: SparkSession, d: str) -> DataFrame:
+    rows = _evidence(s, d)
+    return answers.grounding(rows.select("query_id", "answer").distinct(), rows.select("query_id", "text"))
+
+
+@query
+def extractive_answers(s: SparkSession, d: str) -> DataFrame:
+    return answers.extractive_answer(_context(s, d))
+
+
+@query
+def routes(s: SparkSession, d: str) -> DataFrame:
+    return _requests(s, d).select("request_id", agent.route(F.col("query")).alias("route"), F.coalesce(agent.is_comparative(F.col("query")), F.lit(False)).alias("comparative"))
+
+
+@query
+def calculations(s: SparkSession, d: str) -> DataFrame:
+    return agent.calculator(_requests(s, d).select(F.col("request_id").alias("query_id"), "query")).select("query_id", "answer", "error")
+
+
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    asked = _requests(s, d).where("conversation_id is not null").select("request_id", "conversation_id", F.col("requested_at").alias("at"), "query")
+    return asked.join(_responses(s, d).select("request_id", "answer"), "request_id", "left")
+
+
+@query
+def resolved_queries(s: SparkSession, d: str) -> DataFrame:
+    turns = _turns(s, d).withColumn("turn", F.col("request_id"))
+    past = turns.select("conversation_id", "turn", F.col("query").alias("content"))
+    out = agent.resolve(turns.select(F.col("request_id").alias("query_id"), "conversation_id", "turn", "query"), past)
+    return out.select("query_id", "resolved")
+
+
+@query
+def chat_history(s: SparkSession, d: str) -> DataFrame:
+    out = agent.chat_history(_turns(s, d))
+    return out.select("conversation_id", F.size("messages").alias("messages"), F.element_at("messages", 1)["content"].alias("first"))
+
+
+@query
+def validated_answers(s: SparkSession, d: str) -> DataFrame:
+    rows = _evidence(s, d)
+    known = answers.grounding(rows.select("query_id", "answer").distinct(), rows.select("query_id", "text"))
+    counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
+    base = _answered(s, d).select(F.col("request_id").alias("query_id"), "answer", agent.route(F.col("query")).alias("route"), F.size(N.answer_numbers("answer")).alias("numbers"))
+    out = agent.validated(base.join(counts, "query_id", "left").join(known, "query_id", "left"))
+    return out.select("query_id", "validated", F.array_join("errors", "; ").alias("errors"))
+
+
+# ---- ingestion state
+
+
+@query
+def latest_status(s: SparkSession, d: str) -> DataFrame:
+    return state.latest_status(table(s, d, "document_status")).select("document_id", "status", "page_count", "chunk_count")
+
+
+@query
+def document_listing(s: SparkSession, d: str) -> DataFrame:
+    return state.listing(table(s, d, "document_status"), table(s, d, "pages"), table(s, d, "chunks"))
+
+
+@query
+def first_by_hash(s: SparkSession, d: str) -> DataFrame:
+    status = table(s, d, "document_status")
+    return state.find_by_hash(status, status.select("sha256"))
+
+
+@query
+def incremental_index(s: SparkSession, d: str) -> DataFrame:
+    """Chunks no answer has cited yet, as rows to index."""
+    cited = table(s, d, "citations").select("chunk_id")
+    return index_rows(state.not_indexed(table(s, d, "chunks"), cited)).select("chunk_id", "source", "section", "page_number", "language")
+
+
+@query
+def deleted_documents(s: SparkSession, d: str) -> DataFrame:
+    gone = state.latest_status(table(s, d, "document_status")).where("status = 'failed'")
+    return state.without_documents(_chunks(s, d), gone).select("chunk_id", "document_id")
+
+
+@query
+def language_histogram(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).groupBy("language").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query
+def scan_summary(s: SparkSession, d: str) -> DataFrame:
+    confidence = F.coalesce(F.avg(F.when(F.col("ocr_confidence") >= 0, F.col("ocr_confidence"))), F.lit(-1.0))
+    flags = [F.sum(F.coalesce(F.col(c), F.lit(False)).cast("int")).alias(c) for c in ("ocr_used", "denoised")]
+    return _pages(s, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("pages"), *flags, F.round(confidence, 4).alias("confidence"))
+
+
+@query
+def rate_limit_log(s: SparkSession, d: str) -> DataFrame:
+    return state.rate_limit(_requests(s, d), "client", "requested_at", "request_id", limit=3, window=3600.0)
+
+
+@query
+def rate_limit_bound(s: SparkSession, d: str) -> DataFrame:
+    return state.rate_limit_bound(_requests(s, d), "client", "requested_at", 3600).select("request_id", "recent")
+
+
+# ---- evaluation
+
+
+@query
+def retrieval_recall(s: SparkSession, d: str) -> DataFrame:
+    """Recall of the cited pages among the pages of the documents' citations, best support first."""
+    cites = once(table(s, d, "citations"), "cite_id").where("document_id is not null and page_number is not null and support_score is not null and not isnan(support_score)")
+    ranked = retrieval.top_k(cites.select(F.col("document_id").alias("query_id"), "page_number", "support_score", "cite_id"), 10, F.desc("support_score"), F.asc("cite_id"))
+    expected = _pages(s, d).where("ocr_used").groupBy("document_id").agg(F.collect_set("page_number").alias("pages")).withColumnRenamed("document_id", "query_id")
+    return evaluation.recall_at_k(ranked, expected, 10)
+
+
+@query
+def numbers_match(s: SparkSession, d: str) -> DataFrame:
+    return _answered(s, d).select("request_id", evaluation.numbers_match(F.col("query"), F.col("answer")).alias("match"))
+
+
+@query
+def answer_match(s: SparkSession, d: str) -> DataFrame:
+    return _answered(s, d).where("query is not null").select("request_id", evaluation.text_match(F.col("query"), F.col("answer")).alias("text"), evaluation.answer_match(F.col("query"), F.col("answer")).alias("match"))
+
+
+@query
+def page_match(s: SparkSession, d: str) -> DataFrame:
+    """Whether an answer's sources lie on a page that was scanned."""
+    scanned = _pages(s, d).where("ocr_used").groupBy("document_id").agg(F.collect_set("page_number").alias("pages"))
+    rows = _responses(s, d).select("request_id", "document_id", F.array_distinct(F.transform("sources", lambda x: x["page_number"])).alias("found"))
+    return rows.join(scanned, "document_id").select("request_id", evaluation.page_match(F.col("found"), F.col("pages")).alias("match"))
+
+
+# ---- streaming
+
+
+@query
+def stream_event_windows(s: SparkSession, d: str) -> DataFrame:
+    return flows.drained(flows.event_windows(flows.table_stream(s, d, "events"), "1 day", "365 days"), "complete")
+
+
+@query
+def stream_sessions(s: SparkSession, d: str) -> DataFrame:
+    return flows.drained(flows.sessions(flows.table_stream(s, d, "events"), "6 hours", "365 days"), "complete")
+
+
+@query
+def stream_rate_limit(s: SparkSession, d: str) -> DataFrame:
+    calls = flows.table_stream(s, d, "chat_requests").select(F.coalesce("client", F.lit("unknown")).alias("client"), F.col("request_id").alias("ident"), F.col("requested_at").cast("double").alias("at"))
+    return flows.drained(flows.limited(calls.dropDuplicates(["ident"]), 3, 3600.0))
 
 
-def tokenize_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Tokens of every document."""
-    return table(spark, folder, "documents").select("doc_id", F.coalesce(token_count("text"), F.lit(0)).alias("tokens"))
+@query
+def stream_ingest(s: SparkSession, d: str) -> DataFrame:
+    root = f"{shared_folder(s)}/ingest-{uuid.uuid4().hex}"
+    return flows.ingest(flows.table_stream(s, d, "pages"))(f"{root}/chunks", f"{root}/log").select("chunk_id", "document_id", "section", F.length("text").alias("characters"))
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return tokenize_counts(spark, folder)
+    """Hybrid retrieval, reranking, context selection and the extractive answer of every asked question."""
+    return extractive_answers(spark, folder)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"tokenize_counts": tokenize_counts}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
