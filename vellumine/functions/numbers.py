@@ -43,7 +43,7 @@ def answer_numbers(answer: Column | str) -> Column:
         whole = d == F.floor(d)
         return d.isNotNull() & ~(whole & (d.between(1, 31) | d.between(1900, 2100)))
 
-    return F.transform(F.filter(number_strings(answer), counts), F.trim)
+    return F.transform(F.filter(number_strings(answer), counts), lambda x: F.trim(x))
 
 
 def plain_numbers(text: Column | str) -> Column:

@@ -178,7 +178,7 @@ def content_hash(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def number_strings(s: SparkSession, d: str) -> DataFrame:
-    return _responses(s, d).where("answer is not null").select("request_id", F.array_join(F.transform(N.number_strings("answer"), F.trim), "|").alias("numbers"))
+    return _responses(s, d).where("answer is not null").select("request_id", F.array_join(F.transform(N.number_strings("answer"), lambda x: F.trim(x)), "|").alias("numbers"))
 
 
 @query
@@ -509,12 +509,14 @@ def page_match(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_event_windows(s: SparkSession, d: str) -> DataFrame:
-    return flows.drained(flows.event_windows(flows.table_stream(s, d, "events"), "1 day", "365 days"), "complete")
+    out = flows.drained(flows.event_windows(flows.table_stream(s, d, "events"), "1 day", "365 days"), "complete")
+    return out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
 def stream_sessions(s: SparkSession, d: str) -> DataFrame:
-    return flows.drained(flows.sessions(flows.table_stream(s, d, "events"), "6 hours", "365 days"), "complete")
+    out = flows.drained(flows.sessions(flows.table_stream(s, d, "events"), "6 hours", "365 days"), "complete")
+    return out.withColumn("session_start", F.date_format("session_start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @query
