@@ -60,7 +60,7 @@ def masked(text: Column) -> Column:
 
 
 def _sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "(?<=[.!?।])\\s+|\\s*\\n\\s*"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "(?<=[.!?।])\\s+|\\s*\\n\\s*"), lambda x: F.trim(x)), lambda s: s != "")
 
 
 def _pairs(words: Column) -> Column:
