@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_SPREAD = 8  # blocks of the vocabulary that one length is cut into
+
 
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -22,28 +24,38 @@ def exact_match(term: Column, token: Column) -> Column:
     return F.when((a == 0) | (b == 0), 0.0).when(term == token, 1.0).when(held, F.least(a, b) / F.greatest(a, b)).otherwise(0.0)
 
 
+def _words(df: DataFrame, name: str) -> DataFrame:
+    return df.select(name).where(F.col(name) != "").distinct()
+
+
 def term_matches(terms: DataFrame, tokens: DataFrame, threshold: float, fuzzy: bool = True) -> DataFrame:
     """(term, token, score) of distinct terms and tokens (columns term and token) with a score of at least `threshold`.
 
-    Candidates come from shared character bigrams, so no term meets a token it has nothing in common with: equality and
-    containment share all bigrams of the shorter word, and a ratio of `threshold` or more shares some.  One-letter words
-    match by equality only.  With `fuzzy` off, only equality and containment count.
+    A term meets the tokens of the lengths that can reach the threshold: containment needs shorter / longer >= t, and a ratio
+    is at most 2 shorter / (shorter + longer).  Then a bound by shared characters comes before the ratio, so that Python sees
+    near pairs only.  With `fuzzy` off, only equality and containment count.
     """
-    left = terms.select("term").where("term != ''").distinct()
-    right = tokens.select("token").where("token != ''").distinct()
-
-    def grams(w: str) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 1, F.lit(1))), lambda k: F.substring(F.col(w), k, F.lit(2))))
-
-    # a pair is met once for each shared bigram; counting them prunes before anything costly
-    pairs = left.withColumn("g", F.explode(grams("term"))).join(right.withColumn("g", F.explode(grams("token"))), "g")
-    pairs = pairs.groupBy("term", "token").agg(F.count(F.lit(1)).alias("shared"))
-    score = exact_match(F.col("term"), F.col("token"))
-    sure = pairs.withColumn("score", score)
-    if not fuzzy:
-        return sure.where(F.col("score") >= threshold).select("term", "token", "score")
+    t = max(threshold, 1e-6)
     a, b = F.length("term"), F.length("token")
-    # 2 * matches / (a + b) is at most 2 * shorter / (a + b): an exact bound
-    may = (score == 0) & (a >= 5) & (b >= 5) & (2 * F.least(a, b) / (a + b) >= threshold) & (F.col("shared") >= 1)
-    near = sure.where(may).select("term", "token").withColumn("score", _ratio("term", "token"))
-    return sure.where("score > 0").select("term", "token", "score").unionByName(near).where(F.col("score") >= threshold)
+    low = t / (2 - t) if fuzzy else t
+    reach = F.sequence(F.ceil(a * low - 1e-9).cast("int"), F.floor(a / low + 1e-9).cast("int"))
+    left = _words(terms, "term").select("term", F.explode(reach).alias("n"), F.array(*[F.lit(k) for k in range(_SPREAD)]).alias("parts"))
+    left = left.select("term", "n", F.explode("parts").alias("part"))
+    right = _words(tokens, "token").select("token", b.alias("n"), F.pmod(F.xxhash64("token"), F.lit(_SPREAD)).cast("int").alias("part"))
+    pairs = right.join(left, ["n", "part"]).select("term", "token", exact_match(F.col("term"), F.col("token")).alias("score"))
+    sure = pairs.where(F.col("score") >= threshold)
+    if not fuzzy:
+        return sure
+    # characters of one word that the other has at all: no more can match
+    shared = F.least(a - F.length(F.call_function("translate", F.col("term"), F.col("token"), F.lit(""))), b - F.length(F.call_function("translate", F.col("token"), F.col("term"), F.lit(""))))
+    may = (F.col("score") == 0) & (a >= 5) & (b >= 5) & (2 * shared / (a + b) >= threshold - 1e-9)
+    near = pairs.where(may).select("term", "token").withColumn("score", _ratio("term", "token")).where(F.col("score") >= threshold)
+    return sure.unionByName(near)
+
+
+def containing(terms: DataFrame, tokens: DataFrame, least: int = 5) -> DataFrame:
+    """(term, token) of tokens that hold a term of `least` letters or more: met by the term's first letters."""
+    left = _words(terms, "term").where(F.length("term") >= least).withColumn("g", F.substring("term", 1, least))
+    right = _words(tokens, "token").where(F.length("token") >= least)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("token") - least + 1), lambda k: F.substring(F.col("token"), k, F.lit(least))))
+    return right.withColumn("g", F.explode(grams)).join(left, "g").where(F.contains("token", "term")).select("term", "token").distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 # The grammar of a token (a number with at most one decimal group, or a word with marks and inner hyphens).
 TOKEN = r"\p{N}+(?:[.,]\p{N}+)?|\p{L}[\p{L}\p{M}]*(?:[-’'][\p{L}\p{M}]+)*"
 # White space.
-SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE = f"[{SPACES}]"
 # Words that carry no topic, units of money, and words a topic word brings along.
 STOPWORDS = (
@@ -34,7 +34,7 @@ EXPANSIONS = {
 MARATHI_HINTS = "आहे आणि मध्ये म्हणून करण्यासाठी यांच्या तसेच होते असलेले महाराष्ट्र आपण त्यामुळे यामुळे करण्यात झालेले असून यांना".split()
 HINDI_HINTS = "है और में के की का था थी थे होता होती यह से लिए तथा लेकिन द्वारा करने किया गया गई".split()
 MARATHI_LETTERS = "ळऴॲऑ"
-ZERO_WIDTH = "​‌‍﻿"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 
 
 def col(c: Column | str) -> Column:

@@ -35,7 +35,7 @@ def is_heading(line: Column) -> Column:
 
 def page_lines(pages: DataFrame, text: str = "text") -> DataFrame:
     """(document_id, page_number, line_no, line) of every line, white space collapsed; blank lines stay, empty."""
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", -1), one_line)
+    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1), one_line)
     return pages.select("document_id", "page_number", F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 

@@ -106,7 +106,7 @@ def _ranked(k: int, where: str = "true") -> str:
     return f"(select query_id, id, distance, row_number() over (partition by query_id order by distance, id) as rank from {_V} where {where} qualify row_number() over (partition by query_id order by distance, id) <= {k})"
 
 
-_LINES = f"(select document_id, page_number, unnest(l) as x, generate_subscripts(l, 1) as line_no from (select document_id, page_number, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\\x{{85}}  ]') as l from {PAGES}))"
+_LINES = f"(select document_id, page_number, unnest(l) as x, generate_subscripts(l, 1) as line_no from (select document_id, page_number, regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as l from {PAGES}))"
 _DOCS = "(select regexp_replace(lower(coalesce(section, 'Unknown') || ' ' || coalesce(source, 'Unknown') || ' ' || coalesce(text, '')), '', '') as t, chunk_id from " + CHUNKS + ")"
 _TF = f"(select chunk_id, token, count(*) as f from (select chunk_id, unnest(regexp_extract_all(t, '{TOKEN}')) as token from {_DOCS}) group by all)"
 _WORDS = f"""(with df as (select token, count(*) as df from {_TF} group by 1), n as (select count(*) as n from {CHUNKS}),

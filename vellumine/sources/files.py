@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumine.schema import CHUNK, QUESTION
+from vellumine.schema import CHUNK
 from vellumine.session import written
 
 
@@ -39,7 +39,8 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     def first(*names: str):
         return F.coalesce(*[F.col(n) for n in names if n in have], F.lit(None))
 
-    return rows.select(first("question", "query").alias("question"), first("expected_answer", "answer", "expected").alias("expected_answer"), *[F.col(f.name) for f in QUESTION.fields if f.name in have and f.name.startswith("expected_") and f.name != "expected_answer"])
+    lists = [F.array().cast(f"array<{t}>").alias(n) if n not in have else F.col(n).cast(f"array<{t}>").alias(n) for n, t in (("expected_pages", "int"), ("expected_sections", "string"))]
+    return rows.select(first("question", "query").alias("question"), first("expected_answer", "answer", "expected").alias("expected_answer"), *lists)
 
 
 def rebuild(chunks: DataFrame, path: str) -> int:
