@@ -233,10 +233,11 @@ def whole(model: Model, text: str | None, parts: list[tuple[int, int, str, float
         return "mixed", min(max(x[3] for x in parts if x[2] == c) for c in codes)
     if codes:
         return codes.pop(), max(x[3] for x in parts)
-    if not text or not WORD.search(text):
+    found = WORD.findall(text or "")
+    if not any(len(w) > 2 and not (w.isupper() and len(w) < 4) for w in found):  # no words, or abbreviations beside figures
         return "unknown", 1.0
-    p, words, plain = model.scores([text])
-    if not plain[0]:  # names and abbreviations only
+    p, _, plain = model.scores([text])
+    if not plain[0] and len(found) < 4:  # a name tells no language
         return "unknown", 1.0 - float(p[0].max())
     return CODES[int(p[0].argmax())], float(p[0].max())
 

@@ -79,7 +79,8 @@ def node(value: Column, kind: T.DataType) -> tuple[Column, Column]:
         return F.struct(h.alias("h"), c.alias("c"))
 
     def closed(items: Column, mark: str) -> tuple[Column, Column]:
-        hashes, texts = (F.array_join(F.transform(items, lambda x, f=f: x[f]), s) for f, s in (("h", ""), ("c", "\u0002")))
+        hashes = F.array_join(F.transform(items, lambda x: x["h"]), "")
+        texts = F.array_join(F.transform(items, lambda x: x["c"]), "\u0002")
         return _digest(F.concat(F.lit(mark), hashes)), F.concat(F.lit(mark), texts, F.lit("\u0003"))
 
     def named(name: Column, child: Column) -> Column:
