@@ -41,6 +41,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def words(*values: str) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -158,21 +163,33 @@ def _count(text: Column, pattern: str) -> Column:
 
 def detect_language(text: Column | str) -> Column:
     """eng, hin, mar, mixed or unknown by script and hint words; other Latin languages count as eng."""
-    t = F.translate(F.coalesce(col(text), F.lit("")), ZERO_WIDTH, "")
-    dev, lat, letters = _count(t, "[\\x{900}-\\x{97F}]"), _count(t, "\\p{IsLatin}"), F.greatest(F.lit(1), _count(t, "\\p{L}"))
-    tokens = F.array_distinct(F.regexp_extract_all(t, F.lit("[\\x{900}-\\x{97F}]+"), F.lit(0)))
-    mar, hin = (F.size(F.array_intersect(tokens, words(*hints))) for hints in (MARATHI_HINTS, HINDI_HINTS))
-    devanagari = F.when(mar > hin, "mar").when(hin > mar, "hin").when(t.rlike(f"[{MARATHI_LETTERS}]"), "mar").otherwise("hin")
-    shares = F.when((dev / letters < 0.15) & (lat / letters >= 0.5), "eng").when(dev / letters >= 0.5, devanagari).when((dev > 0) & (lat > 0), "mixed").otherwise("unknown")
-    return F.when(strip(t) == "", "unknown").otherwise(shares)
+
+    def counted(t: Column) -> Column:
+        tokens = F.array_distinct(F.regexp_extract_all(t, F.lit("[\\x{900}-\\x{97F}]+"), F.lit(0)))
+        hints = [F.size(F.array_intersect(tokens, words(*known))).alias(code) for code, known in (("mar", MARATHI_HINTS), ("hin", HINDI_HINTS))]
+        return F.struct(_count(t, "[\\x{900}-\\x{97F}]").alias("dev"), _count(t, "\\p{IsLatin}").alias("lat"), F.greatest(F.lit(1), _count(t, "\\p{L}")).alias("all"), *hints, t.rlike(f"[{MARATHI_LETTERS}]").alias("own"), (strip(t) == "").alias("blank"))
+
+    def decide(c: Column) -> Column:
+        devanagari = F.when(c["mar"] > c["hin"], "mar").when(c["hin"] > c["mar"], "hin").when(c["own"], "mar").otherwise("hin")
+        dev, lat = c["dev"] / c["all"], c["lat"] / c["all"]
+        shares = F.when((dev < 0.15) & (lat >= 0.5), "eng").when(dev >= 0.5, devanagari).when((c["dev"] > 0) & (c["lat"] > 0), "mixed").otherwise("unknown")
+        return F.when(c["blank"], "unknown").otherwise(shares)
+
+    return let(let(F.translate(F.coalesce(col(text), F.lit("")), ZERO_WIDTH, ""), counted), decide)
 
 
 def text_quality(text: Column | str) -> Column:
     """0 to 1: letters, word density, presence of words, less replacement characters; 0 for an empty text."""
-    t = clean_scan(text)
-    chars, found, bad = F.length(t), _count(t, "[A-Za-z\\x{900}-\\x{97F}]{2,}"), _count(t, "[\\x{FFFD}\\x{FFFE}]")
-    score = 0.35 * _count(t, "\\p{L}") / chars + 0.35 * F.least(F.lit(1.0), found / F.greatest(F.lit(1.0), chars / 6)) + F.when(found > 0, 0.30).otherwise(0.0) - 0.70 * bad / chars
-    return F.when(chars == 0, 0.0).otherwise(F.greatest(F.lit(0.0), score))
+
+    def counted(t: Column) -> Column:
+        return F.struct(F.length(t).alias("chars"), _count(t, "\\p{L}").alias("letters"), _count(t, "[A-Za-z\\x{900}-\\x{97F}]{2,}").alias("found"), _count(t, "[\\x{FFFD}\\x{FFFE}]").alias("bad"))
+
+    def score(c: Column) -> Column:
+        density = F.least(F.lit(1.0), c["found"] / F.greatest(F.lit(1.0), c["chars"] / 6))
+        total = 0.35 * c["letters"] / c["chars"] + 0.35 * density + F.when(c["found"] > 0, 0.30).otherwise(0.0) - 0.70 * c["bad"] / c["chars"]
+        return F.when(c["chars"] == 0, 0.0).otherwise(F.greatest(F.lit(0.0), total))
+
+    return let(let(clean_scan(text), counted), score)
 
 
 def should_scan(text: Column | str, images: Column, min_chars: int = 80, image_chars: int = 900, min_score: float = 0.42) -> Column:
@@ -185,16 +202,17 @@ def should_scan(text: Column | str, images: Column, min_chars: int = 80, image_c
 def choose_text(raw: Column | str, scanned: Column | str) -> Column:
     """struct(text, method, score) of the better of a page's native and scanned texts; a scan must be better by 0.06."""
     r, s = col(raw), col(scanned)
-    rq, sq = text_quality(r), text_quality(s)
     rn, sn = (F.length(strip(F.coalesce(x, F.lit("")))) for x in (r, s))
 
-    def picked(text: Column, method: str, score: Column) -> Column:
-        return F.struct(text.alias("text"), F.lit(method).alias("method"), score.alias("score"))
+    def pick(q: Column) -> Column:
+        def picked(text: Column, method: str, score: Column) -> Column:
+            return F.struct(text.alias("text"), F.lit(method).alias("method"), score.alias("score"))
+
+        both, native = picked(s, "native+scan", q["s"]), picked(r, "native", q["r"])
+        choice = F.when(F.coalesce(r, F.lit("")) == "", picked(s, "scan", q["s"])).when(F.coalesce(s, F.lit("")) == "", native)
+        return choice.when(q["s"] >= q["r"] + 0.06, both).when((rn < 80) & (sn > rn), both).otherwise(native)
 
-    both = picked(s, "native+scan", sq)
-    native = picked(r, "native", rq)
-    choice = F.when(F.coalesce(r, F.lit("")) == "", picked(s, "scan", sq)).when(F.coalesce(s, F.lit("")) == "", native)
-    return choice.when(sq >= rq + 0.06, both).when((rn < 80) & (sn > rn), both).otherwise(native)
+    return let(F.struct(text_quality(r).alias("r"), text_quality(s).alias("s")), pick)
 
 
 def corruption_ratio(text: Column | str) -> Column:
@@ -208,8 +226,14 @@ def corruption_ratio(text: Column | str) -> Column:
         single = F.when((F.length(t) == 1) & ~t.rlike("^[aAiI\\p{Nd}]$"), 0.5).otherwise(0.0)
         return among + marks + control + single
 
-    total = F.aggregate(tokens, F.lit(0.0), lambda s, t: s + weight(t))
-    return F.when(F.size(tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), total / F.size(tokens)))
+    # one look at every token; the few that have something are weighed
+    suspect = "[A-Za-z]\\p{Nd}|\\p{Nd}[A-Za-z]|[|_=~^]{2}|[\\x00-\\x1f\\x7f]|^.$"
+
+    def share(found: Column) -> Column:
+        bad = F.aggregate(F.filter(found, lambda t: t.rlike(suspect)), F.lit(0.0), lambda s, t: s + weight(t))
+        return F.when(F.size(found) == 0, 0.0).otherwise(F.least(F.lit(1.0), bad / F.size(found)))
+
+    return let(tokens, share)
 
 
 def token_disagreement(a: Column | str, b: Column | str) -> Column:
@@ -219,18 +243,25 @@ def token_disagreement(a: Column | str, b: Column | str) -> Column:
         found = F.regexp_extract_all(F.coalesce(col(c), F.lit("")), F.lit("[A-Za-z0-9\\x{80}-\\x{FFFF}]+"), F.lit(0))
         return F.array_distinct(F.transform(F.filter(found, lambda t: F.length(t) > 1), F.lower))
 
-    x, y = tokens(a), tokens(b)
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.round(1 - F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 3))
+    def apart(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.round(1 - F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y)), 3))
+
+    return let(F.struct(tokens(a).alias("x"), tokens(b).alias("y")), apart)
 
 
 def should_denoise(text: Column | str, scanned: Column | str, confidence: Column, used: Column, min_chars: int = 80, worst: float = 55.0, corrupt: float = 0.08, apart: float = 0.45) -> Column:
     """struct(needs, ratio, disagreement): whether a page's text should be restored; short texts never."""
     t, s = strip(F.coalesce(col(text), F.lit(""))), F.coalesce(col(scanned), F.lit(""))
-    ratio, split = corruption_ratio(t), token_disagreement(t, s)
     low = F.coalesce((confidence >= 0) & (confidence < worst), F.lit(False))
-    doubt = F.coalesce(used & (split >= apart) & (confidence < worst + 10), F.lit(False))
-    long = F.length(t) >= min_chars
-    return F.struct((long & ((ratio >= corrupt) | low | doubt)).alias("needs"), F.when(long, ratio).otherwise(0.0).alias("ratio"), F.when(long, split).otherwise(0.0).alias("disagreement"))
+
+    def gate(m: Column) -> Column:
+        doubt = F.coalesce(used & (m["split"] >= apart) & (confidence < worst + 10), F.lit(False))
+        return F.struct(((m["ratio"] >= corrupt) | low | doubt).alias("needs"), m["ratio"].alias("ratio"), m["split"].alias("disagreement"))
+
+    short = F.struct(F.lit(False).alias("needs"), F.lit(0.0).alias("ratio"), F.lit(0.0).alias("disagreement"))
+    measures = F.struct(corruption_ratio(t).alias("ratio"), token_disagreement(t, s).alias("split"))
+    return F.when(F.length(t) >= min_chars, let(measures, gate)).otherwise(short)
 
 
 def digit_tokens(text: Column | str) -> Column:

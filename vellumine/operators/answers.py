@@ -9,6 +9,7 @@ from vellumine.functions.fuzzy import term_matches
 from vellumine.functions.numbers import answer_numbers, bare_number, matched_names, matched_numbers, names, number_strings
 from vellumine.functions.text import SPACE, answer_terms, citation_text, collapse, normalize_token, query_overlap, query_terms, retrieval_text, strip, tokenize
 from vellumine.operators.chunking import sentences
+from vellumine.session import written
 
 # Table rows whose figures follow on lines of their own, and rows that end a search for figures.
 ROW_NAMES = ("total income", "total expenditure", "cash and cash equivalents", "bank balance other than cash and cash equivalents", "provision for standard assets", "total exposure to the top five npa accounts")
@@ -32,36 +33,43 @@ def _text_lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\\R"), strip), lambda x: x != "")
 
 
-def evidence_preview(wanted_numbers: Column, wanted_names: Column, text: Column, most: int = 1000) -> Column:
-    """What of a text is shown for an answer: the table row and its figures, else lines around names, else lines with numbers, else the text."""
-    lines = _text_lines(text)
-    plain = F.transform(lines, citation_text)
-    n = F.size(lines)
-    rows = F.array_intersect(wanted_names, F.array(*[F.lit(x) for x in ROW_NAMES]))
+def with_evidence(rows: DataFrame, most: int = 1000) -> DataFrame:
+    """rows (wanted_numbers, wanted_names, text) with `evidence`, what of the text is shown for the answer.
+
+    The table row and its figures; else the lines around names; else the lines with numbers; else the text.  Worked out column
+    by column, so that nothing is computed twice.
+    """
+    known = F.array(*[F.lit(x) for x in ROW_NAMES])
+    rows = rows.withColumn("lines", _text_lines(F.col("text"))).withColumn("plain", F.transform("lines", lambda x: citation_text(x))).withColumn("bare", F.transform("wanted_numbers", lambda x: bare_number(x)))
+    rows = rows.withColumn("row_names", F.array_intersect("wanted_names", known))
     # the longest name that some line holds, and its first line
-    longest = F.transform(F.array_sort(F.transform(rows, lambda e: F.struct((-F.size(F.split(e, " "))).alias("k"), F.array_position(rows, e).alias("i"), e.alias("e")))), lambda x: x["e"])
-    at = F.get(F.filter(F.transform(longest, lambda e: F.array_position(F.transform(plain, lambda x: F.contains(x, e)), True)), lambda k: k > 0), F.lit(0))
-    label = F.element_at(lines, at.cast("int"))
-    entity = F.get(F.filter(rows, lambda e: F.contains(citation_text(label), e)), F.lit(0))
-    after = F.slice(lines, at.cast("int") + 1, F.greatest(n - at.cast("int"), F.lit(0)))
-    stop = F.array_position(F.transform(after, lambda x: citation_text(x).isin(*ROW_ENDS)), True)
-    before = F.when(stop > 0, F.slice(after, F.lit(1), stop.cast("int") - 1)).otherwise(after)
+    longest = F.transform(F.array_sort(F.transform("row_names", lambda e, i: F.struct((-F.size(F.split(e, " "))).alias("k"), i.alias("i"), e.alias("e")))), lambda x: x["e"])
+    first = F.transform(longest, lambda e: F.array_position(F.transform("plain", lambda x: F.contains(x, e)), True))
+    rows = rows.withColumn("at", F.get(F.filter(first, lambda k: k > 0), F.lit(0)).cast("int"))
+    rows = rows.withColumn("label", F.try_element_at("lines", F.col("at"))).withColumn("entity", F.get(F.filter("row_names", lambda e: F.contains(citation_text("label"), e)), F.lit(0)))
+    rows = rows.withColumn("after", F.slice("lines", F.col("at") + 1, F.size("lines")))
+    rows = rows.withColumn("stop", F.array_position(F.transform("after", lambda x: citation_text(x).isin(*ROW_ENDS)), True).cast("int"))
+    before = F.when(F.col("stop") > 0, F.slice("after", F.lit(1), F.col("stop") - 1)).otherwise(F.col("after"))
     figures = F.slice(F.filter(before, lambda x: x.rlike("^\\(?\\p{Nd}[\\p{Nd},]*(?:\\.\\p{Nd}+)?\\)?$") | (x == "-")), F.lit(1), F.lit(4))
-    bare = F.transform(wanted_numbers, bare_number)
-    close = F.filter(F.slice(after, F.lit(1), F.lit(7)), lambda x: F.array_contains(bare, bare_number(x)))
-    parts = F.when(entity.isin("total income", "total expenditure") & (F.size(figures) >= 4), F.concat(F.array(label), figures)).otherwise(F.concat(F.array(label), close))
-    table = F.when(at.isNotNull() & entity.isNotNull(), F.array_join(parts, " | "))
-    holds = F.transform(plain, lambda x: F.exists(wanted_names, lambda e: F.contains(x, e)))
-    near = F.filter(lines, lambda x, i: F.coalesce(F.get(holds, i), F.lit(False)) | F.coalesce(F.get(holds, i + 1), F.lit(False)) | F.coalesce(F.get(holds, i - 1), F.lit(False)))
-    around = F.array_join(F.array_distinct(near), " | ")
+    close = F.filter(F.slice("after", F.lit(1), F.lit(7)), lambda x: F.array_contains("bare", bare_number(x)))
+    rows = rows.withColumn("figures", figures).withColumn("close", close)
+    whole_row = F.col("entity").isin("total income", "total expenditure") & (F.size("figures") >= 4)
+    parts = F.concat(F.array("label"), F.when(whole_row, F.col("figures")).otherwise(F.col("close")))
+    table = F.when(F.col("at").isNotNull() & F.col("entity").isNotNull(), F.array_join(parts, " | "))
+    rows = rows.withColumn("table", table).withColumn("holds", F.transform("plain", lambda x: F.exists("wanted_names", lambda e: F.contains(x, e))))
+
+    def held(i: Column) -> Column:
+        return F.coalesce(F.get("holds", i), F.lit(False))
+
+    around = F.array_join(F.array_distinct(F.filter("lines", lambda _, i: held(i) | held(i + 1) | held(i - 1))), " | ")
 
     def has_number(x: Column) -> Column:
-        flat = F.regexp_replace(citation_text(x), f"[₹,%]|{SPACE}", "")
-        return F.exists(bare, lambda b: (b != "") & F.contains(flat, b))
+        return F.exists("bare", lambda b: (b != "") & F.contains(F.regexp_replace(x, f"[₹,%]|{SPACE}", ""), b))
 
-    numbered = F.array_join(F.array_distinct(F.filter(lines, has_number)), " | ")
-    whole = strip(collapse(F.coalesce(text, F.lit(""))))
-    return F.substring(F.coalesce(F.nullif(table, F.lit("")), F.nullif(around, F.lit("")), F.nullif(numbered, F.lit("")), whole), 1, most)
+    numbered = F.array_join(F.array_distinct(F.filter("lines", lambda x, i: has_number(F.get("plain", i)))), " | ")
+    whole = strip(collapse(F.coalesce("text", F.lit(""))))
+    shown = F.coalesce(F.nullif("table", F.lit("")), F.nullif(around, F.lit("")), F.nullif(numbered, F.lit("")), whole)
+    return rows.withColumn("evidence", F.substring(shown, 1, most)).drop("lines", "plain", "bare", "row_names", "at", "label", "entity", "after", "stop", "figures", "close", "table", "holds")
 
 
 def citations(pairs: DataFrame, most: int = 5) -> DataFrame:
@@ -71,7 +79,7 @@ def citations(pairs: DataFrame, most: int = 5) -> DataFrame:
     of an already cited place only adds what it covers; one that confirms nothing new is passed over; the cover ends when
     everything is confirmed or `most` are cited.  The fold sees one query's results (a bounded list), inside the JVM.
     """
-    exact = support(pairs).where("exact")
+    exact = written(support(pairs).where("exact"), "support")
     place = F.concat_ws("\u0001", F.coalesce("document_id", F.lit("")), F.coalesce(F.col("page_number").cast("string"), F.lit("")), citation_text("section"))
     covers = F.array_distinct(F.concat(F.transform("numbers", lambda x: F.concat(F.lit("n"), x)), F.transform("named", lambda x: F.concat(F.lit("e"), x))))
     wants = F.array_distinct(F.concat(F.transform("wanted_numbers", lambda x: F.concat(F.lit("n"), x)), F.transform("wanted_names", lambda x: F.concat(F.lit("e"), x))))
@@ -91,8 +99,7 @@ def citations(pairs: DataFrame, most: int = 5) -> DataFrame:
 
     chosen = folded.select("query_id", F.posexplode(F.aggregate("items", start, step)["cited"]).alias("n", "id"))
     out = chosen.join(exact, ["query_id", "id"])
-    preview = evidence_preview(F.col("wanted_numbers"), F.col("wanted_names"), F.col("text"))
-    return out.select("query_id", F.format_string("C%d", F.col("n") + 1).alias("citation_id"), "id", "document_id", "page_number", F.coalesce("section", F.lit("")).alias("section"), preview.alias("evidence"), "support_score")
+    return with_evidence(out).select("query_id", F.format_string("C%d", F.col("n") + 1).alias("citation_id"), "id", "document_id", "page_number", F.coalesce("section", F.lit("")).alias("section"), "evidence", "support_score")
 
 
 def citation_errors(cited: DataFrame, results: DataFrame) -> DataFrame:
