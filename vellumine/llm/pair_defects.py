@@ -16,7 +16,7 @@ from vellumine.llm.merkle import INVISIBLE
 from vellumine.session import written
 
 # Words that announce an answer or stand for none.
-LABELS = "final answer|answer|question|response|output|assistant|réponse|question|antwort|frage|respuesta|pregunta|उत्तर|प्रश्न|a|q"
+LABELS = "you asked|your question( was| is)?|the question( was| is)?|query|prompt|vous avez demandé|votre question|sie fragten|ihre frage|usted preguntó|su pregunta|आपने पूछा|तुम्ही विचारले|final answer|answer|question|response|output|assistant|réponse|question|antwort|frage|respuesta|pregunta|उत्तर|प्रश्न|a|q"
 NOTHING = "none|null|nan|n ?a|undefined|empty|no response|blank|todo|tbd"
 # How an answer declines, by language.  A speaker or the sources must be the one that fails: papers report
 # of others that they declined or could not.
@@ -99,7 +99,7 @@ def broken_off(answers: DataFrame, spike: int = 10) -> DataFrame:
     complete = complete.select(F.regexp_replace(masked(F.col("s")), "[.!?।॥\"'”’»)\\]]+$", "").alias("m")).distinct()
     # a begun sentence after complete ones breaks off, however short; so does a long run of ordinary words
     words = F.regexp_count("tail", F.lit("(?<!\\p{L})[\\p{Ll}\\u0900-\\u0D7F][\\p{L}\\p{M}]+"))
-    begun = F.element_at("parts", -2).rlike(_END) & F.col("tail").rlike("[\\p{Ll}\\u0900-\\u0D7F]{2}") & F.col("a").contains(F.concat(F.element_at("parts", -2), F.lit(" "), F.col("tail")))
+    begun = F.element_at("parts", -2).rlike(_END) & F.col("tail").rlike("[\\p{Ll}\\u0900-\\u0D7F]") & F.col("a").contains(F.concat(F.element_at("parts", -2), F.lit(" "), F.col("tail")))
     plainly = rows.where("open").where(F.when(F.size("parts") > 1, begun).otherwise(False) | (words >= 5)).select("i", F.lit(True).alias("plainly"))
     # only a tail with an ordinary word can be a sentence; figures, names and codes are answers of their own
     tails = rows.where("open").select("i", "n", "tail", F.explode(_views(F.col("tail"))).alias("s")).withColumn("m", F.rtrim(masked(F.col("s"))))
@@ -128,7 +128,7 @@ def broken_off(answers: DataFrame, spike: int = 10) -> DataFrame:
     met = met.select("i", "tail", F.coalesce(equal, F.lit(False)).alias("equal"), (F.coalesce(shortened, F.lit(False)) | (shared >= enough)).alias("cut"))
     # of a sentence that only lacks its mark the last word is a word seen elsewhere; of one cut in a name it isn't
     last = F.lower(F.regexp_extract("tail", "([\\p{L}\\p{M}]+)[^\\p{L}\\p{M}]*$", 1))
-    seen = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.array_join(F.filter("parts", lambda s: s.rlike(_END)), " ")), F.lit("[\\p{L}\\p{M}]+"), F.lit(0)))).alias("w")).distinct().withColumn("known", F.lit(True))
+    seen = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.array_join(F.filter("parts", lambda s: s.rlike(_END)), " ")), F.lit("(?<![\\p{L}\\p{N}/])[\\p{L}\\p{M}]+(?![\\p{N}/])"), F.lit(0)))).alias("w")).distinct().withColumn("known", F.lit(True))
     whole = met.where("equal").withColumn("w", last).join(seen, "w", "left").groupBy("i").agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("known"))
     cut = met.groupBy("i").agg(F.bool_or("cut").alias("cut")).join(whole, "i", "left").join(plainly, "i", "full")
     return cut.where("(coalesce(cut, false) or coalesce(plainly, false)) and not coalesce(known, false)").select("i")
