@@ -134,14 +134,14 @@ def should_scan(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def choose_text(s: SparkSession, d: str) -> DataFrame:
-    choice = X.choose_text("raw_text", "ocr_text")
-    return _pages(s, d).select("page_id", choice["method"].alias("method"), F.round(choice["score"], 6).alias("score"))
+    rows = _pages(s, d).withColumn("choice", X.choose_text("raw_text", "ocr_text"))
+    return rows.select("page_id", "choice.method", F.round("choice.score", 6).alias("score"))
 
 
 @query
 def should_denoise(s: SparkSession, d: str) -> DataFrame:
-    gate = X.should_denoise("text", "ocr_text", F.col("ocr_confidence"), F.col("ocr_used"))
-    return _pages(s, d).select("page_id", gate["needs"].alias("needs"), F.round(gate["ratio"], 6).alias("ratio"), gate["disagreement"].alias("disagreement"))
+    rows = _pages(s, d).withColumn("gate", X.should_denoise("text", "ocr_text", F.col("ocr_confidence"), F.col("ocr_used")))
+    return rows.select("page_id", "gate.needs", F.round("gate.ratio", 6).alias("ratio"), "gate.disagreement")
 
 
 @query
