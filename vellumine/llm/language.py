@@ -63,6 +63,7 @@ class Model:
     b: np.ndarray
     temperature: float = 1.0
     floor: float = 0.9
+    sample: tuple[list[str], list[str]] = field(default=((), ()), repr=False)
     words: dict[str, tuple[int, np.ndarray, int]] = field(default_factory=dict, repr=False)
     table: list[np.ndarray] = field(default_factory=list, repr=False)
     sizes: list[int] = field(default_factory=list, repr=False)
@@ -172,7 +173,14 @@ def train(df: DataFrame, ident: str, text: str, language: str, sample: int = 400
         for s in sentences(t)[:4]:
             texts.append(s)
             labels.append(y)
-    return fit(texts, labels)
+    model = fit(texts, labels)
+    model.sample = (texts, labels)
+    return model
+
+
+def widened(model: Model, texts: list[str], labels: list[str]) -> Model:
+    """A model fitted on the model's own sample and more labelled texts, of another kind say."""
+    return fit([*model.sample[0], *texts], [*model.sample[1], *labels])
 
 
 @dataclass(frozen=True)

@@ -134,7 +134,7 @@ def broken_off(answers: DataFrame, spike: int = 10) -> DataFrame:
     return cut.where("(coalesce(cut, false) or coalesce(plainly, false)) and not coalesce(known, false)").select("i")
 
 
-def defects(requests: DataFrame, responses: DataFrame, ident: str, query: str, answer: str, model: language.Model) -> DataFrame:
+def defects(requests: DataFrame, responses: DataFrame, ident: str, query: str, answer: str, model: language.Model, sample: int = 4000) -> DataFrame:
     """(`ident`, defect) of every defective answered pair; one defect each, in the order of the module's first line.
 
     Requests without a response row don't come out; a response without its request is judged without a question.  Repeated
@@ -151,10 +151,15 @@ def defects(requests: DataFrame, responses: DataFrame, ident: str, query: str, a
     rest = pairs.where("rule is null")
     cut = written(broken_off(rest.select("i", "a")), "pairs-cut")
     spoken = language.identify(rest, "i", "a", model, language.Rules(3, 2)).select("i", F.aggregate("stretches", F.create_map(F.lit(""), F.lit(0)), lambda m, s: F.map_concat(F.map_filter(m, lambda k, _: k != s["language"]), F.create_map(s["language"], F.coalesce(F.try_element_at(m, s["language"]), F.lit(0)) + s["end"] - s["start"]))).alias("by"))
-    # questions that ask for a language have said which; the others are in the language they expect
-    own = language.identify(rest.where("wanted is null and q is not null"), "i", "q", model, language.Rules(2, 1)).where("confidence >= 0.6 and language not in ('unknown', 'mixed')").select("i", F.col("language").alias("own"))
-    met = rest.select("i", "wanted").join(own, "i", "left").join(spoken, "i").withColumn("want", F.coalesce("wanted", "own"))
     main = F.array_max(F.transform(F.map_entries("by"), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("code"))))["code"]
-    other = met.withColumn("main", main).where("want is not null and main != '' and main != want").select("i")
+    spoken = written(spoken.select("i", main.alias("main")).where("main != ''"), "pairs-spoken")
+    # questions that ask for a language have said which.  The others are read by a model that has also seen questions, a
+    # bounded sample labelled by their answers' languages: most answers keep to the question's
+    plain = rest.where("wanted is null and q is not null").select("i", "q")
+    seen = plain.join(spoken, "i").select(F.xxhash64("i").alias("h"), "q", "main").orderBy("h", "q").limit(sample).toPandas()
+    asker = language.widened(model, list(seen["q"]), list(seen["main"]))
+    own = language.identify(plain, "i", "q", asker, language.Rules(2, 1)).where("confidence >= 0.6 and language not in ('unknown', 'mixed')").select("i", F.col("language").alias("own"))
+    met = rest.select("i", "wanted").join(own, "i", "left").join(spoken, "i").withColumn("want", F.coalesce("wanted", "own"))
+    other = met.where("want is not null and main != want").select("i")
     found = ruled.unionByName(cut.withColumn("defect", F.lit("truncated"))).unionByName(other.join(cut, "i", "left_anti").withColumn("defect", F.lit("other_language")))
     return found.withColumnRenamed("i", ident)
