@@ -62,7 +62,7 @@ class Model:
     W: np.ndarray
     b: np.ndarray
     temperature: float = 1.0
-    floor: float = 0.9
+    floor: float = 0.97
     sample: tuple[list[str], list[str]] = field(default=((), ()), repr=False)
     words: dict[str, tuple[int, np.ndarray, int]] = field(default_factory=dict, repr=False)
     table: list[np.ndarray] = field(default_factory=list, repr=False)
@@ -116,7 +116,7 @@ def subwords(word: str, buckets: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(g.encode()) % buckets for g in grams), dtype=np.int64)
 
 
-def fit(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, floor: float = 0.9, seed: int = 11) -> Model:
+def fit(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, floor: float = 0.97, seed: int = 11) -> Model:
     """A model from labelled sentences; every tenth is held out to fit the temperature."""
     rng = np.random.default_rng(seed)
     kept = [(ids, CODES.index(y)) for t, y in zip(texts, labels, strict=True) if y in CODES and len(ids := _features(t, buckets))]
@@ -170,7 +170,8 @@ def train(df: DataFrame, ident: str, text: str, language: str, sample: int = 400
     rows = rows.select(F.xxhash64("i").alias("h"), F.substring("t", 1, 4000).alias("t"), "y").orderBy("h").limit(sample).toPandas()  # bounded by `sample`
     texts, labels = [], []
     for t, y in zip(rows["t"], rows["y"], strict=True):
-        for s in sentences(t)[:4]:
+        parts = sentences(t)
+        for s in parts[:: max(1, len(parts) // 6)][:6]:  # from all over the text
             texts.append(s)
             labels.append(y)
     model = fit(texts, labels)

@@ -71,11 +71,12 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks without the right language code, with it, and pages of several languages, with each."""
-    chunks, pages = table(spark, folder, "chunks").select("chunk_id", "text", "language"), table(spark, folder, "pages").select("page_id", "text")
-    model = language.train(chunks, "chunk_id", "text", "language")
+    chunks, pages = table(spark, folder, "chunks").select("chunk_id", "text", "language"), table(spark, folder, "pages").select("page_id", "text", "language")
+    # pages carry what their sites stamp on them, which chunks don't
+    model = language.train(chunks.union(pages), "chunk_id", "text", "language")
     given = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", language.label_code(F.col("language")).alias("given"))
     right = language.identify(chunks, "chunk_id", "text", model).join(given, "chunk_id").where("given is null or given != language")
-    several = language.identify(pages, "page_id", "text", model).select("page_id", F.array_distinct("stretches.language").alias("languages")).where("size(languages) > 1")
+    several = language.identify(pages, "page_id", "text", model, language.Rules(6, 4)).select("page_id", F.array_distinct("stretches.language").alias("languages")).where("size(languages) > 1")
     return right.select(F.col("chunk_id").alias("record_id"), "language").unionByName(several.select(F.col("page_id").alias("record_id"), F.explode("languages").alias("language")))
 
 

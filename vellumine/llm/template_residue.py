@@ -23,7 +23,7 @@ SUSPECT = (
 )
 # Lines of error pages, of script, cookie and sign-in notices, and of filler; each is a sentence's opening.
 FAULTS = (
-    r"(error|erreur|fehler|त्रुटि|त्रुटी)\s*:?\s*\p{Nd}{3}\s*([:–-].*)?[.।]?$",
+    r"http(/[\d.]+)?( status| error)?( code)?:? \p{Nd}{3}\b.{0,60}|(error|erreur|fehler|त्रुटि|त्रुटी)\s*:?\s*\p{Nd}{3}\s*([:–-].*)?[.।]?$",
     r"(fatal|panic|uncaught( exception)?|unhandled exception|(\w+)?(error|exception))\s*:\s?.*",
     r"traceback\b.*|nullreference\b.*|stack trace\b.*|at [\w$]+(\.[\w$<>]+)+ ?\(.*",
     r"\(?\p{Nd}{3}\)?\s*[-–:]?\s*(page |file )?not found.*|(page|file|document)( \S+)? (was )?not found\b.*|(seite|datei|dokument)( \S+)? nicht gefunden.*|(la )?(page|ressource) (demandée )?(est )?introuvable.*|(no se encontró|no se ha encontrado) la página.*",
