@@ -131,6 +131,11 @@ def test_scan_noise(spark):
     assert text["code"] == "the ledger B2B-204 and form 16A"
 
 
+def test_frequent_misreads_are_corrected(spark):
+    words = spark.createDataFrame([("limited", 200_000), ("limitcd", 10_000), ("houses", 4_000), ("hovses", 3_000)], "w string, n long")
+    assert {r.w: r.v for r in S.corrections(words).collect()} == {"limitcd": "limited"}
+
+
 def test_anagram_values(spark):
     df = spark.createDataFrame([("listen", "silent", "rn", "m")], "a string, b string, c string, d string")
     r = df.select(S.anagram_value(F.col("a")), S.anagram_value(F.col("b")), S.anagram_value(F.col("c")) == S.anagram_value(F.col("d"))).first()

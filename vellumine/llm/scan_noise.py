@@ -128,7 +128,7 @@ def corrections(words: DataFrame, ratio: int = 15, least: int = 10) -> DataFrame
     size = F.length("left") + F.length("right") + F.col("more")
     swapped = odd.join(dropped, "value").where(F.col("v").startswith(F.col("left")) & F.col("v").endswith(F.col("right")) & (F.length("v") == size)).select("w", "n", "v", "vn").where("vn >= n")
     # rare words: letters taken for letters
-    rare = words.where(pure & (F.length("w") >= 5)).where("n <= 1000").withColumn("value", anagram_value(F.col("w")))
+    rare = words.where(pure & (F.length("w") >= 5)).withColumn("value", anagram_value(F.col("w")))
     turned = rare.select("w", "n", F.explode(F.concat(*[_turns(a, b) for a, b in CONFUSED])).alias("e")).select("w", "n", "e.value", "e.v")
     turned = turned.join(known, ["value", "v"]).where(f"vn >= {ratio} * n and vn >= {least}").select("w", "n", "v", "vn")
     met = swapped.unionByName(turned)
