@@ -136,6 +136,16 @@ def test_frequent_misreads_are_corrected(spark):
     assert {r.w: r.v for r in S.corrections(words).collect()} == {"limitcd": "limited"}
 
 
+def test_letters_of_another_script_are_misreads(spark):
+    words = [("दौरान", 50), ("दौlान", 3), ("प्रशिक्षण", 40), ("प्रशिकlषण", 2), ("limited", 60), ("limitеd", 2), ("पिछlे", 2), ("अनजlना", 4), ("état", 9), ("थी", 80), ("थीi", 7), ("थी|", 3)]
+    fixes = S.corrections(spark.createDataFrame(words, "w string, n long"))
+    assert {r.w: r.v for r in fixes.collect()} == {"दौlान": "दौरान", "प्रशिकlषण": "प्रशिक्षण", "limitеd": "limited", "थीi": "थी", "थी|": "थी"}
+    page = scans(spark, [(f"c{n}", f"d{n}", 1, "बैठक के दौरान") for n in range(5)] + [("m", "d9", 1, "बैठक के दौlान")])
+    found, fixes, titles = S.find_noise(page)
+    assert [(r.r, r.noise) for r in found.collect()] == [("m", "misread")]
+    assert {r.r: r.t for r in S.repaired(page, fixes, titles).collect()}["m"] == "बैठक के दौरान"
+
+
 def test_anagram_values(spark):
     df = spark.createDataFrame([("listen", "silent", "rn", "m")], "a string, b string, c string, d string")
     r = df.select(S.anagram_value(F.col("a")), S.anagram_value(F.col("b")), S.anagram_value(F.col("c")) == S.anagram_value(F.col("d"))).first()

@@ -1,11 +1,12 @@
 """Noise of scanned and typeset pages: cut words, misread characters, page furniture; and the repaired text.
 
 Misread words: every word has an anagram value, the sum of its characters' hashes, so that one confusion (a letter taken for
-a mark or a digit, a stray mark, rn for m) shifts it by a known difference.  Words with marks or digits among their letters,
-and rare words, are joined by value plus difference with frequent words; a hit is confirmed letter by letter, and of several
-the most frequent wins.  Cut words: the halves joined must not be rarer than the halves with a hyphen.  Furniture: lines of a
-document's running title, whose kinds are learned from lines that recur on pages of one document, and lines that say the
-page's number, at the page's edges or with the word or signs of a page number.
+a mark, a digit or a letter of another script, a stray mark, rn for m) shifts it by a known difference.  Words with marks,
+digits or letters of another script among their letters, and rare words, are joined by value plus difference with frequent
+words; a hit is confirmed letter by letter, and of several the most frequent wins.  Cut words: the halves joined must not be
+rarer than the halves with a hyphen.  Furniture: lines of a document's running title, whose kinds are learned from lines that
+recur on pages of one document, and lines that say the page's number, at the page's edges or with the word or signs of a page
+number.
 """
 
 from __future__ import annotations
@@ -83,10 +84,10 @@ def title_lines(marked: DataFrame, documents: int = 2, edge: float = 0.8) -> Dat
 
 
 def words_of(text: Column) -> Column:
-    """Distinct lower-case words with their noise: cut words joined, 3 to 40 characters, with a letter."""
+    """Distinct lower-case words with their noise: cut words joined, 3 to 40 characters (2 where a letter bears a sign), with a letter."""
     flat = F.regexp_replace(text, "[-‐­][ \\t\\r]*\\n\\s*|" + INVISIBLE, "")
     words = F.array_distinct(F.split(F.lower(flat), _SPLIT))
-    return F.filter(words, lambda w: F.length(w).between(3, 40) & w.rlike("\\p{L}"))
+    return F.filter(words, lambda w: (F.length(w).between(3, 40) & w.rlike("\\p{L}")) | w.rlike("^\\p{L}\\p{M}$"))
 
 
 def anagram_value(word: Column) -> Column:
@@ -108,15 +109,28 @@ def _turns(old: str, new: str) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(1), F.length(w)), lambda k: F.substring(w, k, F.lit(n)) == old), turn)
 
 
+def _foreign(text: Column, word: Column) -> Column:
+    """The text has a letter of another script than most of the word's letters are of (Latin or Devanagari)."""
+    latin, deva = (F.length(F.regexp_replace(word, f"\\P{{Is{x}}}", "")) for x in ("Latin", "Devanagari"))
+    other = [text.rlike(f"[\\p{{L}}&&[^\\p{{Is{x}}}\\p{{IsCommon}}]]") for x in ("Latin", "Devanagari")]
+    return F.when(latin > deva, other[0]).when(deva > latin, other[1]).otherwise(False)
+
+
 def corrections(words: DataFrame, ratio: int = 15, least: int = 10) -> DataFrame:
     """(w, v): a misread word and the frequent word it is, from (w, n), the words and the number of texts with each."""
-    odd_word = F.col("w").rlike(f"[{MARKS}]") | F.col("w").rlike("\\p{L}\\p{M}*\\p{Nd}|\\p{Nd}\\p{L}")
-    pure = F.col("w").rlike("^[\\p{L}\\p{M}-]+$")
+    foreign = _foreign(F.col("w"), F.col("w"))
+    odd_word = F.col("w").rlike(f"[{MARKS}]") | F.col("w").rlike("\\p{L}\\p{M}*\\p{Nd}|\\p{Nd}\\p{L}") | foreign
+    pure = F.col("w").rlike("^[\\p{L}\\p{M}-]+$") & ~foreign
     letters = F.length(F.regexp_replace("w", "[^\\p{L}\\p{M}]", ""))
     known = words.where(pure & (F.col("n") >= 2)).select(F.col("w").alias("v"), F.col("n").alias("vn"), anagram_value(F.col("w")).alias("value"))
-    # odd words: one mark or digit (a mark may be doubled) taken for a letter, or strayed in
+    # odd words: one mark, digit or letter of another script (or two together) taken for a letter, or strayed in
     odd = words.where(odd_word & (letters >= 2) & (letters * 2 >= F.length("w"))).withColumn("value", anagram_value(F.col("w")))
-    spots = F.filter(F.sequence(F.lit(1), F.length("w")), lambda k: F.substring(F.col("w"), k, F.lit(1)).rlike(f"[{MARKS}\\p{{Nd}}]"))
+
+    def spot(k: Column) -> Column:
+        c = F.substring(F.col("w"), k, F.lit(1))
+        return c.rlike(f"[{MARKS}\\p{{Nd}}]") | _foreign(c, F.col("w"))
+
+    spots = F.filter(F.sequence(F.lit(1), F.length("w")), spot)
     odd = odd.withColumn("spots", spots).withColumn("from", F.array_min("spots")).withColumn("to", F.array_max("spots"))
     odd = odd.where("size(spots) > 0 and to - from + 1 = size(spots) and size(spots) <= 2")
     odd = odd.select("w", "n", "value", F.substring("w", F.lit(1), F.col("from") - 1).alias("left"), F.substring("w", F.col("from"), F.col("to") - F.col("from") + 1).alias("bad"), F.substring("w", F.col("to") + 1, F.length("w")).alias("right"))
