@@ -47,6 +47,41 @@ def test_citation_errors(spark):
     assert [(r.citation_id, r.errors) for r in got] == [("C2", ["chunk_id not found in retrieved results", "missing page number", "missing evidence"])]
 
 
+GENERIC = "query_id long, id string, query string, answer string, text string, document_id string, source string, page_number int, section string, rank int"
+
+
+def test_generic_citations_where_none_are_structured(spark):
+    ask, said = "What types of laminar equipment exist?", "Laminar flow cabinets exist."
+    long = "Rain fell. Laminar equipment exists of several types " + "and " * 90 + "more."
+    rows = [
+        (1, "a", ask, said, "Rain fell. The laminar equipment of all types exists as cabinets. It is cleaned.", "d", "s.pdf", 4, "Tools", 1),
+        (1, "b", ask, said, "Laminar equipment types exist.", "d", "s.pdf", 4, "Tools", 2),  # the same place
+        (1, "c", ask, said, "Nothing of it here.", "d", "s.pdf", 5, "Other", 3),
+        (1, "e", ask, said, long, "d", None, None, "Unknown", 4),
+        (2, "f", "What was the income?", "Income was 31,455.43 lakhs.", "Income was 31,455.43", "d", "s.pdf", 7, "Sums", 1),
+        (3, "g", "What was the income?", "Income was 31,455.43 lakhs.", "Income was 31,455.43 lakhs.", "d", "s.pdf", None, "Sums", 1),  # no page: not valid
+        (4, "h", "zebra?", "quagga", "An unrelated chunk", "d", "s.pdf", 1, "X", 1),
+    ]
+    pairs = spark.createDataFrame(rows, GENERIC)
+    got = {r.query_id: r.citations for r in answers.cited_answers(pairs).collect()}
+    assert set(got) == {1, 2, 3}
+    first = got[1].split("\n")
+    assert first[:2] == ["[C1] s.pdf | Page 4 | Section: Tools", "    Evidence: The laminar equipment of all types exists as cabinets."]
+    assert first[2] == "[C2] Unknown | Page Unknown" and first[3].endswith("and...") and len(first) == 4
+    assert got[2].startswith("[C1] Page 7, Sums — ")
+    assert got[3] == "[C1] s.pdf | Page Unknown | Section: Sums\n    Evidence: Income was 31,455.43 lakhs."
+
+
+def test_generic_scores(spark):
+    row = (1, "a", "laminar types", "cabinets hold", "Laminar cabinets of types.", "d", "s", 1, "Laminar", 1)
+    got = answers.generic_citations(spark.createDataFrame([row], GENERIC)).first()
+    # query terms: laminar, types, kind, category, classification; answer terms: cabinets, hold
+    assert got is None
+    row = (1, "a", "laminar cabinets", "cabinets hold", *row[4:])
+    got = answers.generic_citations(spark.createDataFrame([row], GENERIC)).first()
+    assert got.score == pytest.approx(0.42 + 0.28 * 0.5 + 0.10 + 0.08 * 0.5 + 0.04 * 0.5, abs=1e-9)
+
+
 def test_grounding(spark):
     a = spark.createDataFrame([(1, "Income was 31,455.43"), (2, "Income was 99.99"), (3, "zebra quagga"), (4, " ")], "query_id long, answer string")
     t = spark.createDataFrame([(n, "total income was 31,455.43 lakh") for n in (1, 2, 3, 4)], "query_id long, text string")

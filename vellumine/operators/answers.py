@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions.fuzzy import term_matches
 from vellumine.functions.numbers import answer_numbers, bare_number, matched_names, matched_numbers, names, number_strings
-from vellumine.functions.text import SPACE, answer_terms, citation_text, collapse, normalize_token, query_overlap, query_terms, retrieval_text, strip, tokenize
+from vellumine.functions.text import SPACE, answer_terms, citation_text, collapse, let, normalize_token, phrase_overlap, query_overlap, query_terms, retrieval_text, strip, tokenize
 from vellumine.operators.chunking import sentences
 from vellumine.session import written
 
@@ -117,6 +117,87 @@ def format_citations(cited: DataFrame) -> DataFrame:
     return cited.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("citation_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("citations"))
 
 
+def _windows(text: Column, most: int, size: int = 45) -> Column:
+    """A text's sentences; overlapping runs of `size` words of one that is a single sentence longer than `most`."""
+    parts, words = F.split(text, "(?<=[.!?])\\s+"), F.split(text, " ")
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - 1, F.lit(size // 2)), lambda k: F.array_join(F.slice(words, k + 1, F.lit(size)), " "))
+    return F.when((F.size(parts) == 1) & (F.length(text) > most), runs).otherwise(parts)
+
+
+def generic_citations(pairs: DataFrame, most: int = 3, longest: int = 320, fuzzy: bool = True) -> DataFrame:
+    """(query_id, n, id, source, page_number, section, score, evidence): the results that speak of the question's and answer's topic.
+
+    pairs: query_id, id, query, answer, text, document_id, source, page_number, section, rank (the order of a query's results).
+    Of a place only the first result counts.  The score weighs the shares of topic words that a result's text and section
+    match (0.82), and its generic_relevance_score, lexical_norm, rerank_norm and rrf_score where pairs have them.  Evidence is
+    the sentence that matches most of them (0.65).  Results with too few of the question's words, or without such a sentence,
+    are left out; ties go by rank.
+    """
+    place = Window.partitionBy("query_id", F.coalesce("document_id", F.lit("")), "page_number", "section").orderBy("rank", "id")
+    rows = pairs.withColumn("section", strip(F.coalesce("section", F.lit("")))).withColumn("k", F.row_number().over(place)).where("k = 1").drop("k")
+    rows = rows.withColumn("text", strip(collapse(F.coalesce("text", F.lit(""))))).where("text != ''")
+    rows = written(rows.withColumn("q", query_terms(F.coalesce("query", F.lit("")))).withColumn("a", F.array_distinct(answer_terms(F.coalesce("answer", F.lit(""))))).drop("query", "answer"), "generic")
+    terms = [rows.select("query_id", F.lit(c).alias("kind"), F.explode(c).alias("term")) for c in ("q", "a")]
+    terms = terms[0].unionByName(terms[1]).distinct()
+
+    def tokens_of(part: Column) -> Column:
+        return F.array_distinct(F.transform(tokenize(part), normalize_token))
+
+    # terms meet the distinct vocabulary; each query's few matches then go to its results, so that no token of a text moves
+    known = rows.select(F.explode(tokens_of(F.concat_ws(" \n ", "text", "section"))).alias("token")).where("token != ''").distinct()
+    matched = terms.join(term_matches(terms, known, 0.65, fuzzy), "term").groupBy("query_id").agg(F.collect_list(F.struct("kind", "term", "token", "score")).alias("matched"))
+    rows = rows.join(matched, "query_id", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<struct<kind:string,term:string,token:string,score:double>>")))
+
+    def shares(part: Column, least: float) -> Column:
+        """struct(q, a): shares of the question's and the answer's words that the part matches."""
+
+        def share(tokens: Column, c: str) -> Column:
+            met = F.filter("matched", lambda m: (m["kind"] == c) & (m["score"] >= least) & F.array_contains(tokens, m["token"]))
+            return F.when(F.size(c) > 0, F.size(F.array_distinct(F.transform(met, lambda m: m["term"]))) / F.size(c)).otherwise(0.0)
+
+        return let(tokens_of(part), lambda tokens: F.struct(share(tokens, "q").alias("q"), share(tokens, "a").alias("a")))
+
+    rows = rows.withColumn("in_text", shares(F.col("text"), 0.82)).withColumn("in_section", shares(F.col("section"), 0.82))
+
+    def given(c: str) -> Column:
+        return F.coalesce(F.col(c), F.lit(0.0)) if c in pairs.columns else F.lit(0.0)
+
+    for c in ("q", "a"):
+        rows = rows.withColumn(f"{c}_section", F.col("in_section")[c]).withColumn(f"{c}_phrase", phrase_overlap(F.col(c), "text")).withColumn(f"{c}_support", F.greatest(F.col("in_text")[c], f"{c}_section", f"{c}_phrase"))
+    score = 0.42 * F.col("q_support") + 0.28 * F.col("a_support") + 0.10 * F.col("q_phrase") + 0.08 * F.col("a_phrase") + 0.04 * F.col("q_section") + 0.02 * F.col("a_section")
+    score = score + 0.03 * given("generic_relevance_score") + 0.015 * given("lexical_norm") + 0.01 * given("rerank_norm") + 0.005 * F.least(given("rrf_score") * 100, F.lit(1.0))
+    rows = rows.where("(size(q) > 0 or size(a) > 0) and (size(q) = 0 or q_support >= 0.45)").withColumn("score", F.round(score, 9)).where("score > 0")
+    sentence = rows.select("*", F.posexplode(_windows(F.col("text"), longest)).alias("k", "evidence")).drop("text")
+    sentence = sentence.withColumn("phrase", phrase_overlap(F.col("q"), "evidence")).withColumn("in_part", shares(F.col("evidence"), 0.65)).drop("matched")
+    sentence = sentence.withColumn("concept", F.greatest(F.col("in_part")["q"], "phrase")).where("size(q) = 0 or concept >= 0.35")
+    value = F.round(0.60 * F.col("concept") + 0.30 * F.col("in_part")["a"] + 0.10 * F.col("phrase"), 9)
+    best = sentence.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "id").orderBy(F.desc(value), "k"))).where("r = 1")
+    order = [F.desc("score"), *[F.desc(given(c)) for c in ("generic_relevance_score", "lexical_norm", "rerank_norm", "rrf_score")], F.asc("rank"), F.asc("id")]
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("n") <= most)
+    cut = F.concat(F.regexp_replace(F.substring("evidence", 1, longest), " [^ ]*$", ""), F.lit("..."))
+    return best.select("query_id", "n", "id", "source", "page_number", "section", "score", F.when(F.length("evidence") > longest, cut).otherwise(F.col("evidence")).alias("evidence"))
+
+
+def format_generic_citations(cited: DataFrame) -> DataFrame:
+    """(query_id, citations): `[C1] source | Page p | Section: s` lines, each with its evidence below."""
+    source, page = F.coalesce(F.nullif("source", F.lit("")), F.lit("Unknown")), F.coalesce(F.col("page_number").cast("string"), F.lit("Unknown"))
+    section = F.when(F.col("section").isin("", "Unknown"), "").otherwise(F.concat(F.lit(" | Section: "), F.col("section")))
+    line = F.concat(F.format_string("[C%d] ", "n"), source, F.lit(" | Page "), page, section, F.lit("\n    Evidence: "), F.col("evidence"))
+    return cited.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("l")))), lambda x: x["l"]), "\n").alias("citations"))
+
+
+def cited_answers(pairs: DataFrame, most: int = 3) -> DataFrame:
+    """(query_id, citations): the structured citations where there are any and all are valid, else the generic ones.
+
+    pairs: as for generic_citations.  Answers for which neither finds evidence have no row.
+    """
+    cited = written(citations(pairs, most), "cited")
+    invalid = citation_errors(cited, pairs).select("query_id").distinct()
+    valid = cited.join(invalid, "query_id", "left_anti")
+    rest = pairs.join(valid.select("query_id").distinct(), "query_id", "left_anti")
+    return format_citations(valid).unionByName(format_generic_citations(generic_citations(rest, most)))
+
+
 def grounding(answers: DataFrame, contexts: DataFrame, threshold: float = 0.65, least: float = 0.25, fuzzy: bool = True) -> DataFrame:
     """(query_id, numbers_known, term_support, grounded) of answers (query_id, answer) in contexts (query_id, text), several a query.
 

@@ -340,7 +340,7 @@ def lexical_scores(s: SparkSession, d: str) -> DataFrame:
 
 
 def _evidence(s: SparkSession, d: str) -> DataFrame:
-    rows = _responses(s, d).where("answer is not null").select("request_id", "answer", F.explode("sources").alias("x")).select("request_id", "answer", "x.chunk_id").distinct()
+    rows = _responses(s, d).where("answer is not null").select("request_id", "answer", F.posexplode("sources").alias("n", "x")).groupBy("request_id", "answer", "x.chunk_id").agg(F.min("n").alias("rank"))
     rows = rows.join(_requests(s, d).select("request_id", "query"), "request_id").join(_chunks(s, d).select("chunk_id", "document_id", "source", "page_number", "section", "text"), "chunk_id")
     return rows.withColumnsRenamed({"request_id": "query_id", "chunk_id": "id"})
 
@@ -366,10 +366,17 @@ def citation_errors(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def formatted_citations(s: SparkSession, d: str) -> DataFrame:
-    out = answers.format_citations(answers.citations(_evidence(s, d), 3))
+    out = answers.cited_answers(_evidence(s, d))
     return out.select("query_id", F.length("citations").alias("characters"))
 
 
+@query
+def generic_citations(s: SparkSession, d: str) -> DataFrame:
+    """The three generic citations of every answer, whether or not it has structured ones."""
+    out = answers.generic_citations(_evidence(s, d))
+    return out.select("query_id", "n", "id", "page_number", "section", F.length("evidence").alias("characters"), F.round("score", 6).alias("score"))
+
+
 @query
 def grounded_answers(s: SparkSession, d: str) -> DataFrame:
     rows = _evidence(s, d)
