@@ -183,6 +183,14 @@ def test_residue(spark):
     assert residue(spark.createDataFrame([], "doc_id long, t string"), "doc_id", "t").count() == 0
 
 
+def test_residue_lines_are_learned_from_other_records(spark):
+    clean = "The board met at Ivelle and closed the file."
+    rows = [(n, f"{clean}\nError 503: Service unavailable\nKindly knock once more at desk {n}.") for n in range(4)]
+    rows += [(10, f"{clean}\nKindly knock once more at desk 10."), (11, clean), (12, f"{clean}\nSamples were counted again."), (13, clean)]
+    got = {r.doc_id for r in residue(spark.createDataFrame(rows, "doc_id long, t string"), "doc_id", "t").collect()}
+    assert got == {0, 1, 2, 3, 10}
+
+
 def test_found_queries_against_sql(spark, data):
     duckdb = pytest.importorskip("duckdb")
     import os

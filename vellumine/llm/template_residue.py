@@ -5,7 +5,8 @@ suspect: where the two words on either side also stand in records without suspec
 with values, and a variable name, default or blank left in it is residue.  A bracket or a name that always stands in its
 sentence (a text that speaks of templates) is aligned with nothing and stays.  Whole pages are aligned the same way: a short
 page whose form recurs over records and that carries a fault word is an error page.  Known openings of error lines, script
-and sign-in notices and filler lines decide by themselves.
+and sign-in notices and filler lines decide by themselves.  What is found so far labels the masked lines of its records: a
+line that recurs over records and stands nearly always in labelled ones is a line of such a template, wherever it stands.
 """
 
 from __future__ import annotations
@@ -69,8 +70,14 @@ def _pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def slot_residue(docs: DataFrame) -> DataFrame:
-    """(i) of the documents (i, t) with a suspect in a slot that other documents fill."""
+def masked_lines(docs: DataFrame) -> DataFrame:
+    """(i, suspect, s): the masked sentences of the documents (i, t), once each, and whether the document has a suspect."""
+    lines = docs.select("i", F.col("t").rlike(SUSPECT).alias("suspect"), F.array_distinct(_sentences(masked(F.col("t")))).alias("s"))
+    return lines.select("i", "suspect", F.explode("s").alias("s"))
+
+
+def slot_residue(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(i) of the documents (i, t), with their masked_lines, with a suspect in a slot that other documents fill."""
     marked = docs.withColumn("suspect", F.col("t").rlike(SUSPECT))
     found = marked.where("suspect").select("i", F.regexp_replace("t", SUSPECT, "\u0001").alias("t"))
     found = found.select("i", F.explode(_sentences(F.regexp_replace(masked(F.col("t")), "\u0001", "∎"))).alias("s")).where("contains(s, '∎')")
@@ -81,7 +88,7 @@ def slot_residue(docs: DataFrame) -> DataFrame:
     places = found.select("i", words.alias("w")).select("i", "w", F.explode(F.filter(F.sequence(F.lit(3), F.size("w") - 2), lambda k: F.element_at(F.col("w"), k).contains("∎"))).alias("k"))
     side = [F.concat_ws(" ", F.element_at("w", F.col("k") + a), F.element_at("w", F.col("k") + b)) for a, b in ((-2, -1), (1, 2))]
     places = places.select("i", side[0].alias("l"), side[1].alias("r")).where("not contains(l, '∎') and not contains(r, '∎') and not (l = '^ ^' and r = '$ $')")
-    clean = marked.where("not suspect").select(F.explode(_sentences(masked(F.col("t")))).alias("s")).distinct()
+    clean = lines.where("not suspect").select("s").distinct()
     clean = clean.select(F.split(F.concat(F.lit("^ ^ "), F.col("s"), F.lit(" $ $")), "\\s+").alias("w"))
     pairs = written(clean.select(F.explode(_pairs(F.col("w"))).alias("p")).distinct(), "residue-pairs")
     aligned = places.distinct().join(pairs.withColumnRenamed("p", "l"), "l", "left_semi").join(pairs.withColumnRenamed("p", "r"), "r", "left_semi")
@@ -112,6 +119,18 @@ def known_lines(docs: DataFrame) -> DataFrame:
     return docs.select("i", parts.alias("parts")).where(F.exists("parts", lambda s: s.rlike(opening) | s.rlike(ASKED) | filler(s))).select("i")
 
 
+def recurring_lines(lines: DataFrame, found: DataFrame, records: int = 3, share: float = 0.8) -> DataFrame:
+    """(i) of documents with a line of a template that is known from the documents found (i).
+
+    A masked line (with a word in it) is one if at least `records` found documents have it, and these are at least `share` of
+    all that have it.
+    """
+    worded = lines.where(F.col("s").rlike("\\p{Ll}{3}|[\\p{Lo}\\p{M}]{3}")).select("i", F.md5("s").alias("form"))
+    held = worded.join(found.distinct().withColumn("bad", F.lit(1)), "i", "left").distinct()
+    forms = held.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("bad")).where((F.col("bad") >= records) & (F.col("bad") >= share * F.col("n")) & (F.col("bad") < F.col("n")))
+    return worded.join(forms, "form", "left_semi").select("i")
+
+
 def residue(df: DataFrame, ident: str, text: str) -> DataFrame:
     """`ident` of the documents that are, in whole or in part, residue.
 
@@ -119,5 +138,7 @@ def residue(df: DataFrame, ident: str, text: str) -> DataFrame:
     An empty table gives an empty result.
     """
     docs = df.select(F.col(ident).alias("i"), F.col(text).alias("t")).where("i is not null").where(F.col("t").rlike("[\\p{L}\\p{N}_]"))
-    parts = slot_residue(docs).unionByName(page_faults(docs)).unionByName(known_lines(docs))
+    lines = written(masked_lines(docs), "residue-lines")
+    parts = written(slot_residue(docs, lines).unionByName(page_faults(docs)).unionByName(known_lines(docs)), "residue-found")
+    parts = parts.unionByName(recurring_lines(lines, parts))
     return parts.distinct().withColumnRenamed("i", ident)
