@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from vellumine.llm import boundary_split as B
 from vellumine.llm import merkle as M
 from vellumine.llm import mixing, packing, ranks
-from vellumine.llm.site_lines import site_lines, without_lines
+from vellumine.llm.site_lines import site_lines, suffix_array, suffixes, without_lines
 from vellumine.llm.top_per_group import order_code, top_per_group
 
 
@@ -112,6 +112,44 @@ def test_site_lines(spark):
     assert site_lines(df.limit(0), keys, "document_id", "source", "text").count() == 0
 
 
+def test_site_lines_come_from_the_suffix_array(spark, monkeypatch):
+    keys = ["document_id", "page_number"]
+    rows = [(f"d{k}", 1, "s", f"own {'abcdefghij'[k]}\nLegal notice\nAll rights kept\nmore {'klmnopqrst'[k]}") for k in range(10)]
+    df = pages(spark, rows)
+    found = {(r.document_id, r.line_no) for r in site_lines(df, keys, "document_id", "source", "text").collect()}
+    assert found == {(f"d{k}", n) for k in range(10) for n in (2, 3)}
+    from vellumine.llm.site_lines import site_blocks
+
+    blocks = {(r.lines, r.documents, r.places) for r in site_blocks(df, "document_id", "document_id", "source", "text").collect()}
+    assert blocks == {(2, 10, 10), (1, 10, 10)}  # the block of two lines, and its second line where the block goes no further
+    # without neighbours in sorted order nothing repeats
+    monkeypatch.setattr("vellumine.llm.site_lines.suffix_array", lambda rows, window: rows.withColumn("common", F.lit(0)).limit(0))
+    assert site_lines(df, keys, "document_id", "source", "text").count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 40])
+def test_suffix_array_over_range_borders(spark, parts):
+    # however the suffixes are cut into ranges, the common prefixes are those of one sorted list
+    rng = random.Random(parts)
+    lines = [[rng.choice("abc") for _ in range(rng.randint(0, 6))] for _ in range(30)]
+    df = spark.createDataFrame([(f"d{k:02}", "st"[k % 2], f"d{k:02}", "\n".join(t)) for k, t in enumerate(lines)], "k0 string, s string, d string, t string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = sorted((r.d, r.line_no, r.common) for r in suffix_array(suffixes(df, 4), 4).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept[0])
+        spark.conf.set("spark.sql.adaptive.enabled", kept[1])
+    every = [("st"[k % 2], tuple(t[n : n + 4]), f"d{k:02}", n + 1) for k, t in enumerate(lines) for n in range(len(t))]
+
+    def shared(a, b):
+        return next((n for n, (x, y) in enumerate(zip(a[1], b[1])) if x != y), min(len(a[1]), len(b[1]))) if a[0] == b[0] else 0
+
+    best = [(x[2], x[3], max(shared(x, y) for y in every if y is not x)) for x in every]
+    assert got == sorted(x for x in best if x[2])
+
+
 def test_site_lines_need_both_thresholds(spark):
     rows = [(f"d{k}", 1, "s", "same line" if k < 3 else f"x{'abcdefghijklmnopqrstuvwxyz'[k]} y") for k in range(10)]
     rows += [(f"b{k}", 1, "big", "same line" if k < 5 else f"w {'abcdefghijklmnopqrstuvwxyz'[k]}") for k in range(26)]

@@ -12,7 +12,7 @@ from vellumine.llm import language, merkle, pair_defects, scan_noise
 from vellumine.llm.boundary_split import split_oversized
 from vellumine.llm.mixing import mixture, source_report
 from vellumine.llm.packing import pack
-from vellumine.llm.site_lines import site_lines, without_lines
+from vellumine.llm.site_lines import site_blocks, site_lines, without_lines
 from vellumine.llm.template_residue import residue
 from vellumine.llm.top_per_group import top_per_group
 from vellumine.sources.tables import table
@@ -38,6 +38,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return site_lines(table(spark, folder, "pages"), ["document_id", "page_number"], "document_id", "source", "text")
 
 
+def p3_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The repeated blocks of each site, by their lines: how many there are, the widest spread, and where they stand."""
+    blocks = site_blocks(table(spark, folder, "pages"), "page_id", "document_id", "source", "text")
+    return blocks.groupBy("source", "lines").agg(F.count(F.lit(1)).alias("blocks"), F.max("documents").alias("documents"), F.sum("places").alias("places"))
+
+
 def p3_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Every page without its site's lines."""
     pages, keys = table(spark, folder, "pages").select("document_id", "page_number", "source", "text"), ["document_id", "page_number"]

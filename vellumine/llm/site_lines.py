@@ -1,15 +1,23 @@
 """Lines a site puts on the pages of many of its documents.
 
-A page is a string over line identifiers (128-bit hashes of normalised lines).  A block that stands in many documents
-consists of lines that each do, so other lines only separate: what is left of a page are runs of frequent lines.  The
-suffixes of all runs, equal ones of a source counted once, are sorted within (source, first line): a suffix array cut into
-buckets by its first symbol.  Common prefixes of neighbours, and whole suffixes, are the repeated blocks; a block found in
-enough distinct documents of its source is deleted wherever it stands.  Suffixes longer than `window` lines are cut there,
-which loses nothing: the windows of a longer block span the same documents and cover the same lines.
+A page is a string over line identifiers (hashes of normalised lines).  Every line starts a suffix of its page, cut at
+`window` lines.  The suffixes of all pages are sorted by (source, identifiers), range-partitioned, so that no source or line
+is a task's own: that is the suffix array.  The common prefixes of neighbours are the repeated blocks, of one line or
+several, and nothing but them is looked at further.  A block's spread is the number of distinct documents among the suffixes
+that begin with it; a block spread over enough documents of its source is deleted wherever it stands.
+
+Every line of such a block starts a suffix of the block, which spans the same documents at least; so the lines to delete are
+the lines at which some spread block begins.  For the same reason blocks longer than `window` lines lose nothing: their
+windows cover them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +31,94 @@ def normal_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: x["t"].rlike("\\p{L}"))
 
 
-def frequent_lines(lines: DataFrame, pages: DataFrame, share: float, least: int) -> DataFrame:
-    """(s, h1, h2, need): lines in at least `share` of their source's documents and at least `least` of them."""
+def suffixes(pages: DataFrame, window: int) -> DataFrame:
+    """(s, d, k0 ..., line_no, h, w1 ... w`window`) of pages (k0 ..., d, s, t): the identifiers of a line and of those after it (0 past the end).
+
+    h is a second hash of the line itself, so that two lines are one only if 128 bits agree.
+    """
+    ids = F.transform(normal_lines(F.col("t")), lambda x: F.struct(x["line_no"].alias("line_no"), F.xxhash64(x["t"]).alias("w"), F.xxhash64(F.lit(1), x["t"], F.lit(2)).alias("h")))
+    keys = _keys(pages)
+    rows = pages.where("t is not null").select("s", "d", *keys, ids.alias("ids")).select("s", "d", *keys, "ids", F.posexplode("ids").alias("j", "x"))
+    ahead = [F.coalesce(F.get("ids", F.col("j") + n)["w"], F.lit(0)).alias(f"w{n + 1}") for n in range(window)]
+    return rows.select("s", "d", *keys, "x.line_no", "x.h", *ahead)
+
+
+def suffix_array(rows: DataFrame, window: int) -> DataFrame:
+    """The suffixes that share a prefix with a neighbour in sorted order, with `common`, the longer of the two prefixes' lengths.
+
+    Each task sorts a range and compares neighbours as they stream by; the first and last suffix of a range are compared with
+    those of the ranges beside it afterwards (two rows a range).
+    """
+    names = [f"w{n + 1}" for n in range(window)]
+    order = ["s", *names, "d", *_keys(rows), "line_no"]
+
+    def lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.cumprod((a == b) & (a != 0), axis=1).sum(1)
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = TaskContext.get().partitionId(), None  # held: the last row so far, whose second neighbour is still to come
+        for batch in batches:
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            else:
+                batch = batch.assign(before=0, edge=-1)
+                batch.loc[1:, "edge"] = 0
+            ids, site = batch[names].to_numpy(np.int64), pd.factorize(batch["s"])[0]
+            shared = lengths(ids[:-1], ids[1:]) * (site[:-1] == site[1:])
+            fresh = batch["before"].to_numpy(np.int64, na_value=0).copy()
+            fresh[1:] = shared
+            batch = batch.assign(before=fresh, edge=batch["edge"].fillna(0).astype(int), part=part)
+            after = np.append(shared, 0)
+            batch = batch.assign(common=np.maximum(fresh, after))
+            held = batch.iloc[[-1]].drop(columns=["common", "part"])
+            done = batch.iloc[:-1]
+            yield done[(done["common"] > 0) | (done["edge"] != 0)].drop(columns="before")
+        if held is not None:
+            yield held.assign(common=held["before"], part=part, edge=np.where(held["edge"] == -1, 2, 1)).drop(columns="before")
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(compare, f"{kinds}, edge int, part int, common int")
+    ranges = written(ranges, "site-array")
+    # edge: -1 the first of a range, 1 the last, 2 both
+    beside = Window.orderBy("part", "edge")
+    edges = ranges.where("edge != 0").select("part", "edge", "s", F.array(*names).alias("w"))  # two rows a range at most
+    match = [F.transform(F.arrays_zip(F.col("w").alias("a"), other("w", 1).over(beside).alias("b")), lambda x: (x["a"] == x["b"]) & (x["a"] != 0)) for other in (F.lag, F.lead)]
+    edges = edges.select("part", "edge", *[F.when(other("s", 1).over(beside) == F.col("s"), m).alias(n) for other, m, n in zip((F.lag, F.lead), match, ("m0", "m1"), strict=True)])
+    run = [F.coalesce(F.when(F.array_position(m, False) > 0, F.array_position(m, False) - 1).otherwise(F.size(m)), F.lit(0)) for m in ("m0", "m1")]
+    edges = edges.select("part", "edge", F.greatest(F.when(F.col("m0").isNull(), 0).otherwise(run[0]), F.when(F.col("m1").isNull(), 0).otherwise(run[1])).cast("int").alias("more"))
+    inner, outer = ranges.where("edge = 0"), ranges.where("edge != 0").join(F.broadcast(edges), ["part", "edge"])
+    outer = outer.withColumn("common", F.greatest("common", F.coalesce("more", F.lit(0)))).drop("more")
+    return inner.unionByName(outer).where("common > 0").drop("edge", "part")
+
+
+def spread_blocks(array: DataFrame, pages: DataFrame, share: float, least: int, window: int) -> tuple[DataFrame, DataFrame]:
+    """(begins, blocks): suffixes with `n`, each length of the blocks they begin with, and the blocks (s, n, b, h, docs) spread enough.
+
+    Enough is at least `share` of the source's documents and at least `least` of them.
+    """
     totals = pages.groupBy("s", "d").agg(F.lit(1).alias("one")).groupBy("s").agg(F.count(F.lit(1)).alias("all"))
-    counts = lines.groupBy("s", "h1", "h2", "d").agg(F.lit(1).alias("one")).groupBy("s", "h1", "h2").agg(F.count(F.lit(1)).alias("docs"))
-    need = F.greatest(F.lit(least).cast("double"), F.col("all") * share - 1e-9)
-    return counts.where(F.col("docs") >= least).join(totals.withColumn("need", need), "s").where("docs >= need").select("s", "h1", "h2", "need")
+    ids = F.array(*[F.col(f"w{n + 1}") for n in range(window)])
+    keys = _keys(array)
+    begins = array.select("s", "d", *keys, "line_no", "h", ids.alias("w"), F.explode(F.sequence(F.lit(1), "common")).alias("n"))
+    begins = begins.select("s", "d", *keys, "line_no", "h", "n", F.xxhash64(F.slice("w", F.lit(1), F.col("n"))).alias("b"))
+    docs = begins.groupBy("s", "n", "b", "h", "d").agg(F.lit(1).alias("one")).groupBy("s", "n", "b", "h").agg(F.count(F.lit(1)).alias("docs"))
+    enough = (F.col("docs") >= least) & (F.col("docs") >= F.col("all") * share - 1e-9)
+    return begins, docs.where(F.col("docs") >= least).join(totals, "s").where(enough).drop("all")
+
+
+def _keys(rows: DataFrame) -> list[str]:
+    """The columns k0, k1, ... that hold a page's key."""
+    return [c for c in rows.columns if c[0] == "k"]
+
+
+def _pages(df: DataFrame, keys: list[str], document: str, source: str, text: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(f"k{j}") for j, k in enumerate(keys)], F.col(document).alias("d"), F.col(source).alias("s"), F.col(text).alias("t")).where("d is not null and s is not null")
+
+
+def _blocks(pages: DataFrame, share: float, least: int, window: int) -> tuple[DataFrame, DataFrame]:
+    array = suffix_array(suffixes(pages, window), window)
+    begins, blocks = spread_blocks(array, pages, share, least, window)
+    return begins, written(blocks, "site-blocks")
 
 
 def site_lines(df: DataFrame, keys: list[str], document: str, source: str, text: str, share: float = 0.2, least: int = 4, window: int = 8) -> DataFrame:
@@ -38,35 +128,19 @@ def site_lines(df: DataFrame, keys: list[str], document: str, source: str, text:
     their documents count.  Lines without a letter never count.  Repeated rows of a page change nothing.  Empty tables give
     an empty result.
     """
-    key = F.struct(*[F.col(k).alias(f"k{j}") for j, k in enumerate(keys)])
-    pages = df.select(key.alias("k"), F.col(document).alias("d"), F.col(source).alias("s"), F.col(text).alias("t")).where("d is not null and s is not null")
-    lines = pages.where("t is not null").select("k", "d", "s", F.posexplode(normal_lines(F.col("t"))).alias("j", "x"))
-    lines = lines.select("k", "d", "s", "j", F.col("x.line_no").alias("line_no"), F.xxhash64("x.t").alias("h1"), F.xxhash64(F.lit(1), "x.t", F.lit(2)).alias("h2"))
-    lines = written(lines, "site-lines")
-    often = written(frequent_lines(lines, pages, share, least), "site-frequent")
-    # runs of frequent lines, page by page, and the window of every suffix
-    runs = lines.join(often, ["s", "h1", "h2"]).groupBy("s", "d", "k").agg(F.array_sort(F.collect_set(F.struct("j", "line_no", "h1", "h2"))).alias("run"), F.first("need").alias("need"))
-
-    def suffix(i: Column) -> Column:
-        ahead = F.slice(F.col("run"), i + 1, window)
-        return F.filter(ahead, lambda x, n: x["j"] - n == F.element_at(F.col("run"), i + 1)["j"])
-
-    starts = runs.select("s", "d", "k", "need", F.explode(F.transform(F.sequence(F.lit(0), F.size("run") - 1), suffix)).alias("w"))
-    starts = starts.select("s", "d", "k", "need", F.transform("w", lambda x: x["line_no"]).alias("at"), F.transform("w", lambda x: F.struct(x["h1"], x["h2"])).alias("w"))
-    starts = written(starts, "site-suffixes")
-    array = starts.select("s", "w").distinct().withColumn("first", F.element_at("w", 1))
-    before = F.lag("w").over(Window.partitionBy("s", "first").orderBy("w"))
-    # neighbours share a prefix exactly as long as the first mismatch; zip pads with nulls
-    mismatch = F.array_position(F.transform(F.arrays_zip(F.col("w").alias("a"), F.col("b").alias("b")), lambda x: F.coalesce(x["a"] == x["b"], F.lit(False))), False)
-    common = F.when(F.col("b").isNull(), 0).when(mismatch == 0, F.size("w")).otherwise(mismatch - 1).cast("int")
-    array = array.withColumn("b", before).withColumn("common", common)
-    blocks = array.select("s", "w").unionByName(array.where("common > 0").select("s", F.slice("w", F.lit(1), F.col("common")).alias("w"))).distinct()
-    prefixes = starts.select("s", "d", "k", "need", "at", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.struct(n.alias("n"), F.slice("w", F.lit(1), n).alias("w")))).alias("p"))
-    prefixes = prefixes.select("s", "d", "k", "need", F.slice("at", F.lit(1), F.col("p.n")).alias("at"), "p.w").join(blocks, ["s", "w"])
-    spread = prefixes.groupBy("s", "w", "d").agg(F.first("need").alias("need")).groupBy("s", "w").agg(F.count(F.lit(1)).alias("docs"), F.first("need").alias("need"))
-    deleted = prefixes.join(spread.where("docs >= need").select("s", "w"), ["s", "w"])
-    found = deleted.select("k", F.explode("at").alias("line_no")).distinct()
-    return found.select(*[F.col(f"k.k{j}").alias(k) for j, k in enumerate(keys)], "line_no")
+    begins, blocks = _blocks(_pages(df, keys, document, source, text), share, least, window)
+    return begins.join(blocks.select("s", "n", "b", "h"), ["s", "n", "b", "h"], "left_semi").select(*[F.col(f"k{j}").alias(k) for j, k in enumerate(keys)], "line_no").distinct()
+
+
+def site_blocks(df: DataFrame, page: str, document: str, source: str, text: str, share: float = 0.2, least: int = 4, window: int = 8) -> DataFrame:
+    """(`source`, lines, documents, places) of the blocks with which some place goes no further: the longest ones that are deleted.
+
+    Nulls, empty texts and repeated rows count as in site_lines; places are distinct (page, line).
+    """
+    begins, blocks = _blocks(_pages(df, [page], document, source, text), share, least, window)
+    at = begins.join(blocks, ["s", "n", "b", "h"]).groupBy("s", "d", "k0", "line_no").agg(F.max(F.struct("n", "b", "h", "docs")).alias("m"))
+    out = at.groupBy("s", "m").agg(F.count(F.lit(1)).alias("places"))
+    return out.select(F.col("s").alias(source), F.col("m.n").alias("lines"), F.col("m.docs").alias("documents"), "places")
 
 
 def without_lines(df: DataFrame, keys: list[str], text: str, found: DataFrame) -> DataFrame:
