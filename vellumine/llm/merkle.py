@@ -18,13 +18,21 @@ from vellumine.session import written
 INVISIBLE = "[\\u00AD\\u034F\\u061C\\u115F\\u1160\\u17B4\\u17B5\\u180B-\\u180E\\u200B-\\u200F\\u202A-\\u202E\\u2060-\\u206F\\uFE00-\\uFE0F\\uFEFF]+"
 # White space and marks go; a mark stays only with a digit right before and right after it.
 _LOOSE = "[\\s\\p{Z}\\u0085]+|\\p{P}(?:(?!\\p{Nd})|(?<!\\p{Nd}\\p{P}))"
-_FIELD = "(?s)^[\\s\\p{Z}\\p{P}]*\\p{L}[^:]{0,80}:.*[^\\s\\p{Z}\\p{P}].*$"
+_FIELD = "(?s)^[\\s\\p{Z}\\p{P}]*\\p{L}[^:]*:.*[^\\s\\p{Z}\\p{P}].*$"
+
+
+def visible(text: Column) -> Column:
+    """A text without invisible characters: what every later step reads, the parting into fields too."""
+    return F.regexp_replace(text, INVISIBLE, "")
+
+
+def _leaf(text: Column) -> Column:
+    return F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _LOOSE, "")
 
 
 def normal_leaf(text: Column) -> Column:
     """A text without what only formats it: invisible characters, case, loose punctuation, all white space."""
-    t = F.lower(F.regexp_replace(text, INVISIBLE, ""))
-    return F.regexp_replace(F.replace(t, F.lit("ß"), F.lit("ss")), _LOOSE, "")
+    return _leaf(visible(text))
 
 
 def _digest(canonical: Column) -> Column:
@@ -36,13 +44,13 @@ def _field_parts(text: Column) -> Column:
 
 
 def _fields(text: Column) -> Column:
-    """The sorted (h, c) of the fields of a list of `label: value` fields; null for any other text."""
+    """The sorted (h, c) of the fields of a visible text that is a list of `label: value` fields; null for any other text."""
     parts = _field_parts(text)
     is_list = text.contains(":") & text.rlike("[|;]") & (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(_FIELD))
 
     def field(part: Column) -> Column:
         at = F.instr(part, ":")
-        label, value = normal_leaf(F.substring(part, F.lit(1), at - 1)), normal_leaf(F.substring(part, at + 1, F.length(part)))
+        label, value = _leaf(F.substring(part, F.lit(1), at - 1)), _leaf(F.substring(part, at + 1, F.length(part)))
         return F.struct(_digest(F.concat(_digest(label), _digest(value))).alias("h"), F.concat(label, F.lit("\u0001"), value).alias("c"))
 
     return F.when(is_list, F.array_sort(F.transform(parts, field)))
@@ -55,17 +63,17 @@ def _list_node(fields: Column) -> tuple[Column, Column]:
 
 def text_node(text: Column) -> tuple[Column, Column]:
     """(digest, canonical text) of a string: a leaf, or an unordered node if it is a list of `label: value` fields."""
-    fields, leaf = _fields(text), normal_leaf(text)
+    fields, leaf = _fields(visible(text)), normal_leaf(text)
     h, c = _list_node(fields)
     return F.coalesce(h, _digest(leaf)), F.coalesce(c, leaf)
 
 
 def text_nodes(df: DataFrame, text: str, digest: str = "__h", canonical: str = "__c") -> DataFrame:
     """df with the digest and canonical text of a text column; every text is normalised once."""
-    nodes = df.withColumn("__fields", _fields(F.col(text)))
-    nodes = nodes.withColumn("__leaf", F.when(F.col("__fields").isNull(), normal_leaf(F.col(text))))
+    nodes = df.withColumn("__text", visible(F.col(text))).withColumn("__fields", _fields(F.col("__text")))
+    nodes = nodes.withColumn("__leaf", F.when(F.col("__fields").isNull(), _leaf(F.col("__text"))))
     h, c = _list_node(F.col("__fields"))
-    return nodes.withColumn(canonical, F.coalesce(c, F.col("__leaf"))).withColumn(digest, F.coalesce(h, _digest(F.col("__leaf")))).drop("__fields", "__leaf")
+    return nodes.withColumn(canonical, F.coalesce(c, F.col("__leaf"))).withColumn(digest, F.coalesce(h, _digest(F.col("__leaf")))).drop("__text", "__fields", "__leaf")
 
 
 def node(value: Column, kind: T.DataType) -> tuple[Column, Column]:

@@ -15,8 +15,10 @@ def _canonical(x: str) -> str:
     return f"regexp_replace(regexp_replace({kept}, '(' || chr(1) || '\\p{{P}}' || chr(2) || ')|[\\p{{P}}\\p{{Z}}\\s\\x{{85}}]+', '\\1', 'g'), '[' || chr(1) || chr(2) || ']', '', 'g')"
 
 
-_PARTS = "list_filter(regexp_split_to_array(text, '[|;]'), lambda p: regexp_matches(p, '[\\p{L}\\p{N}]'))"
-_IS_LIST = f"contains(text, ':') and regexp_matches(text, '[|;]') and len({_PARTS}) >= 2 and len(list_filter({_PARTS}, lambda p: not regexp_matches(p, '(?s)^[\\s\\p{{Z}}\\p{{P}}]*\\p{{L}}[^:]{{0,80}}:.*[^\\s\\p{{Z}}\\p{{P}}].*$'))) = 0"
+# A list of fields, by the statement of problem 7: parts between | or ;, each a label, a colon and a value; invisible characters are set aside before.
+_SHOWN = "regexp_replace(text, '[\\x{AD}\\x{34F}\\x{61C}\\x{115F}\\x{1160}\\x{17B4}\\x{17B5}\\x{180B}-\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{206F}\\x{FE00}-\\x{FE0F}\\x{FEFF}]+', '', 'g')"
+_PARTS = f"list_filter(regexp_split_to_array({_SHOWN}, '[|;]'), lambda p: regexp_matches(p, '[\\p{{L}}\\p{{N}}]'))"
+_IS_LIST = f"len({_PARTS}) >= 2 and len(list_filter({_PARTS}, lambda p: not (contains(p, chr(58)) and regexp_matches(split_part(p, chr(58), 1), '\\p{{L}}') and regexp_matches(substr(p, instr(p, chr(58)) + 1), '[^\\s\\p{{Z}}\\p{{P}}]')))) = 0"
 _FORM = f"case when {_IS_LIST} then '{{' || array_to_string(list_sort(list_transform({_PARTS}, lambda p: {_canonical('split_part(p, chr(58), 1)')} || chr(1) || {_canonical('substr(p, instr(p, chr(58)) + 1)')})), chr(2)) else {_canonical('text')} end"
 
 

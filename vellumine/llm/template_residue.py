@@ -1,12 +1,17 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Records made from one template agree word for word around their slots.  Sentences are aligned by the words next to a
-suspect: where the two words on either side also stand in records without suspects, the place is a slot that others fill
-with values, and a variable name, default or blank left in it is residue.  A bracket or a name that always stands in its
-sentence (a text that speaks of templates) is aligned with nothing and stays.  Whole pages are aligned the same way: a short
-page whose form recurs over records and that carries a fault word is an error page.  Known openings of error lines, script
-and sign-in notices and filler lines decide by themselves.  What is found so far labels the masked lines of its records: a
-line that recurs over records and stands nearly always in labelled ones is a line of such a template, wherever it stands.
+A record is a line of a document (a sentence, or a line of its own); records are aligned in two ways.
+
+Slots.  Records of one template agree in the words around a place and differ in what stands there.  Where the two words
+before and the two words after a place come together in records without a suspect, with values that vary, the place is a
+slot; a variable name, default or blank that another record retains in it is residue.  A bracket or a name that always stands
+in its sentence (a text that speaks of templates) is aligned with nothing and stays.
+
+Templates that repeat.  Records that agree but for their figures and codes, or in their opening words and their last one,
+are of one template, as are all lines of filler words; documents that agree so in all their lines are of one page template.
+A line template that repeats over documents is residue if its records read as an error, a notice or filler, and a page
+template if every sentence of it speaks of a fault.  The fixed lists only say what a repeated template is; what does not
+repeat is not found.
 """
 
 from __future__ import annotations
@@ -18,23 +23,23 @@ from vellumine.session import written
 
 # How unfilled slots look (wrapped names, defaults of languages and sheets, blanks).
 SUSPECT = (
-    r"(?=[{$\[<«@%_#(?.xXNuTFn₹])(?:\{\{[^{}\n]{1,60}\}\}|\{%[^%\n]{1,60}%\}|\$?\{[^{}\n]{1,60}\}|\[\[[^\[\]\n]{1,60}\]\]|\[[^\[\]\n]{1,60}\]|<<[^<>\n]{1,60}>>|<[^<>\n]{1,60}>|«[^«»\n]{1,60}»"
-    r"|@@[^@\n]{1,60}@@|%\p{L}[\p{L}\p{M}_. ]{0,40}%|__[\p{L}\p{N}][^_\n]{0,20}(?:_[^_\n]{1,20}){0,3}__|#(?:REF!|N/A|NAME\?|VALUE!|DIV/0!|NULL!|NUM!)|\(\p{Ll}[^()\p{Nd}\n]{2,40}\)"
+    r"(?=[{$\[<«@%_#(?.xXNuTFn₹])(?:\{\{[^{}\n]+\}\}|\{%[^%\n]+%\}|\$?\{[^{}\n]+\}|\[\[[^\[\]\n]+\]\]|\[[^\[\]\n]+\]|<<[^<>\n]+>>|<[^<>\n]+>|«[^«»\n]+»"
+    r"|@@[^@\n]+@@|%\p{L}[\p{L}\p{M}_. ]*%|__[\p{L}\p{N}][^_\n]*(?:_[^_\n]+)*__|#(?:REF!|N/A|NAME\?|VALUE!|DIV/0!|NULL!|NUM!)|\(\p{Ll}[^()\p{Nd}\n]{2,}\)"
     r"|\b(?:NaN|undefined|null|None|TBD|TBA|TBC|TODO|FIXME|N/A)\b|\bX{3,}\b|(?:₹ ?)?\bx{2,}(?:[,.]x{2,})+|\?{2,}|_{3,}|\.{4,}|₹(?=\s+\p{L}))"
 )
-# Lines of error pages, of script, cookie and sign-in notices, and of filler; each is a sentence's opening.
+# Fixed values (figures are 0 here): lines of error pages, of script, cookie and sign-in notices, and of filler; each is a sentence's opening.
 FAULTS = (
-    r"http(/[\d.]+)?( status| error)?( code)?:? \p{Nd}{3}\b.{0,60}|(error|erreur|fehler|त्रुटि|त्रुटी)\s*:?\s*\p{Nd}{3}\s*([:–-].*)?[.।]?$",
+    r"http(/0)?( status| error)?( code)?:? 0\b.*|(error|erreur|fehler|त्रुटि|त्रुटी)\s*:?\s*0\s*([:–-].*)?[.।]?$",
     r"(fatal|panic|uncaught( exception)?|unhandled exception|(\w+)?(error|exception))\s*:\s?.*",
     r"traceback\b.*|nullreference\b.*|stack trace\b.*|at [\w$]+(\.[\w$<>]+)+ ?\(.*",
-    r"\(?\p{Nd}{3}\)?\s*[-–:]?\s*(page |file )?not found.*|(page|file|document)( \S+)? (was )?not found\b.*|(seite|datei|dokument)( \S+)? nicht gefunden.*|(la )?(page|ressource) (demandée )?(est )?introuvable.*|(no se encontró|no se ha encontrado) la página.*",
+    r"\(?0\)?\s*[-–:]?\s*(page |file )?not found.*|(page|file|document)( \S+)? (was )?not found\b.*|(seite|datei|dokument)( \S+)? nicht gefunden.*|(la )?(page|ressource) (demandée )?(est )?introuvable.*|(no se encontró|no se ha encontrado) la página.*",
     r"हे पान सापडले नाही.*|(पृष्ठ|पेज|पान)( \S+)? (नहीं मिला|सापडले नाही).*",
     r"(the )?(item|page|file|document|resource)( \S+)? (is not on this server|could not be (found|loaded|opened|shown|displayed)).*|document preview failed.*|(the )?(report|page|document|content) (cannot|could not|can't) be (shown|displayed|loaded).*",
     r"(this )?(service|server|site|page) (is )?(down\b|unavailable|temporarily).*|the upstream (host|server) .*|(bad gateway|gateway time-?out|internal server error|service unavailable)\b.*|too many requests\b.*",
     r"(oops|uh-oh)\b.*|something (broke|went wrong)\b.*|access (denied|refused|forbidden)[.!]?$|forbidden[.!]?$|you (do not|don't) have (the right|permission|access)\b.*|your session (has )?(ended|expired)\b.*",
 )
 NOTICES = (
-    r"(please )?(enable|activate|allow|turn on|switch on) (java ?script|cookies|scripts?|scripting)\b.*|java ?script (is|must be|needs to be|has to be) (switched off|disabled|off|required|enabled|on|needed)\b.{0,60}",
+    r"(please )?(enable|activate|allow|turn on|switch on) (java ?script|cookies|scripts?|scripting)\b.*|java ?script (is|must be|needs to be|has to be) (switched off|disabled|off|required|enabled|on|needed)\b.*",
     r"you (must|need to|have to) (enable|allow|accept|activate|turn on) (java ?script|cookies|scripts?)\b.*|(this|the) (viewer|page|site|reader|reading room|application) (needs|requires) (java ?script|scripts?|cookies)\b.*",
     r"scripts? (must|need to|have to) be (on|enabled|allowed)\b.*|noscript\b.*|your browser (does not|doesn't) support\b.*|(loading|please wait)(…|\.\.\.).*|(if nothing appears|check that scripts)\b.*|checking (that|if) you are (not a robot|human)\b.*",
     r"bitte aktivieren sie (java ?script|cookies)\b.*|(bitte )?(java ?script|cookies) (aktivieren|muss aktiviert).*|veuillez (activer|autoriser) (java ?script|les cookies)\b.*|(por favor,? )?(active|habilite|active usted|debe activar) (java ?script|las cookies)\b.*",
@@ -42,93 +47,119 @@ NOTICES = (
 )
 ASKED = r"(जावास्क्रिप्ट|कुकीज़|कुकीज|कुकी) (चालू|सुरू|सक्षम|स्वीकार) कर.{0,20}$"
 FILLERS = (
-    r"(sample|dummy|placeholder|filler|example) (text|content|paragraph|heading|copy)\b.{0,40}|this is (a )?(dummy|sample|placeholder)\b.*|your (heading|content|text|title|copy|message) (goes )?here\b.*|replace this (paragraph|text|section|sentence|line)\b.*|(insert|add|enter|type|write|put) [^.]{1,60} here[.!]?$|(content|text|details|more) (is )?(coming soon|to follow|to come)\b.*",
+    r"(sample|dummy|placeholder|filler|example) (text|content|paragraph|heading|copy)\b.*|this is (a )?(dummy|sample|placeholder)\b.*|your (heading|content|text|title|copy|message) (goes )?here\b.*|replace this (paragraph|text|section|sentence|line)\b.*|(insert|add|enter|type|write|put) [^.]+ here[.!]?$|(content|text|details|more) (is )?(coming soon|to follow|to come)\b.*",
     r"texte (à remplacer|de remplissage|d'exemple|factice)\b.*|(insérez|saisissez|entrez) (votre )?texte\b.*|texto de (relleno|ejemplo|prueba|muestra)\b.*|(escriba|inserte) (su |el )?texto\b.*|(hier steht|dies ist|das ist) (ein )?(blindtext|platzhalter|beispieltext|mustertext)\b.*|(blindtext|platzhaltertext)[.!]?$|hier (ihren )?text (einfügen|eingeben)\b.*",
-    r"येथे (आपला )?मजकूर.{0,20}|यहां (अपना )?(पाठ|टेक्स्ट).{0,20}|यहाँ (अपना )?(पाठ|टेक्स्ट).{0,20}|(नमुना|नमूना) (मजकूर|पाठ).{0,20}",
+    r"येथे (आपला )?मजकूर.*|यहां (अपना )?(पाठ|टेक्स्ट).*|यहाँ (अपना )?(पाठ|टेक्स्ट).*|(नमुना|नमूना) (मजकूर|पाठ).*",
 )
 # Words of the pseudo-Latin that stands for text, whole or cut.
 LATIN = (
     "ad adipiscing aliqua aliquam aliquip amet ante arcu at augue aute bibendum commodo condimentum congue consec consectetuer consectetur consequat cras culpa curabitur cursus dapibus deserunt diam dictum do dolor dolore donec duis ea efficitur egestas eget eiusmod eleifend elementum elit enim erat eros esse est et etiam eu euismod ex excepteur exercitation facilisis fames faucibus felis feugiat fringilla fugiat fusce gravida habitant hac hendrerit iaculis id imperdiet in incididunt integer interdum ipsum irure justo labore laboris lacinia lacus laoreet lectus leo libero ligula lobortis lorem luctus maecenas magna malesuada massa mattis mauris maximus metus mi minim molestie mollis mollit montes morbi mus nam nascetur natoque nec neque netus nibh nisi nisl non nostrud nulla nullam nunc occaecat odio orci ornare pariatur pellentesque penatibus pharetra phasellus placerat porta porttitor posuere praesent pretium primis proident proin pulvinar purus quam quis quisque reprehenderit rhoncus risus rutrum sagittis sapien scelerisque sed sem semper senectus sint sit sodales sollicitudin sunt suscipit suspendisse tellus tempor tempus tetur tincidunt tortor tristique turpis ullamco ultrices ultricies urna ut varius vehicula vel velit venenatis veniam vestibulum vitae vivamus viverra volutpat vulputate"
 ).split()
-# Words one of which an aligned page must carry to be an error page.
+# Words one of which every sentence of an error page carries.
 FAULT_WORDS = r"(?U)\b(error|failed|failure|not found|unavailable|denied|refused|forbidden|enable|javascript|scripts?|cookies?|sign in|log in|session|robot|requests?|server|retry|reload|loading|try again|browser|erreur|introuvable|fehler|gefunden|aktivieren|activer|página|active)\b|त्रुटि|त्रुटी|जावास्क्रिप्ट|नहीं मिला|सापडले नाही"
 
+# The mark that a suspect is replaced by; the form of filler words.
+_SLOT, _FILLER = "∎", "∎filler"
 
-def masked(text: Column) -> Column:
-    """Figures as 0, runs of capitalised words as N."""
-    figures = F.regexp_replace(text, "[\\p{Lu}]{0,3}/?\\p{Nd}[\\p{Nd}.,/:-]*", "0")
-    return F.regexp_replace(figures, "\\p{Lu}[\\p{L}\\p{M}'’-]*(?: (?:& )?\\p{Lu}[\\p{L}\\p{M}'’-]*)*", "N")
+
+def figures_out(text: Column) -> Column:
+    """Figures and codes as 0."""
+    return F.regexp_replace(text, "\\p{Lu}{0,3}/?\\p{Nd}+(?:[.,/:-]\\p{Nd}+)*", "0")
+
+
+def names_out(text: Column) -> Column:
+    """Runs of capitalised words as N."""
+    return F.regexp_replace(text, "\\p{Lu}[\\p{L}\\p{M}'’-]*(?: (?:& )?\\p{Lu}[\\p{L}\\p{M}'’-]*)*", "N")
 
 
 def _sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "(?<=[.!?।])\\s+|\\s*\\n\\s*"), lambda x: F.trim(x)), lambda s: s != "")
 
 
-def _pairs(words: Column) -> Column:
-    """Pairs of neighbouring words."""
-    n = F.size(words) - 1
-    return F.zip_with(F.slice(words, F.lit(1), n), F.slice(words, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
+def records(docs: DataFrame) -> DataFrame:
+    """(i, k, s): the lines of the documents (i, t) in order, suspects as ∎ and figures as 0; each text is read once."""
+    shown = F.when(F.col("t").rlike(SUSPECT), F.regexp_replace("t", SUSPECT, _SLOT)).otherwise(F.col("t"))
+    return docs.select("i", F.posexplode(_sentences(figures_out(shown))).alias("k", "s"))
 
 
-def masked_lines(docs: DataFrame) -> DataFrame:
-    """(i, suspect, s): the masked sentences of the documents (i, t), once each, and whether the document has a suspect."""
-    lines = docs.select("i", F.col("t").rlike(SUSPECT).alias("suspect"), F.array_distinct(_sentences(masked(F.col("t")))).alias("s"))
-    return lines.select("i", "suspect", F.explode("s").alias("s"))
+def _places(forms: DataFrame) -> DataFrame:
+    """(s, l, r): each word with a suspect in the forms (s), and the two words on either side, names as N."""
+    words = F.split(F.concat(F.lit("^ ^ "), names_out(F.col("s")), F.lit(" $ $")), "\\s+")
+    at = F.filter(F.sequence(F.lit(3), F.size("w") - 2), lambda k: F.contains(F.element_at("w", k), F.lit(_SLOT)))
+    rows = forms.select("s", words.alias("w")).select("s", "w", F.explode(at).alias("k"))
+    side = [F.concat_ws(" ", F.element_at("w", F.col("k") + a), F.element_at("w", F.col("k") + b)) for a, b in ((-2, -1), (1, 2))]
+    rows = rows.select("s", side[0].alias("l"), side[1].alias("r"))
+    return rows.where(f"not contains(l, '{_SLOT}') and not contains(r, '{_SLOT}') and not (l = '^ ^' and r = '$ $')")
 
 
-def slot_residue(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(i) of the documents (i, t), with their masked_lines, with a suspect in a slot that other documents fill."""
-    marked = docs.withColumn("suspect", F.col("t").rlike(SUSPECT))
-    found = marked.where("suspect").select("i", F.regexp_replace("t", SUSPECT, "\u0001").alias("t"))
-    found = found.select("i", F.explode(_sentences(F.regexp_replace(masked(F.col("t")), "\u0001", "∎"))).alias("s")).where("contains(s, '∎')")
-    found = written(found, "residue-suspects")
-    # a figure's currency sign with no figure after it is a slot by itself
-    money = found.where(F.col("s").rlike("₹ ?∎|∎ ?(lakh|Lakh|लाख)")).select("i")
-    words = F.split(F.concat(F.lit("^ ^ "), F.col("s"), F.lit(" $ $")), "\\s+")
-    places = found.select("i", words.alias("w")).select("i", "w", F.explode(F.filter(F.sequence(F.lit(3), F.size("w") - 2), lambda k: F.element_at(F.col("w"), k).contains("∎"))).alias("k"))
-    side = [F.concat_ws(" ", F.element_at("w", F.col("k") + a), F.element_at("w", F.col("k") + b)) for a, b in ((-2, -1), (1, 2))]
-    places = places.select("i", side[0].alias("l"), side[1].alias("r")).where("not contains(l, '∎') and not contains(r, '∎') and not (l = '^ ^' and r = '$ $')")
-    clean = lines.where("not suspect").select("s").distinct()
-    clean = clean.select(F.split(F.concat(F.lit("^ ^ "), F.col("s"), F.lit(" $ $")), "\\s+").alias("w"))
-    pairs = written(clean.select(F.explode(_pairs(F.col("w"))).alias("p")).distinct(), "residue-pairs")
-    aligned = places.distinct().join(pairs.withColumnRenamed("p", "l"), "l", "left_semi").join(pairs.withColumnRenamed("p", "r"), "r", "left_semi")
-    return money.unionByName(aligned.select("i"))
+def slots(places: DataFrame, forms: DataFrame, width: int = 6) -> DataFrame:
+    """(l, r) of the places that are slots: in the forms (s) without suspects the same two words stand before and after values that vary.
+
+    A value is up to `width` words, in one form; values vary if one is a figure or a name (which stand for many), or if there
+    are two.  Words before a place lead to the forms; only there are values looked at.
+    """
+    words = F.split(F.concat(F.lit("^ ^ "), F.col("m"), F.lit(" $ $")), "\\s+")
+    clean = forms.where(~F.contains("s", F.lit(_SLOT))).select(names_out(F.col("s")).alias("m")).distinct().select(words.alias("w"))
+    pair = F.transform(F.sequence(F.lit(3), F.size("w") - 2), lambda k: F.struct(k.alias("k"), F.concat_ws(" ", F.element_at("w", k - 2), F.element_at("w", k - 1)).alias("l")))
+    met = clean.select("w", F.explode(pair).alias("x")).select("w", "x.k", "x.l").join(places.select("l").distinct(), "l", "left_semi")
+    wide = F.transform(F.sequence(F.lit(1), F.least(F.lit(width), F.size("w") - F.col("k") - 1)), lambda n: F.struct(F.array_join(F.slice("w", F.col("k"), n), " ").alias("v"), F.concat_ws(" ", F.element_at("w", F.col("k") + n), F.element_at("w", F.col("k") + n + 1)).alias("r")))
+    met = met.select("l", F.explode(wide).alias("x")).select("l", "x.r", "x.v").join(places.select("l", "r").distinct(), ["l", "r"], "left_semi").distinct()
+    varied = met.groupBy("l", "r").agg(F.count(F.lit(1)).alias("values"), F.bool_or(F.col("v").rlike("0|(^|\\W)N(\\W|$)")).alias("many"))
+    return varied.where("values > 1 or many").select("l", "r")
 
 
-def page_faults(docs: DataFrame, pages: int = 3, longest: int = 600) -> DataFrame:
-    """(i) of short documents whose masked whole text recurs in at least `pages` documents and carries a fault word."""
-    short = docs.where(F.length("t") <= longest).where(F.lower("t").rlike(FAULT_WORDS))
-    short = short.select("i", F.md5(F.regexp_replace(masked(F.col("t")), "\\s+", " ")).alias("form"), (F.size(_sentences(F.col("t"))) <= 6).alias("few"), F.col("t").rlike("(?U)\\b(when|if|every|found that|was seen|logs)\\b|lakh|Lakh|लाख").alias("report"))
-    forms = short.where("few and not report").groupBy("form").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= pages)
-    return short.where("few and not report").join(forms, "form").select("i")
+def slot_residue(forms: DataFrame) -> DataFrame:
+    """(s) of the forms that retain a suspect in a slot of their template."""
+    places = written(_places(forms.where(F.contains("s", F.lit(_SLOT)))), "residue-places")
+    return places.join(slots(places, forms), ["l", "r"], "left_semi").select("s").distinct()
 
 
-def known_lines(docs: DataFrame) -> DataFrame:
-    """(i) of documents with a sentence that is an error line, a notice or filler."""
-    opening = "(?U)^[\\s•*#>|–-]*(?:" + "|".join(f"(?:{p})" for p in (*FAULTS, *NOTICES, *FILLERS)) + ")$"
+def _is_filler(sentence: Column) -> Column:
+    """A line of words (lower case) that say nothing: one or two words over and over, or words of the pseudo-Latin."""
     latin = F.array(*[F.lit(w) for w in LATIN])
+    words = F.split(F.trim(F.regexp_replace(sentence, "[^\\p{L}\\p{M}]+", " ")), " ")
+    n, forms = F.size(words), F.array_distinct(words)
+    few = F.size(forms) <= F.when(n >= 5, 2).otherwise(1)
+    return ~sentence.rlike("\\p{Nd}") & (n >= 3) & (few | (F.size(F.array_except(forms, latin)) <= 0.4 * F.size(forms)))
+
 
-    def filler(sentence: Column) -> Column:
-        words = F.split(F.trim(F.regexp_replace(sentence, "[^\\p{L}\\p{M}]+", " ")), " ")
-        n, forms = F.size(words), F.array_distinct(words)
-        few = F.size(forms) <= F.when(n >= 5, 2).otherwise(1)
-        return ~sentence.rlike("\\p{Nd}") & (n >= 3) & (few | (F.size(F.array_except(forms, latin)) <= 0.4 * F.size(forms)))
+def _plain(s: Column) -> Column:
+    return F.lower(F.replace(s, F.lit("’"), F.lit("'")))
 
-    # sentences of reports are long; notices and filler aren't
-    parts = F.filter(_sentences(F.lower(F.replace("t", F.lit("’"), F.lit("'")))), lambda s: F.length(s) <= 140)
-    return docs.select("i", parts.alias("parts")).where(F.exists("parts", lambda s: s.rlike(opening) | s.rlike(ASKED) | filler(s))).select("i")
 
+def template(s: Column) -> Column:
+    """The line template of a record: its first three words and its last one, in lower case."""
+    words = F.split(_plain(s), " ")
+    return F.xxhash64(F.slice(words, F.lit(1), F.lit(3)), F.element_at(words, -1))
 
-def recurring_lines(lines: DataFrame, found: DataFrame, records: int = 3, share: float = 0.8) -> DataFrame:
-    """(i) of documents with a line of a template that is known from the documents found (i).
 
-    A masked line (with a word in it) is one if at least `records` found documents have it, and these are at least `share` of
-    all that have it.
+def line_templates(lines: DataFrame, forms: DataFrame, documents: int = 2) -> DataFrame:
+    """(s, kind) of the forms (s, n) of a template that repeats over documents and that are an error, a notice or filler by the lists.
+
+    Forms of one template agree in template(); all lines of filler words are of one.  n: the documents that hold a form.
+    """
+    opening = "(?U)^[\\s•*#>|–-]*(?:" + "|".join(f"(?:{p})" for p in (*FAULTS, *NOTICES, *FILLERS)) + ")$"
+    plain = _plain(F.col("s"))
+    kind = F.when(plain.rlike(opening) | plain.rlike(ASKED), "line").when(_is_filler(plain), "filler")
+    read = written(forms.withColumn("kind", kind).where("kind is not null").withColumn("template", F.when(F.col("kind") == "filler", 0).otherwise(template(F.col("s")))), "residue-read")
+    wanted = read.select("template").distinct()
+    # a template's documents: all that hold one of its forms, whether the lists know the form or not
+    others = forms.withColumn("template", template(F.col("s"))).join(wanted, "template", "left_semi").groupBy("template").agg(F.sum("n").alias("held"))
+    filled = lines.join(read.where("kind = 'filler'").select("s"), "s", "left_semi").select("i").distinct().agg(F.count(F.lit(1)).alias("held")).select(F.lit(0).cast("long").alias("template"), "held")
+    repeated = others.where("template != 0").unionByName(filled).where(F.col("held") >= documents).select("template")
+    return read.join(repeated, "template", "left_semi").select("s", "kind")
+
+
+def page_templates(lines: DataFrame, documents: int = 3) -> DataFrame:
+    """(i) of the documents of a page template that repeats over `documents` of them and speaks of a fault in every sentence.
+
+    The template of a page is all its lines (of any number and length) but for figures, in order; lines without an end mark,
+    as of a site's frame, need not speak of a fault, but one line must.
     """
-    worded = lines.where(F.col("s").rlike("\\p{Ll}{3}|[\\p{Lo}\\p{M}]{3}")).select("i", F.md5("s").alias("form"))
-    held = worded.join(found.distinct().withColumn("bad", F.lit(1)), "i", "left").distinct()
-    forms = held.groupBy("form").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("bad")).where((F.col("bad") >= records) & (F.col("bad") >= share * F.col("n")) & (F.col("bad") < F.col("n")))
-    return worded.join(forms, "form", "left_semi").select("i")
+    fault, ended = F.lower("s").rlike(FAULT_WORDS), F.col("s").rlike("[.!?।]$")
+    pages = lines.groupBy("i").agg(F.min(F.when(ended, fault.cast("int"))).alias("each"), F.max(fault.cast("int")).alias("some"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k", "s")).alias("a"), F.sum(F.shiftright(F.xxhash64("s", "k"), 24)).alias("b"))
+    pages = pages.where("some = 1 and coalesce(each, 1) = 1")
+    return pages.join(pages.groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= documents), ["n", "a", "b"], "left_semi").select("i")
 
 
 def residue(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -137,8 +168,9 @@ def residue(df: DataFrame, ident: str, text: str) -> DataFrame:
     Null, blank and empty texts are no case; a null `ident` does not come out; repeated rows of an `ident` come out once.
     An empty table gives an empty result.
     """
-    docs = df.select(F.col(ident).alias("i"), F.col(text).alias("t")).where("i is not null").where(F.col("t").rlike("[\\p{L}\\p{N}_]"))
-    lines = written(masked_lines(docs), "residue-lines")
-    parts = written(slot_residue(docs, lines).unionByName(page_faults(docs)).unionByName(known_lines(docs)), "residue-found")
-    parts = parts.unionByName(recurring_lines(lines, parts))
-    return parts.distinct().withColumnRenamed("i", ident)
+    docs = df.select(F.col(ident).alias("i"), F.col(text).alias("t")).where("i is not null").where(F.col("t").rlike("[\\p{L}\\p{N}_]")).dropDuplicates(["i"])
+    lines = written(records(docs), "residue-lines")
+    forms = written(lines.select("i", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")), "residue-forms")
+    bad = written(slot_residue(forms).unionByName(line_templates(lines, forms).select("s")).distinct(), "residue-bad")
+    found = lines.join(bad, "s", "left_semi").select("i").unionByName(page_templates(lines))
+    return found.distinct().withColumnRenamed("i", ident)
