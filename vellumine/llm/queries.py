@@ -13,7 +13,7 @@ from vellumine.llm.boundary_split import split_oversized
 from vellumine.llm.mixing import mixture, source_report
 from vellumine.llm.packing import pack
 from vellumine.llm.site_lines import site_blocks, site_lines, without_lines
-from vellumine.llm.template_residue import residue
+from vellumine.llm.template_residue import parts, residue
 from vellumine.llm.top_per_group import top_per_group
 from vellumine.sources.tables import table
 
@@ -151,6 +151,11 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return residue(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p10_ways(spark: SparkSession, folder: str) -> DataFrame:
+    """How the residue was found: documents by way."""
+    return parts(table(spark, folder, "documents"), "doc_id", "text").groupBy("how").agg(F.count(F.lit(1)).alias("documents"))
+
+
 def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
     """The documents with content of their own."""
     docs = table(spark, folder, "documents")

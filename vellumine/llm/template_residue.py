@@ -7,11 +7,12 @@ before and the two words after a place come together in records without a suspec
 slot; a variable name, default or blank that another record retains in it is residue.  A bracket or a name that always stands
 in its sentence (a text that speaks of templates) is aligned with nothing and stays.
 
-Templates that repeat.  Records that agree but for their figures and codes, or in their opening words and their last one,
-are of one template, as are all lines of filler words; documents that agree so in all their lines are of one page template.
-A line template that repeats over documents is residue if its records read as an error, a notice or filler, and a page
-template if every sentence of it speaks of a fault.  The fixed lists only say what a repeated template is; what does not
-repeat is not found.
+Templates that repeat.  Documents that agree but for their figures and codes are of one page template; records that agree
+so, or in their opening words and their last one, are of one line template, as are all lines of filler words.  A page
+template is an error page if every sentence of it speaks of a fault, and its fault lines are then residue wherever they
+stand; a line template that repeats is residue if its records read as an error, a notice or filler.  A line that repeats over
+records found so far and hardly elsewhere is one as well.  Only such lines as read so and repeat nowhere go by the fixed
+lists alone; `parts` tells how each document was found.
 """
 
 from __future__ import annotations
@@ -133,33 +134,66 @@ def template(s: Column) -> Column:
     return F.xxhash64(F.slice(words, F.lit(1), F.lit(3)), F.element_at(words, -1))
 
 
-def line_templates(lines: DataFrame, forms: DataFrame, documents: int = 2) -> DataFrame:
-    """(s, kind) of the forms (s, n) of a template that repeats over documents and that are an error, a notice or filler by the lists.
+def read_lines(forms: DataFrame) -> DataFrame:
+    """(s, kind, template) of the forms (s, n) that read as an error or a notice (`line`) or as `filler`, by the lists.
 
-    Forms of one template agree in template(); all lines of filler words are of one.  n: the documents that hold a form.
+    Forms of one template agree in template(); all lines of filler words are of one.
     """
     opening = "(?U)^[\\s•*#>|–-]*(?:" + "|".join(f"(?:{p})" for p in (*FAULTS, *NOTICES, *FILLERS)) + ")$"
     plain = _plain(F.col("s"))
     kind = F.when(plain.rlike(opening) | plain.rlike(ASKED), "line").when(_is_filler(plain), "filler")
-    read = written(forms.withColumn("kind", kind).where("kind is not null").withColumn("template", F.when(F.col("kind") == "filler", 0).otherwise(template(F.col("s")))), "residue-read")
-    wanted = read.select("template").distinct()
-    # a template's documents: all that hold one of its forms, whether the lists know the form or not
-    others = forms.withColumn("template", template(F.col("s"))).join(wanted, "template", "left_semi").groupBy("template").agg(F.sum("n").alias("held"))
+    return forms.select("s", kind.alias("kind")).where("kind is not null").withColumn("template", F.when(F.col("kind") == "filler", 0).otherwise(template(F.col("s"))))
+
+
+def line_templates(lines: DataFrame, forms: DataFrame, read: DataFrame, documents: int = 2) -> DataFrame:
+    """(s) of the forms of read_lines whose template repeats over documents; any form of the template counts."""
+    wanted = read.where("kind = 'line'").select("template").distinct()
+    held = forms.select(template(F.col("s")).alias("template"), "n").join(wanted, "template", "left_semi").groupBy("template").agg(F.sum("n").alias("held"))
     filled = lines.join(read.where("kind = 'filler'").select("s"), "s", "left_semi").select("i").distinct().agg(F.count(F.lit(1)).alias("held")).select(F.lit(0).cast("long").alias("template"), "held")
-    repeated = others.where("template != 0").unionByName(filled).where(F.col("held") >= documents).select("template")
-    return read.join(repeated, "template", "left_semi").select("s", "kind")
+    return read.join(held.unionByName(filled).where(F.col("held") >= documents), "template", "left_semi").select("s")
 
 
-def page_templates(lines: DataFrame, documents: int = 3) -> DataFrame:
-    """(i) of the documents of a page template that repeats over `documents` of them and speaks of a fault in every sentence.
+def page_templates(lines: DataFrame, documents: int = 2) -> DataFrame:
+    """(i, s) of the fault lines of the documents whose page template repeats over `documents` of them and speaks of a fault in every sentence.
 
     The template of a page is all its lines (of any number and length) but for figures, in order; lines without an end mark,
     as of a site's frame, need not speak of a fault, but one line must.
     """
     fault, ended = F.lower("s").rlike(FAULT_WORDS), F.col("s").rlike("[.!?।]$")
-    pages = lines.groupBy("i").agg(F.min(F.when(ended, fault.cast("int"))).alias("each"), F.max(fault.cast("int")).alias("some"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k", "s")).alias("a"), F.sum(F.shiftright(F.xxhash64("s", "k"), 24)).alias("b"))
-    pages = pages.where("some = 1 and coalesce(each, 1) = 1")
-    return pages.join(pages.groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= documents), ["n", "a", "b"], "left_semi").select("i")
+    marked = lines.withColumn("fault", fault)
+    pages = marked.groupBy("i").agg(F.min(F.when(ended, F.col("fault").cast("int"))).alias("each"), F.max(F.col("fault").cast("int")).alias("some"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k", "s")).alias("a"), F.bit_xor(F.xxhash64("s", "k")).alias("b"))
+    pages = written(pages.where("some = 1 and coalesce(each, 1) = 1").select("i", "n", "a", "b"), "residue-pages")
+    repeated = pages.groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= documents)
+    return marked.where("fault").join(pages.join(repeated, ["n", "a", "b"], "left_semi"), "i", "left_semi").select("i", "s")
+
+
+def recurring_lines(lines: DataFrame, forms: DataFrame, found: DataFrame, documents: int = 3, share: float = 0.8) -> DataFrame:
+    """(s) of the forms that at least `documents` of the documents found (i) have, these being at least `share` of all that have it."""
+    worded = F.col("s").rlike("\\p{Ll}{3}|[\\p{Lo}\\p{M}]{3}")
+    bad = lines.where(worded).join(found, "i", "left_semi").select("i", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("bad")).where(F.col("bad") >= documents)
+    return forms.join(bad, "s").where((F.col("bad") >= share * F.col("n")) & (F.col("bad") < F.col("n"))).select("s")
+
+
+def parts(df: DataFrame, ident: str, text: str) -> DataFrame:
+    """(`ident`, how) of the documents that are residue: `slot`, `page`, `line` (template), `learned`, or `single` (a line that repeats nowhere).
+
+    A document comes out with the first of these that it is found by.  Nulls, blanks and repeats as in residue.
+    """
+    docs = df.select(F.col(ident).alias("i"), F.col(text).alias("t")).where("i is not null").where(F.col("t").rlike("[\\p{L}\\p{N}_]")).dropDuplicates(["i"])
+    lines = written(records(docs), "residue-lines")
+    forms = written(lines.select("i", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")), "residue-forms")
+    read, pages = written(read_lines(forms), "residue-read"), written(page_templates(lines), "residue-faults")
+    ways = {"slot": slot_residue(forms), "page": pages.select("s"), "line": line_templates(lines, forms, read), "single": read.select("s")}
+    known = None
+    for rank, way in enumerate(("slot", "page", "line", "learned", "single")):
+        if way in ways:
+            more = ways[way].select("s", F.lit(rank).alias("rank"))
+            known = more if known is None else known.unionByName(more)
+    known = written(known.groupBy("s").agg(F.min("rank").alias("rank")), "residue-known")
+    found = written(lines.join(known, "s").groupBy("i").agg(F.min("rank").alias("rank")), "residue-found")
+    learned = lines.join(recurring_lines(lines, forms, found.select("i")), "s", "left_semi").select("i", F.lit(3).alias("rank"))
+    found = found.unionByName(learned).groupBy("i").agg(F.min("rank").alias("rank"))
+    return found.select(F.col("i").alias(ident), F.element_at(F.array(*[F.lit(w) for w in ("slot", "page", "line", "learned", "single")]), F.col("rank") + 1).alias("how"))
 
 
 def residue(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -168,9 +202,4 @@ def residue(df: DataFrame, ident: str, text: str) -> DataFrame:
     Null, blank and empty texts are no case; a null `ident` does not come out; repeated rows of an `ident` come out once.
     An empty table gives an empty result.
     """
-    docs = df.select(F.col(ident).alias("i"), F.col(text).alias("t")).where("i is not null").where(F.col("t").rlike("[\\p{L}\\p{N}_]")).dropDuplicates(["i"])
-    lines = written(records(docs), "residue-lines")
-    forms = written(lines.select("i", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")), "residue-forms")
-    bad = written(slot_residue(forms).unionByName(line_templates(lines, forms).select("s")).distinct(), "residue-bad")
-    found = lines.join(bad, "s", "left_semi").select("i").unionByName(page_templates(lines))
-    return found.distinct().withColumnRenamed("i", ident)
+    return parts(df, ident, text).select(ident)
