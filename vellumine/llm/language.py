@@ -116,72 +116,117 @@ def subwords(word: str, buckets: int) -> np.ndarray:
     return np.fromiter((zlib.crc32(g.encode()) % buckets for g in grams), dtype=np.int64)
 
 
-def fit(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 6, rate: float = 0.5, floor: float = 0.97, seed: int = 11) -> Model:
-    """A model from labelled sentences; every tenth is held out to fit the temperature."""
-    rng = np.random.default_rng(seed)
-    kept = [(ids, CODES.index(y)) for t, y in zip(texts, labels, strict=True) if y in CODES and len(ids := _features(t, buckets))]
-    E, W, b = rng.normal(0, 1 / dim, (buckets, dim)).astype(np.float32), np.zeros((dim, len(CODES)), dtype=np.float32), np.zeros(len(CODES), dtype=np.float32)
-    held, train = kept[::10] if len(kept) >= 100 else [], [x for j, x in enumerate(kept) if j % 10 or len(kept) < 100]
-
-    def run(rows: list, epochs: int) -> None:
-        steps, done = max(1, epochs * len(rows)), 0
-        for _ in range(epochs):
-            for j in rng.permutation(len(rows)):
-                ids, y = rows[j]
-                h = E[ids].mean(0)
-                z = h @ W + b
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                p[y] -= 1
-                step = rate * (1 - done / steps)
-                done += 1
-                gh = W @ p
-                W[:] -= step * np.outer(h, p)
-                b[:] -= 0.1 * step * p
-                np.add.at(E, ids, -step * gh / len(ids) * 8)
-
-    def probabilities(rows: list, t: float = 1.0) -> np.ndarray:
-        z = np.stack([E[ids].mean(0) @ W + b for ids, _ in rows]) / t
+def fit(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 4, rate: float = 0.5, floor: float = 0.97, seed: int = 11, batch: int = 32, start: Model | None = None) -> Model:
+    """A model from labelled sentences by stochastic gradient descent in small batches; every tenth sentence is held out to fit the temperature.
+
+    `start`: a model to go on from, in half as many passes.
+    """
+    rng, known = np.random.default_rng(seed), {}
+    kept = [(ids, CODES.index(y)) for t, y in zip(texts, labels, strict=True) if y in CODES and len(ids := _features(t, buckets, known))]
+    if start is None:
+        E, W, b = rng.normal(0, 1 / dim, (buckets, dim)).astype(np.float32), np.zeros((dim, len(CODES)), dtype=np.float32), np.zeros(len(CODES), dtype=np.float32)
+    else:
+        E, W, b = start.E.copy(), start.W.copy(), start.b.copy()
+    flat = np.concatenate([ids for ids, _ in kept]) if kept else np.zeros(0, dtype=np.int64)
+    sizes, ys = np.array([len(ids) for ids, _ in kept], dtype=np.int64), np.array([y for _, y in kept], dtype=np.int64)
+    firsts = np.cumsum(sizes) - sizes
+    held = np.arange(0, len(kept), 10) if len(kept) >= 100 else np.zeros(0, dtype=np.int64)
+
+    def gathered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The subwords of the sentences, and where each begins."""
+        at = np.cumsum(sizes[rows]) - sizes[rows]
+        return flat[np.arange(sizes[rows].sum()) + np.repeat(firsts[rows] - at, sizes[rows])], at
+
+    def softmax(z: np.ndarray) -> np.ndarray:
         p = np.exp(z - z.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
-    if train:
-        run(train, 2)
-        p = probabilities(train)
-        clean = [x for x, q in zip(train, p, strict=True) if not (q.argmax() != x[1] and q.max() > 0.7)]
-        run(clean, epochs)
+    def run(rows: np.ndarray, epochs: int) -> None:
+        steps, done = max(1, epochs * len(rows)), 0
+        for _ in range(epochs):
+            order = rng.permutation(rows)
+            for k in range(0, len(order), batch):
+                part = order[k : k + batch]
+                ids, at = gathered(part)
+                n = sizes[part][:, None]
+                h = np.add.reduceat(E[ids], at) / n
+                g = softmax(h @ W + b)
+                g[np.arange(len(part)), ys[part]] -= 1
+                step = np.float32(rate * (1 - done / steps))
+                done += len(part)
+                # a sentence moves each of its subwords alike; repeats of a subword within the batch add up
+                move = np.repeat((step * 8 * (g @ W.T) / n).astype(np.float32), sizes[part], axis=0)
+                by = np.argsort(ids.astype(np.uint16) if buckets <= 1 << 16 else ids, kind="stable")  # short integers sort by radix
+                ids = ids[by]
+                new = np.flatnonzero(np.diff(ids, prepend=-1))
+                E[ids[new]] -= np.add.reduceat(move[by], new)
+                W[:] -= step * (h.T @ g)
+                b[:] -= np.float32(0.1) * step * g.sum(0)
+
+    def probabilities(rows: np.ndarray, t: float = 1.0) -> np.ndarray:
+        out = [np.zeros((0, len(CODES)))]
+        for k in range(0, len(rows), 1024):
+            ids, at = gathered(rows[k : k + 1024])
+            out.append(softmax((np.add.reduceat(E[ids], at) / sizes[rows[k : k + 1024]][:, None] @ W + b) / t))
+        return np.concatenate(out)
+
+    train_ = np.setdiff1d(np.arange(len(kept)), held)
+    if len(train_):
+        run(train_, 1 if start else 2)
+        p = probabilities(train_)
+        run(train_[~((p.argmax(1) != ys[train_]) & (p.max(1) > 0.7))], max(1, epochs // 2) if start else epochs)
     temperature = 1.0
-    if held:
-        held = [x for x, q in zip(held, probabilities(held), strict=True) if not (q.argmax() != x[1] and q.max() > 0.9)] or held
-        y = np.array([x[1] for x in held])
-        loss = {t: -np.log(np.maximum(probabilities(held, t)[np.arange(len(y)), y], 1e-9)).mean() for t in (0.25, 0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0)}
+    if len(held):
+        p = probabilities(held)
+        sound = held[~((p.argmax(1) != ys[held]) & (p.max(1) > 0.9))]
+        held = sound if len(sound) else held
+        loss = {t: -np.log(np.maximum(probabilities(held, t)[np.arange(len(held)), ys[held]], 1e-9)).mean() for t in (0.25, 0.4, 0.6, 0.8, 1.0, 1.3, 1.7, 2.2, 3.0)}
         temperature = min(loss, key=loss.get)
     return Model(E, W, b, temperature, floor)
 
 
-def _features(text: str, buckets: int) -> np.ndarray:
-    words = speaking(WORD.findall(text))
-    return np.concatenate([subwords(w.lower(), buckets) for w in words]) if words else np.zeros(0, dtype=np.int64)
+def _features(text: str, buckets: int, known: dict[str, np.ndarray]) -> np.ndarray:
+    """The subwords of a text's words; `known` holds those of the words met so far."""
+    words = [w.lower() for w in speaking(WORD.findall(text))]
+    for w in words:
+        if w not in known:
+            known[w] = subwords(w, buckets)
+    return np.concatenate([known[w] for w in words]) if words else np.zeros(0, dtype=np.int64)
+
+
+def hash_sample(rows: DataFrame, ident: str, sample: int, total: int) -> DataFrame:
+    """The rows of about 1.2 x `sample` idents out of `total`, with `h`, a hash of the ident: only these leave their tasks."""
+    share = min(1.0, (1.2 * sample + 50) / max(1, total))
+    rows = rows.withColumn("h", F.xxhash64(F.col(ident).cast("string")))
+    return rows.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
 
 
-def train(df: DataFrame, ident: str, text: str, language: str, sample: int = 4000) -> Model:
-    """A model from at most `sample` labelled rows of df, chosen by a hash of `ident`."""
-    rows = df.select(F.col(ident).cast("string").alias("i"), F.col(text).alias("t"), label_code(F.col(language)).alias("y")).where(F.col("y").isin(*CODES) & F.col("t").rlike("\\p{L}"))
-    rows = rows.select(F.xxhash64("i").alias("h"), F.substring("t", 1, 4000).alias("t"), "y").orderBy("h").limit(sample).toPandas()  # bounded by `sample`
-    texts, labels = [], []
-    for t, y in zip(rows["t"], rows["y"], strict=True):
-        parts = sentences(t)
-        for s in parts[:: max(1, len(parts) // 6)][:6]:  # from all over the text
-            texts.append(s)
-            labels.append(y)
+def train(df: DataFrame, ident: str, text: str, language: str, sample: int = 4000, each: int = 6) -> Model:
+    """A model from at most `sample` labelled rows of df, chosen by a hash of `ident`, and `each` sentences of a row, from all over its text."""
+    rows = df.select(F.col(ident).alias("i"), F.col(text).alias("t"), label_code(F.col(language)).alias("y")).where(F.col("y").isin(*CODES))
+    total = rows.select("y").count()
+    rows = hash_sample(rows, "i", sample, total).where(F.col("t").rlike("\\p{L}")).select("h", "t", "y")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for h, t, y in zip(batch["h"], batch["t"], batch["y"], strict=True):
+                parts = sentences(t)
+                out += [(h, k, s, y) for k, s in enumerate(parts[:: -(-len(parts) // each)])] if parts else []
+            yield pd.DataFrame(out, columns=["h", "k", "s", "y"])
+
+    found = rows.mapInPandas(cut, "h long, k int, s string, y string").toPandas()  # at most 1.2 x sample x each sentences
+    found = found.sort_values(["h", "k", "s", "y"]).drop_duplicates(["h", "k"])
+    found = found[found["h"].isin(found["h"].drop_duplicates().iloc[:sample])]
+    texts, labels = list(found["s"]), list(found["y"])
     model = fit(texts, labels)
     model.sample = (texts, labels)
     return model
 
 
 def widened(model: Model, texts: list[str], labels: list[str]) -> Model:
-    """A model fitted on the model's own sample and more labelled texts, of another kind say."""
-    return fit([*model.sample[0], *texts], [*model.sample[1], *labels])
+    """A model that goes on from `model`, fitted on its own sample and more labelled texts, of another kind say."""
+    return fit([*model.sample[0], *texts], [*model.sample[1], *labels], start=model)
 
 
 @dataclass(frozen=True)

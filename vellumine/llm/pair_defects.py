@@ -1,9 +1,10 @@
 """Defective question-answer pairs: empty, copied, refused, truncated, or in another language.
 
-Shortened answers are found by sorting: the last sentence of every answer that has no end mark is sorted among all complete
-sentences (figures and names masked, so that sentences of one form meet), and compared with its next neighbour.  A sentence
-that is a prefix of its neighbour, or shares a long prefix with it, breaks off.  Answers cut by a length limit pile up at
-one length: at such a spike a shorter common prefix is enough.  Copies, refusals and languages follow by rule.
+Shortened answers are found by sorting alone: the last sentence of every answer that has no end mark is sorted among all
+complete sentences (figures and names masked, so that sentences of one form meet), over ranges of the whole order, and
+compared with the nearest complete sentence on either side.  A sentence that is a prefix of its neighbour, or shares a long
+prefix with it, breaks off.  Answers cut by a length limit pile up at one length: at such a spike a shorter common prefix is
+enough.  Copies, refusals and languages follow by rule.
 """
 
 from __future__ import annotations
@@ -88,8 +89,33 @@ def _views(sentence: Column) -> Column:
     return F.filter(F.array(sentence, after), lambda s: s != "")
 
 
+def shared_length(a: Column, b: Column) -> Column:
+    """Length of the common prefix of two texts; 0 if either is null."""
+    same = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, False)
+    return F.coalesce(F.when(first > 0, first - 1).otherwise(F.least(F.length(a), F.length(b))), F.lit(0)).cast("int")
+
+
+def neighbours(forms: DataFrame, tails: DataFrame) -> DataFrame:
+    """tails (i, n, tail, m) with `below` and `above`, the nearest forms (m) in sorted order, equal ones included.
+
+    Both are sorted together, range-partitioned (equal tails part by i), so that no opening is a task's own.  A range without
+    a form beside a tail takes the last form of the ranges before, the first of those after.
+    """
+    both = forms.select("m", *[F.lit(None).cast(tails.schema[c].dataType).alias(c) for c in ("i", "n", "tail")]).unionByName(tails.select("m", "i", "n", "tail"))
+    both = written(both.repartitionByRange("m", "i").withColumn("part", F.spark_partition_id()), "pair-sorted")
+    form = F.when(F.col("i").isNull(), F.col("m"))
+    ends = both.groupBy("part").agg(F.min(form).alias("low"), F.max(form).alias("high"))
+    order = Window.orderBy("part")  # one row a range
+    ends = ends.select("part", F.last("high", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("low", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    down = Window.partitionBy("part").orderBy(F.desc("m"), F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("part").orderBy("m", F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = both.withColumn("above", F.last(form, ignorenulls=True).over(down)).withColumn("below", F.last(form, ignorenulls=True).over(up)).where("i is not null")
+    return met.join(F.broadcast(ends), "part").select("i", "n", "tail", "m", F.coalesce("above", "after").alias("above"), F.coalesce("below", "before").alias("below"))
+
+
 def broken_off(answers: DataFrame, spike: int = 10) -> DataFrame:
-    """(i) of the answers (i, a) whose last sentence breaks off."""
+    """(i, how) of the answers (i, a) whose last sentence breaks off: `shortened` (a prefix of a neighbour), `parted` (follows one, then parts)."""
     text = F.regexp_replace("a", "(^\\s+)|([\\s\\p{Ps}\\p{Pi}\"'„…]+$)|(\\.{2,}\\s*$)", "")
     parts = F.filter(F.split(text, "(?<=[.!?।])\\s+|\\n\\s*"), lambda s: F.trim(s) != "")
     rows = answers.select("i", "a", F.length("a").alias("n"), parts.alias("parts")).where(F.size("parts") > 0)
@@ -97,41 +123,27 @@ def broken_off(answers: DataFrame, spike: int = 10) -> DataFrame:
     rows = written(rows, "pair-sentences")
     complete = rows.select(F.explode(F.filter("parts", lambda s: s.rlike(_END))).alias("s")).select(F.explode(_views(F.col("s"))).alias("s"))
     complete = complete.select(F.regexp_replace(masked(F.col("s")), "[.!?।॥\"'”’»)\\]]+$", "").alias("m")).distinct()
-    # a begun sentence after complete ones breaks off, however short; so does a long run of ordinary words
-    words = F.regexp_count("tail", F.lit("(?<!\\p{L})[\\p{Ll}\\u0900-\\u0D7F][\\p{L}\\p{M}]+"))
-    begun = F.element_at("parts", -2).rlike(_END) & F.col("tail").rlike("[\\p{Ll}\\u0900-\\u0D7F]") & F.col("a").contains(F.concat(F.element_at("parts", -2), F.lit(" "), F.col("tail")))
-    plainly = rows.where("open").where(F.when(F.size("parts") > 1, begun).otherwise(False) | (words >= 5)).select("i", F.lit(True).alias("plainly"))
-    # only a tail with an ordinary word can be a sentence; figures, names and codes are answers of their own
-    tails = rows.where("open").select("i", "n", "tail", F.explode(_views(F.col("tail"))).alias("s")).withColumn("m", F.rtrim(masked(F.col("s"))))
-    tails = tails.where(F.col("m").rlike("\\p{Ll}{2}|[\\u0900-\\u0D7F]{2}"))
+    # a tail is a sentence if it has an ordinary word, or follows a whole sentence; figures, names and codes are answers of their own
+    before = F.get("parts", F.size("parts") - 2)
+    begun = F.coalesce(before.rlike(_END) & F.col("tail").rlike("[\\p{Ll}\\u0900-\\u0D7F]") & F.col("a").contains(F.concat(before, F.lit(" "), F.col("tail"))), F.lit(False))
+    tails = rows.where("open").select("i", "n", "tail", begun.alias("begun"), F.explode(_views(F.col("tail"))).alias("s")).withColumn("m", F.rtrim(masked(F.col("s"))))
+    tails = tails.where(F.col("begun") | F.col("m").rlike("\\p{Ll}{2}|[\\u0900-\\u0D7F]{2}")).drop("begun")
     lengths = rows.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("open").cast("int")).alias("opens"))
     near = F.sum("rows").over(Window.partitionBy(F.floor(F.col("n") / 20)))
     spikes = lengths.withColumn("near", near).where(f"opens >= {spike} and opens >= 0.9 * rows and rows >= 0.5 * near").select("n", F.lit(True).alias("spike"))
-    forms = complete.select("m", F.lit(None).cast("string").alias("tail"), F.lit(None).cast(rows.schema["i"].dataType).alias("i"), F.lit(None).cast("int").alias("n"))
-    both = forms.unionByName(tails.select("m", "tail", "i", "n")).withColumn("head", F.substring("m", 1, 3))
-    # downwards, so that the neighbour above is the last complete sentence met
-    order = Window.partitionBy("head").orderBy(F.desc("m"), F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    under = Window.partitionBy("head").orderBy("m", F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    form = F.when(F.col("i").isNull(), F.col("m"))
-    met = both.withColumn("above", F.last(form, ignorenulls=True).over(order)).withColumn("below", F.last(form, ignorenulls=True).over(under)).where("i is not null")
-
-    def common(other: str) -> Column:
-        long = F.least(F.length("m"), F.length(other))
-        same = F.filter(F.sequence(F.lit(1), F.greatest(long, F.lit(1))), lambda k: F.substring(F.col("m"), F.lit(1), k) == F.substring(F.col(other), F.lit(1), k))
-        return F.coalesce(F.array_max(same), F.lit(0))
-
-    met = met.join(spikes, "n", "left")
+    met = neighbours(complete, tails).join(spikes, "n", "left")
     enough = F.when(F.col("spike"), 4).otherwise(8)
-    shared = F.greatest(common("above"), common("below"))
+    shared = F.greatest(shared_length(F.col("m"), F.col("above")), shared_length(F.col("m"), F.col("below")))
     shortened = F.col("above").startswith(F.col("m")) & (F.length("above") > F.length("m"))
     equal = (F.col("above") == F.col("m")) | (F.col("below") == F.col("m"))
-    met = met.select("i", "tail", F.coalesce(equal, F.lit(False)).alias("equal"), (F.coalesce(shortened, F.lit(False)) | (shared >= enough)).alias("cut"))
+    met = met.select("i", "tail", F.coalesce(equal, F.lit(False)).alias("equal"), F.coalesce(shortened, F.lit(False)).alias("shortened"), (shared >= enough).alias("parted"))
     # of a sentence that only lacks its mark the last word is a word seen elsewhere; of one cut in a name it isn't
     last = F.lower(F.regexp_extract("tail", "([\\p{L}\\p{M}]+)[^\\p{L}\\p{M}]*$", 1))
     seen = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.array_join(F.filter("parts", lambda s: s.rlike(_END)), " ")), F.lit("(?<![\\p{L}\\p{N}/])[\\p{L}\\p{M}]+(?![\\p{N}/])"), F.lit(0)))).alias("w")).distinct().withColumn("known", F.lit(True))
     whole = met.where("equal").withColumn("w", last).join(seen, "w", "left").groupBy("i").agg(F.bool_or(F.coalesce("known", F.lit(False))).alias("known"))
-    cut = met.groupBy("i").agg(F.bool_or("cut").alias("cut")).join(whole, "i", "left").join(plainly, "i", "full")
-    return cut.where("(coalesce(cut, false) or coalesce(plainly, false)) and not coalesce(known, false)").select("i")
+    cut = met.groupBy("i").agg(F.bool_or("shortened").alias("shortened"), F.bool_or("parted").alias("parted")).join(whole, "i", "left")
+    cut = cut.where("(shortened or parted) and not coalesce(known, false)")
+    return cut.select("i", F.when(F.col("shortened"), "shortened").otherwise("parted").alias("how"))
 
 
 def defects(requests: DataFrame, responses: DataFrame, ident: str, query: str, answer: str, model: language.Model, sample: int = 4000) -> DataFrame:
@@ -149,14 +161,15 @@ def defects(requests: DataFrame, responses: DataFrame, ident: str, query: str, a
     pairs = written(pairs.withColumn("rule", rule).withColumn("wanted", asked_language(q)), "pairs")
     ruled = pairs.where("rule is not null").select("i", F.col("rule").alias("defect"))
     rest = pairs.where("rule is null")
-    cut = written(broken_off(rest.select("i", "a")), "pairs-cut")
+    cut = written(broken_off(rest.select("i", "a")).select("i"), "pairs-cut")
     spoken = language.identify(rest, "i", "a", model, language.Rules(3, 2)).select("i", F.aggregate("stretches", F.create_map(F.lit(""), F.lit(0)), lambda m, s: F.map_concat(F.map_filter(m, lambda k, _: k != s["language"]), F.create_map(s["language"], F.coalesce(F.try_element_at(m, s["language"]), F.lit(0)) + s["end"] - s["start"]))).alias("by"))
     main = F.array_max(F.transform(F.map_entries("by"), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("code"))))["code"]
     spoken = written(spoken.select("i", main.alias("main")).where("main != ''"), "pairs-spoken")
     # questions that ask for a language have said which.  The others are read by a model that has also seen questions, a
     # bounded sample labelled by their answers' languages: most answers keep to the question's
     plain = rest.where("wanted is null and q is not null").select("i", "q")
-    seen = plain.join(spoken, "i").select(F.xxhash64("i").alias("h"), "q", "main").orderBy("h", "q").limit(sample).toPandas()
+    seen = language.hash_sample(plain, "i", sample, spoken.count()).join(spoken, "i").select("h", "q", "main").toPandas()  # about `sample` questions
+    seen = seen.sort_values(["h", "q"]).iloc[:sample]
     asker = language.widened(model, list(seen["q"]), list(seen["main"]))
     own = language.identify(plain, "i", "q", asker, language.Rules(2, 1)).where("confidence >= 0.6 and language not in ('unknown', 'mixed')").select("i", F.col("language").alias("own"))
     met = rest.select("i", "wanted").join(own, "i", "left").join(spoken, "i").withColumn("want", F.coalesce("wanted", "own"))

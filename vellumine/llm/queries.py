@@ -75,21 +75,31 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return pair_defects.defects(table(spark, folder, "chat_requests"), table(spark, folder, "chat_responses"), "request_id", "query", "answer", model)
 
 
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    """(record_table, record_id, given, language, confidence, stretches) of every chunk and page, by one model.
+
+    Pages carry what their sites stamp on them, which chunks don't, so a stretch of a page takes more words.
+    """
+    tables = {n: table(spark, folder, n).select(F.col(i).alias("record_id"), "text", "language") for n, i in (("chunks", "chunk_id"), ("pages", "page_id"))}
+    model = language.train(tables["chunks"].unionByName(tables["pages"]), "record_id", "text", "language")
+    out = []
+    for name, rows, rules in (("chunks", tables["chunks"], language.Rules()), ("pages", tables["pages"], language.Rules(6, 4))):
+        given = rows.dropDuplicates(["record_id"]).select("record_id", language.label_code(F.col("language")).alias("given"))
+        out.append(language.identify(rows, "record_id", "text", model, rules).join(given, "record_id").withColumn("record_table", F.lit(name)))
+    return out[0].unionByName(out[1])
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks without the right language code, with it, and pages of several languages, with each."""
-    chunks, pages = table(spark, folder, "chunks").select("chunk_id", "text", "language"), table(spark, folder, "pages").select("page_id", "text", "language")
-    # pages carry what their sites stamp on them, which chunks don't
-    model = language.train(chunks.union(pages), "chunk_id", "text", "language")
-    given = chunks.dropDuplicates(["chunk_id"]).select("chunk_id", language.label_code(F.col("language")).alias("given"))
-    right = language.identify(chunks, "chunk_id", "text", model).join(given, "chunk_id").where("given is null or given != language")
-    several = language.identify(pages, "page_id", "text", model, language.Rules(6, 4)).select("page_id", F.array_distinct("stretches.language").alias("languages")).where("size(languages) > 1")
-    return right.select(F.col("chunk_id").alias("record_id"), "language").unionByName(several.select(F.col("page_id").alias("record_id"), F.explode("languages").alias("language")))
+    rows = _languages(spark, folder)
+    right = rows.where("record_table = 'chunks' and (given is null or given != language)").select("record_id", "language")
+    several = rows.where("record_table = 'pages'").select("record_id", F.array_distinct("stretches.language").alias("languages")).where("size(languages) > 1")
+    return right.unionByName(several.select("record_id", F.explode("languages").alias("language")))
 
 
 def p6_languages(spark: SparkSession, folder: str) -> DataFrame:
-    """Language, confidence and stretches of every page."""
-    model = language.train(table(spark, folder, "chunks"), "chunk_id", "text", "language")
-    return language.identify(table(spark, folder, "pages"), "page_id", "text", model)
+    """Language, confidence and stretches of every chunk and page."""
+    return _languages(spark, folder).select("record_table", "record_id", "language", F.round("confidence", 6).alias("confidence"), "stretches")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
