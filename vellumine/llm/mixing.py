@@ -56,9 +56,13 @@ def choose_counts(lengths: np.ndarray, counts: np.ndarray, budget: int, exact: i
     return taken
 
 
-def mixture(df: DataFrame, targets: DataFrame, ident: str, source: str, text: str, size: str, total: int | None = None, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mixture(df: DataFrame, targets: DataFrame, ident: str, source: str, text: str, size: str, total: int | None = None, seed: int = 7, keep: bool = False) -> tuple[DataFrame, DataFrame]:
     """(selection, plan) of a mixture of `total` tokens (default: all tokens of the listed sources).
 
+    A source that cannot supply its share of the total gives all it has, `max_repeats` times, and the others' shares of what
+    comes out grow.  With `keep` the shares hold instead: sources that supply nothing are set aside and the other shares scaled
+    to a sum of 1 (`wanted`), and the total is the largest, up to `total`, at which every one of these sources has its share.
+
     selection: source, `ident`, tokens, repeats (how often the document is used, at most max_repeats).  Equal texts of one
     source are one text: only the smallest id is used.  plan: one row per listed source.  Documents with a null id, text,
     size or source, or of an unlisted source, are not used; a source without documents supplies nothing; a null or negative
@@ -77,7 +81,14 @@ def mixture(df: DataFrame, targets: DataFrame, ident: str, source: str, text: st
     every = docs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_tokens"))
     budget = (F.col("all_tokens") if total is None else F.lit(total)).cast("double")
     sources = goal.join(own, "s", "left").crossJoin(every).fillna(0, ["own", "documents"])  # `every` is one row
-    sources = written(sources.withColumn("budget", F.round(F.col("share") * budget).cast("long")), "mix-sources")
+    supply = texts.groupBy("s").agg(F.sum("n").alias("supply"))
+    sources = sources.join(supply, "s", "left").withColumn("supply", F.coalesce("supply", F.lit(0)) * F.col("cap"))
+    sources = sources.withColumn("wanted", F.when(F.col("supply") > 0, F.col("share")).otherwise(0.0) if keep else F.col("share"))
+    if keep:  # one row
+        scale = sources.agg(F.sum("wanted").alias("scale"), F.min(F.when(F.col("wanted") > 0, F.col("supply") / F.col("wanted"))).alias("reach"))
+        sources = sources.crossJoin(scale).withColumn("wanted", F.when(F.col("scale") > 0, F.col("wanted") / F.col("scale")).otherwise(0.0))
+        budget = F.least(budget, F.coalesce(F.floor(F.col("reach") * F.col("scale")), F.lit(0)).cast("double"))
+    sources = written(sources.select("s", "share", "cap", "own", "documents", "all_tokens", "wanted", F.round(F.col("wanted") * budget).cast("long").alias("budget")), "mix-sources")
 
     def planned(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n")
@@ -95,11 +106,11 @@ def mixture(df: DataFrame, targets: DataFrame, ident: str, source: str, text: st
 
 
 def source_report(selection: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per listed source: target_share, budget, own tokens, reached tokens and share, and `short` if it cannot supply its share."""
+    """Per listed source: target_share, wanted share, budget, own tokens, reached tokens and share, and `short` if it cannot supply its target share."""
     reached = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached_tokens"))
     out = plan.join(reached, "source", "left").fillna(0, ["reached_tokens"])
     whole = out.agg(F.sum("reached_tokens").alias("mixture_tokens"))
     out = out.crossJoin(whole)  # one row
     short = F.col("cap") * F.col("own") < F.col("share") * F.col("all_tokens")
     share = F.when(F.col("mixture_tokens") > 0, F.col("reached_tokens") / F.col("mixture_tokens"))
-    return out.select("source", F.col("share").alias("target_share"), "budget", F.col("own").alias("own_tokens"), "documents", "reached_tokens", F.round(share, 6).alias("reached_share"), short.alias("short"))
+    return out.select("source", F.col("share").alias("target_share"), F.col("wanted").alias("wanted_share"), "budget", F.col("own").alias("own_tokens"), "documents", "reached_tokens", F.round(share, 6).alias("reached_share"), short.alias("short"))

@@ -18,82 +18,110 @@ from vellumine.session import written
 Pattern = tuple[dict[int, int], int]
 
 
-def combinations(lengths: np.ndarray, capacity: int, window: int, most: int = 20_000) -> list[dict[int, int]]:
+def combinations(lengths: np.ndarray, capacity: int, window: int, depth: int = 12) -> list[dict[int, int]]:
     """Combinations k x a + m x b (+ c) of known lengths whose sum lies in [capacity - window, capacity].
 
-    For every length a and count k the gap is closed by one, two or three equal lengths or by two different ones; `most`
-    bounds the matrix, not the rows packed.
+    For every length a, up to `depth` times or as often as it fits, the gap is closed by up to three equal lengths, the last
+    one by a length of its own, or by two different ones: at most 8 (depth + 1) combinations a length, over all lengths.
     """
     known = np.zeros(capacity + 1, dtype=bool)
     known[lengths] = True
-    below = np.maximum.accumulate(np.where(known, np.arange(capacity + 1), -1))  # the largest known length up to each value
+    below = np.maximum.accumulate(np.where(known, np.arange(capacity + 1), -1)).tolist()  # the largest known length up to each value
     found: dict[tuple, dict[int, int]] = {}
 
-    def add(parts: list[int]) -> None:
-        total = sum(parts)
-        if capacity - window <= total <= capacity:
-            key = tuple(sorted(parts))
-            if key not in found:
-                found[key] = {p: parts.count(p) for p in set(parts)}
-
-    for a in lengths[::-1]:
-        a = int(a)
-        for k in range(1, capacity // a + 1):
-            gap, base = capacity - k * a, [a] * k
-            add(base)
+    def add(*parts: tuple[int, int]) -> None:
+        if capacity - window <= sum(n * k for n, k in parts):
+            pattern: dict[int, int] = {}
+            for n, k in parts:
+                pattern[n] = pattern.get(n, 0) + k
+            found.setdefault(tuple(sorted(pattern.items())), pattern)
+
+    for a in lengths.tolist():
+        most = capacity // a
+        for k in {*range(1, min(depth, most) + 1), most}:
+            gap = capacity - k * a
+            add((a, k))
             for m in (1, 2, 3):
-                b = int(below[gap // m])
+                b = below[gap // m]
                 if b > 0:
-                    add(base + [b] * m)
-                    c = int(below[gap - m * b])
+                    add((a, k), (b, m))
+                    c = below[gap - m * b]
                     if c > 0:
-                        add(base + [b] * m + [c])
+                        add((a, k), (b, m), (c, 1))
             if gap > 1:
-                half = int(below[max(gap // 3, 1)])
-                if half > 0 and (c := int(below[gap - half])) > 0:
-                    add(base + [half, c])
-            if len(found) >= most:
-                return list(found.values())
+                for part in (gap // 3, gap // 5):
+                    half = below[max(part, 1)]
+                    if half > 0 and (c := below[gap - half]) > 0:
+                        add((a, k), (half, 1), (c, 1))
     return list(found.values())
 
 
-def solve_repeats(patterns: list[dict[int, int]], counts: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """Repeats x >= 0 minimising |A x - counts|, by multiplicative updates (they keep x non-negative)."""
+def solve_repeats(patterns: list[dict[int, int]], counts: np.ndarray, capacity: int, rounds: int = 200) -> np.ndarray:
+    """Repeats x >= 0 minimising |A x - counts|, by multiplicative updates (they keep x non-negative).
+
+    They start from the histogram, weighted by how well a combination fills, and so end near the best filling solution.
+    """
     cols = np.fromiter((j for j, p in enumerate(patterns) for _ in p), dtype=np.int64)
     rows = np.fromiter((n for p in patterns for n in p), dtype=np.int64)
     vals = np.fromiter((k for p in patterns for k in p.values()), dtype=np.float64)
-    size, x = len(patterns), np.ones(len(patterns))
+    size = len(patterns)
     target = np.bincount(cols, vals * counts[rows], size)
-    x = target / np.maximum(np.bincount(cols, vals * vals, size), 1) / max(1, size / len(counts))
+    waste = capacity - np.bincount(cols, vals * rows, size)
+    x = np.exp(-8.0 * waste / max(1.0, float(waste.max(initial=1.0))))
+    x *= np.bincount(cols, vals * counts[rows], size) / np.maximum(np.bincount(cols, vals * np.bincount(rows, vals * x[cols], len(counts))[rows], size), 1e-12)
     for _ in range(rounds):
         fit = np.bincount(rows, vals * x[cols], len(counts))
         x *= target / np.maximum(np.bincount(cols, vals * fit[rows], size), 1e-12)
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int, window: int | None = None) -> list[Pattern]:
-    """(combination, repeats) runs that use up the histogram of lengths from 1 to `capacity` exactly."""
+def plan(histogram: dict[int, int], capacity: int, window: int | None = None, passes: int = 30) -> list[Pattern]:
+    """(combination, repeats) runs that use up the histogram of lengths from 1 to `capacity` exactly; what the solver leaves is packed greedily.
+
+    A pass solves for the repeats, rounds them, and leaves the rest to the next pass, as long as passes place a hundredth of the items left.
+    """
+    runs, left = solved(histogram, capacity, window, passes)
+    return [*runs, *greedy(left, capacity)]
+
+
+def solved(histogram: dict[int, int], capacity: int, window: int | None = None, passes: int = 30) -> tuple[list[Pattern], np.ndarray]:
+    """The runs of the solver, and how many items of each length they leave."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for n, c in histogram.items():
         left[n] = c
     runs: list[Pattern] = []
-
-    def take(pattern: dict[int, int], repeats: int) -> None:
-        if repeats > 0:
-            for n, k in pattern.items():
-                left[n] -= k * repeats
-            runs.append((pattern, repeats))
-
-    take({capacity: 1}, int(left[capacity]))
-    lengths = np.flatnonzero(left)
-    if len(lengths):
-        patterns = combinations(lengths, capacity, max(1, capacity // 64) if window is None else window)
-        if patterns:
-            x = solve_repeats(patterns, left.astype(np.float64))
-            for j in np.argsort([capacity - sum(n * k for n, k in p.items()) for p in patterns], kind="stable"):
-                p = patterns[j]
-                take(p, min([round(float(x[j])), *(int(left[n]) // k for n, k in p.items())]))
-    while (rest := np.flatnonzero(left)).size:  # each step uses up a length, or repeats a filled container as often as it can
+    if left[capacity]:
+        runs.append(({capacity: 1}, int(left[capacity])))
+        left[capacity] = 0
+    window = max(1, capacity // 64) if window is None else window
+    for _ in range(passes):
+        lengths, before = np.flatnonzero(left), int(left.sum())
+        patterns = combinations(lengths, capacity, window) if before else []
+        if not patterns:
+            break
+        x = solve_repeats(patterns, left.astype(np.float64), capacity)
+        carry = 0.0  # what rounding leaves of a combination goes to the next one of the same longest length
+        longest = [max(p) for p in patterns]
+        room = [capacity - sum(n * k for n, k in p.items()) for p in patterns]
+        for j in sorted(range(len(patterns)), key=lambda j: (-longest[j], room[j])):
+            p = patterns[j]
+            carry += float(x[j])
+            repeats = min([round(carry), *(int(left[n]) // k for n, k in p.items())])
+            if repeats > 0:
+                for n, k in p.items():
+                    left[n] -= k * repeats
+                runs.append((p, repeats))
+                carry -= repeats
+            carry = min(carry, 1.0)
+        if before - int(left.sum()) < 0.01 * before:
+            break
+    return runs, left
+
+
+def greedy(left: np.ndarray, capacity: int) -> list[Pattern]:
+    """Runs that pack what is left, the longest item that fits first; each run uses up a length or repeats as often as it can."""
+    left, runs = left.copy(), []
+    while (rest := np.flatnonzero(left)).size:
         pattern, room = {}, capacity
         while room:
             fits = rest[: np.searchsorted(rest, room, side="right")]
@@ -103,7 +131,10 @@ def plan(histogram: dict[int, int], capacity: int, window: int | None = None) ->
             k = min(room // n, int(left[n]) - pattern.get(n, 0))
             pattern[n] = pattern.get(n, 0) + k
             room -= n * k
-        take(pattern, min(int(left[n]) // k for n, k in pattern.items()))
+        repeats = min(int(left[n]) // k for n, k in pattern.items())
+        for n, k in pattern.items():
+            left[n] -= k * repeats
+        runs.append((pattern, repeats))
     return runs
 
 

@@ -142,18 +142,23 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return total.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 4))
 
 
-def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return mixture(_tokens(spark, folder), table(spark, folder, "mix_targets"), "doc_id", "source", "text", "tokens")
+def _mix(spark: SparkSession, folder: str, keep: bool = False) -> DataFrame:
+    return source_report(*mixture(_tokens(spark, folder), table(spark, folder, "mix_targets"), "doc_id", "source", "text", "tokens", keep=keep))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Sources that cannot supply their share of the mixture."""
-    return source_report(*_mix(spark, folder)).where("short").select("source")
+    return _mix(spark, folder).where("short").select("source")
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     """Target and reached share of each source."""
-    return source_report(*_mix(spark, folder)).select("source", "target_share", "reached_share", "reached_tokens")
+    return _mix(spark, folder).select("source", "target_share", "reached_share", "reached_tokens")
+
+
+def p9_kept_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of each source in the largest mixture that keeps the shares of all sources that supply anything."""
+    return _mix(spark, folder, keep=True).select("source", F.round("wanted_share", 6).alias("wanted_share"), "reached_share", "reached_tokens", "budget")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ranked(df: DataFrame, keys: list[str], ident: Column, seed: int = 0, parts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], ident: Column, seed: int = 0, most: int = 1_000_000) -> DataFrame:
     """df with `rank`, from 0, in the order of a seeded hash of `ident` within `keys`.
 
-    The hash range is cut into `parts`; a row's rank is its place within its part plus the sizes of the parts before.
+    The hash range is cut into so many parts that the largest group (counted first) has about `most` rows in each; a row's
+    rank is its place within its part plus the sizes of the parts before.
     """
-    rows = df.withColumn("__h", F.xxhash64(F.lit(seed), ident)).withColumn("__part", F.shiftright(F.col("__h"), 58) + 32)
-    rows = rows.withColumn("__part", F.floor(F.col("__part") * parts / 64).cast("int"))
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.max("__n")).first()[0] or 0
+    parts = max(1, -(-largest // most))
+    rows = df.withColumn("__h", F.xxhash64(F.lit(seed), ident))
+    rows = rows.withColumn("__part", F.floor((F.shiftright(F.col("__h"), 32) + F.lit(1 << 31)) * parts / F.lit(1 << 32)).cast("int"))
     sizes = rows.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
