@@ -65,8 +65,8 @@ def title_kind(line: Column) -> Column:
 
 
 def is_titleish(line: Column) -> Column:
-    """A separated line that neither ends a sentence nor goes on from one."""
-    return line.rlike(_SEPARATED) & ~line.rlike(_ENDED) & ~line.rlike("[-‐­]$|^\\p{Ll}") & (F.length(line) <= 160)
+    """A separated line that neither ends a sentence nor goes on from one, nor is a list of `label: value` fields."""
+    return line.rlike(_SEPARATED) & ~line.rlike(_ENDED) & ~line.rlike("[-‐­]$|^\\p{Ll}|\\p{L}\\s*:.*[|;].*\\p{L}\\s*:")
 
 
 def title_lines(marked: DataFrame, documents: int = 2, edge: float = 0.8) -> DataFrame:
@@ -84,10 +84,10 @@ def title_lines(marked: DataFrame, documents: int = 2, edge: float = 0.8) -> Dat
 
 
 def words_of(text: Column) -> Column:
-    """Distinct lower-case words with their noise: cut words joined, 3 to 40 characters (2 where a letter bears a sign), with a letter."""
+    """Distinct lower-case words with their noise: cut words joined, three characters or more (two where a letter bears a sign), with a letter."""
     flat = F.regexp_replace(text, "[-‐­][ \\t\\r]*\\n\\s*|" + INVISIBLE, "")
     words = F.array_distinct(F.split(F.lower(flat), _SPLIT))
-    return F.filter(words, lambda w: (F.length(w).between(3, 40) & w.rlike("\\p{L}")) | w.rlike("^\\p{L}\\p{M}$"))
+    return F.filter(words, lambda w: ((F.length(w) >= 3) & w.rlike("\\p{L}")) | w.rlike("^\\p{L}\\p{M}$"))
 
 
 def anagram_value(word: Column) -> Column:
@@ -122,9 +122,12 @@ def corrections(words: DataFrame, ratio: int = 15, least: int = 10) -> DataFrame
     odd_word = F.col("w").rlike(f"[{MARKS}]") | F.col("w").rlike("\\p{L}\\p{M}*\\p{Nd}|\\p{Nd}\\p{L}") | foreign
     pure = F.col("w").rlike("^[\\p{L}\\p{M}-]+$") & ~foreign
     letters = F.length(F.regexp_replace("w", "[^\\p{L}\\p{M}]", ""))
-    known = words.where(pure & (F.col("n") >= 2)).select(F.col("w").alias("v"), F.col("n").alias("vn"), anagram_value(F.col("w")).alias("value"))
-    # odd words: one mark, digit or letter of another script (or two together) taken for a letter, or strayed in
-    odd = words.where(odd_word & (letters >= 2) & (letters * 2 >= F.length("w"))).withColumn("value", anagram_value(F.col("w")))
+    known = words.where(pure & (F.col("n") >= 2))
+    # no variant of a known word has more letters than the longest one (one more where a letter became two)
+    longest = known.agg(F.max(F.length("w"))).first()[0] or 0
+    known = known.select(F.col("w").alias("v"), F.col("n").alias("vn"), anagram_value(F.col("w")).alias("value"))
+    # odd words: marks, digits or letters of another script in one place taken for a letter, or strayed in
+    odd = written(words.where(odd_word & letters.between(2, longest) & (letters * 2 >= F.length("w"))), "scan-odd").withColumn("value", anagram_value(F.col("w")))
 
     def spot(k: Column) -> Column:
         c = F.substring(F.col("w"), k, F.lit(1))
@@ -132,7 +135,7 @@ def corrections(words: DataFrame, ratio: int = 15, least: int = 10) -> DataFrame
 
     spots = F.filter(F.sequence(F.lit(1), F.length("w")), spot)
     odd = odd.withColumn("spots", spots).withColumn("from", F.array_min("spots")).withColumn("to", F.array_max("spots"))
-    odd = odd.where("size(spots) > 0 and to - from + 1 = size(spots) and size(spots) <= 2")
+    odd = odd.where("size(spots) > 0 and to - from + 1 = size(spots)")
     odd = odd.select("w", "n", "value", F.substring("w", F.lit(1), F.col("from") - 1).alias("left"), F.substring("w", F.col("from"), F.col("to") - F.col("from") + 1).alias("bad"), F.substring("w", F.col("to") + 1, F.length("w")).alias("right"))
     # without its mark, and without one of its letters (or none), the odd and the frequent word have the same value
     odd = odd.withColumn("value", F.col("value") - _one(F.col("bad")))
@@ -142,7 +145,7 @@ def corrections(words: DataFrame, ratio: int = 15, least: int = 10) -> DataFrame
     size = F.length("left") + F.length("right") + F.col("more")
     swapped = odd.join(dropped, "value").where(F.col("v").startswith(F.col("left")) & F.col("v").endswith(F.col("right")) & (F.length("v") == size)).select("w", "n", "v", "vn").where("vn >= n")
     # rare words: letters taken for letters
-    rare = words.where(pure & (F.length("w") >= 5)).withColumn("value", anagram_value(F.col("w")))
+    rare = written(words.where(pure & F.length("w").between(5, longest + 1)), "scan-rare").withColumn("value", anagram_value(F.col("w")))
     turned = rare.select("w", "n", F.explode(F.concat(*[_turns(a, b) for a, b in CONFUSED])).alias("e")).select("w", "n", "e.value", "e.v")
     turned = turned.join(known, ["value", "v"]).where(f"vn >= {ratio} * n and vn >= {least}").select("w", "n", "v", "vn")
     met = swapped.unionByName(turned)
