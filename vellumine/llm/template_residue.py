@@ -134,44 +134,52 @@ def template(s: Column) -> Column:
     return F.xxhash64(F.slice(words, F.lit(1), F.lit(3)), F.element_at(words, -1))
 
 
-def read_lines(forms: DataFrame) -> DataFrame:
-    """(s, kind, template) of the forms (s, n) that read as an error or a notice (`line`) or as `filler`, by the lists.
-
-    Forms of one template agree in template(); all lines of filler words are of one.
-    """
+def read_forms(lines: DataFrame) -> DataFrame:
+    """(s, kind, fault) of the distinct forms of lines: `line` for an error or a notice by the lists, `filler`, and whether a fault word stands in it."""
     opening = "(?U)^[\\s•*#>|–-]*(?:" + "|".join(f"(?:{p})" for p in (*FAULTS, *NOTICES, *FILLERS)) + ")$"
     plain = _plain(F.col("s"))
     kind = F.when(plain.rlike(opening) | plain.rlike(ASKED), "line").when(_is_filler(plain), "filler")
-    return forms.select("s", kind.alias("kind")).where("kind is not null").withColumn("template", F.when(F.col("kind") == "filler", 0).otherwise(template(F.col("s"))))
+    return lines.select("s").distinct().select("s", kind.alias("kind"), F.lower("s").rlike(FAULT_WORDS).alias("fault"))
 
 
-def line_templates(lines: DataFrame, forms: DataFrame, read: DataFrame, documents: int = 2) -> DataFrame:
-    """(s) of the forms of read_lines whose template repeats over documents; any form of the template counts."""
-    wanted = read.where("kind = 'line'").select("template").distinct()
-    held = forms.select(template(F.col("s")).alias("template"), "n").join(wanted, "template", "left_semi").groupBy("template").agg(F.sum("n").alias("held"))
-    filled = lines.join(read.where("kind = 'filler'").select("s"), "s", "left_semi").select("i").distinct().agg(F.count(F.lit(1)).alias("held")).select(F.lit(0).cast("long").alias("template"), "held")
-    return read.join(held.unionByName(filled).where(F.col("held") >= documents), "template", "left_semi").select("s")
+def line_templates(lines: DataFrame, forms: DataFrame, documents: int = 2) -> DataFrame:
+    """(s) of the forms that the lists know whose template repeats over documents.
+
+    Forms of one template agree in template(), whether the lists know them or not; all lines of filler words are of one.
+    """
+    read = forms.where("kind is not null").select("s", "kind", F.when(F.col("kind") == "filler", 0).otherwise(template(F.col("s"))).alias("template"))
+    read = written(read, "residue-read")
+    alike = forms.select("s", template(F.col("s")).alias("template")).join(read.where("kind = 'line'").select("template").distinct(), "template", "left_semi")
+    alike = written(alike.unionByName(read.where("kind = 'filler'").select("s", "template")).distinct(), "residue-alike")
+    held = lines.select("i", "s").join(alike, "s").select("i", "template").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("held"))
+    return read.join(held.where(F.col("held") >= documents), "template", "left_semi").select("s")
 
 
-def page_templates(lines: DataFrame, documents: int = 2) -> DataFrame:
+def page_templates(lines: DataFrame, forms: DataFrame, documents: int = 2) -> DataFrame:
     """(i, s) of the fault lines of the documents whose page template repeats over `documents` of them and speaks of a fault in every sentence.
 
     The template of a page is all its lines (of any number and length) but for figures, in order; lines without an end mark,
-    as of a site's frame, need not speak of a fault, but one line must.
+    as of a site's frame, need not speak of a fault, but one line must.  Repeated rows of a document count once: a page's
+    number of lines is its last line's, and its sums are divided by the number of rows a line has.
     """
-    fault, ended = F.lower("s").rlike(FAULT_WORDS), F.col("s").rlike("[.!?।]$")
-    marked = lines.withColumn("fault", fault)
-    pages = marked.groupBy("i").agg(F.min(F.when(ended, F.col("fault").cast("int"))).alias("each"), F.max(F.col("fault").cast("int")).alias("some"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("k", "s")).alias("a"), F.bit_xor(F.xxhash64("s", "k")).alias("b"))
-    pages = written(pages.where("some = 1 and coalesce(each, 1) = 1").select("i", "n", "a", "b"), "residue-pages")
+    faults = forms.where("fault").select("s", F.lit(1).alias("fault"))
+    held = written(lines.join(faults, "s", "left_semi").select("i").distinct(), "residue-held")
+    marked = lines.join(held, "i", "left_semi").join(faults, "s", "left")
+    ended = F.col("s").rlike("[.!?।]$")
+    hashes = [F.shiftright(F.xxhash64(*c), 32) for c in (("k", "s"), ("s", "k"))]
+    pages = marked.groupBy("i").agg(F.min(F.when(ended, F.coalesce("fault", F.lit(0)))).alias("each"), (F.max("k") + 1).alias("n"), F.count(F.lit(1)).alias("rows"), *[F.sum(h).alias(c) for h, c in zip(hashes, "ab", strict=True)])
+    pages = written(pages.where("coalesce(each, 1) = 1").selectExpr("i", "n", "a div (rows div n) as a", "b div (rows div n) as b"), "residue-pages")
     repeated = pages.groupBy("n", "a", "b").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= documents)
-    return marked.where("fault").join(pages.join(repeated, ["n", "a", "b"], "left_semi"), "i", "left_semi").select("i", "s")
+    return lines.join(pages.join(repeated, ["n", "a", "b"], "left_semi"), "i", "left_semi").join(faults, "s", "left_semi").select("i", "s")
 
 
-def recurring_lines(lines: DataFrame, forms: DataFrame, found: DataFrame, documents: int = 3, share: float = 0.8) -> DataFrame:
-    """(s) of the forms that at least `documents` of the documents found (i) have, these being at least `share` of all that have it."""
+def recurring_lines(lines: DataFrame, found: DataFrame, documents: int = 3, share: float = 0.8) -> DataFrame:
+    """(s) of the forms that at least `documents` of the documents found (i) have, these being at least `share` of all that have it, but not all."""
     worded = F.col("s").rlike("\\p{Ll}{3}|[\\p{Lo}\\p{M}]{3}")
-    bad = lines.where(worded).join(found, "i", "left_semi").select("i", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("bad")).where(F.col("bad") >= documents)
-    return forms.join(bad, "s").where((F.col("bad") >= share * F.col("n")) & (F.col("bad") < F.col("n"))).select("s")
+    bad = lines.where(worded).join(found, "i", "left_semi").select("i", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("bad"))
+    bad = written(bad.where(F.col("bad") >= documents), "residue-recurring")
+    n = lines.select("i", "s").join(bad.select("s"), "s", "left_semi").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    return bad.join(n, "s").where((F.col("bad") >= share * F.col("n")) & (F.col("bad") < F.col("n"))).select("s")
 
 
 def parts(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -179,11 +187,10 @@ def parts(df: DataFrame, ident: str, text: str) -> DataFrame:
 
     A document comes out with the first of these that it is found by.  Nulls, blanks and repeats as in residue.
     """
-    docs = df.select(F.col(ident).alias("i"), F.col(text).alias("t")).where("i is not null").where(F.col("t").rlike("[\\p{L}\\p{N}_]")).dropDuplicates(["i"])
+    docs = df.select(F.col(ident).alias("i"), F.col(text).alias("t")).where("i is not null").where(F.col("t").rlike("[\\p{L}\\p{N}_]"))
     lines = written(records(docs), "residue-lines")
-    forms = written(lines.select("i", "s").distinct().groupBy("s").agg(F.count(F.lit(1)).alias("n")), "residue-forms")
-    read, pages = written(read_lines(forms), "residue-read"), written(page_templates(lines), "residue-faults")
-    ways = {"slot": slot_residue(forms), "page": pages.select("s"), "line": line_templates(lines, forms, read), "single": read.select("s")}
+    forms = written(read_forms(lines), "residue-forms")
+    ways = {"slot": slot_residue(forms), "page": page_templates(lines, forms).select("s"), "line": line_templates(lines, forms), "single": forms.where("kind is not null").select("s")}
     known = None
     for rank, way in enumerate(("slot", "page", "line", "learned", "single")):
         if way in ways:
@@ -191,7 +198,7 @@ def parts(df: DataFrame, ident: str, text: str) -> DataFrame:
             known = more if known is None else known.unionByName(more)
     known = written(known.groupBy("s").agg(F.min("rank").alias("rank")), "residue-known")
     found = written(lines.join(known, "s").groupBy("i").agg(F.min("rank").alias("rank")), "residue-found")
-    learned = lines.join(recurring_lines(lines, forms, found.select("i")), "s", "left_semi").select("i", F.lit(3).alias("rank"))
+    learned = lines.join(recurring_lines(lines, found.select("i")), "s", "left_semi").select("i", F.lit(3).alias("rank"))
     found = found.unionByName(learned).groupBy("i").agg(F.min("rank").alias("rank"))
     return found.select(F.col("i").alias(ident), F.element_at(F.array(*[F.lit(w) for w in ("slot", "page", "line", "learned", "single")]), F.col("rank") + 1).alias("how"))
 
