@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from vellumine.operators.pages import extracted_pages
 from vellumine.sources import files
 from vellumine.streaming import flows
@@ -51,3 +53,41 @@ def test_streamed_limiter(spark, tmp_path):
     calls = flows.table_stream(spark, str(tmp_path), "calls")
     got = {r.ident: r.allowed for r in flows.drained(flows.limited(calls, 2, 60.0)).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 9: True, 10: True}
+
+
+def test_a_batch_run_again_keeps_its_rows(spark, data, tmp_path):
+    import glob
+    import os
+
+    from vellumine.streaming import flows
+
+    run = flows.ingest(flows.table_stream(spark, data, "pages"))
+    table, log = str(tmp_path / "chunks"), str(tmp_path / "log")
+    first = sorted(r.chunk_id for r in run(table, log).collect())
+    # the batch has written, but its commit is lost: it runs again
+    for f in glob.glob(f"{log}/commits/*") + glob.glob(f"{log}/commits/.*.crc"):
+        os.remove(f)
+    assert sorted(r.chunk_id for r in run(table, log).collect()) == first and len(first) > 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import types
+
+    from vellumine import session
+
+    conf = types.SimpleNamespace(get=lambda *a: None)
+    fake = types.SimpleNamespace(sparkContext=types.SimpleNamespace(applicationId="x-cluster", master="spark://host:7077", getConf=lambda: conf), conf=conf)
+    with pytest.raises(RuntimeError):
+        session.shared_folder(fake)
+
+
+def test_one_documents_chunks(spark, tmp_path):
+    from vellumine.sources.files import read_chunks, read_document_chunks, write_chunks
+
+    rows = spark.createDataFrame([("a_p1_s1_c1", "a", "x"), ("b_p1_s1_c1", "b", "y")], "chunk_id string, document_id string, text string")
+    write_chunks(rows, str(tmp_path / "t"))
+    assert [r.text for r in read_document_chunks(spark, str(tmp_path / "t"), "b").collect()] == ["y"]
+    assert read_document_chunks(spark, str(tmp_path / "none"), "b").count() == 0
+    assert read_chunks(spark, str(tmp_path / "none.json")).count() == 0
+    with pytest.raises(FileNotFoundError):
+        read_chunks(spark, str(tmp_path / "none.json"), must_exist=True)

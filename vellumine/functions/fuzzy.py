@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SPREAD = 8  # blocks of the vocabulary that one length is cut into
+from vellumine.session import written
+
+_BLOCK = 50_000  # words of one length that meet a term in one task
 
 
 @F.pandas_udf(T.DoubleType())
@@ -28,29 +30,65 @@ def _words(df: DataFrame, name: str) -> DataFrame:
     return df.select(name).where(F.col(name) != "").distinct()
 
 
-def term_matches(terms: DataFrame, tokens: DataFrame, threshold: float, fuzzy: bool = True) -> DataFrame:
-    """(term, token, score) of distinct terms and tokens (columns term and token) with a score of at least `threshold`.
+def _near(pairs: DataFrame, threshold: float, fuzzy: bool) -> DataFrame:
+    """The pairs (term, token, ...) that reach the threshold with `score`, or may reach it by their ratio (score 0).
 
-    A term meets the tokens of the lengths that can reach the threshold: containment needs shorter / longer >= t, and a ratio
-    is at most 2 shorter / (shorter + longer).  Then a bound by shared characters comes before the ratio, so that Python sees
-    near pairs only.  With `fuzzy` off, only equality and containment count.
+    A ratio is at most 2 x shared characters / all characters: that bound comes before the ratio, so that Python sees near
+    pairs only.  With `fuzzy` off, only equality and containment count.
     """
-    t = max(threshold, 1e-6)
     a, b = F.length("term"), F.length("token")
-    low = t / (2 - t) if fuzzy else t
-    reach = F.sequence(F.ceil(a * low - 1e-9).cast("int"), F.floor(a / low + 1e-9).cast("int"))
-    left = _words(terms, "term").select("term", F.explode(reach).alias("n"), F.array(*[F.lit(k) for k in range(_SPREAD)]).alias("parts"))
-    left = left.select("term", "n", F.explode("parts").alias("part"))
-    right = _words(tokens, "token").select("token", b.alias("n"), F.pmod(F.xxhash64("token"), F.lit(_SPREAD)).cast("int").alias("part"))
-    pairs = right.join(left, ["n", "part"]).select("term", "token", exact_match(F.col("term"), F.col("token")).alias("score"))
-    sure = pairs.where(F.col("score") >= threshold)
-    if not fuzzy:
-        return sure
+    pairs = pairs.withColumn("score", exact_match(F.col("term"), F.col("token")))
     # characters of one word that the other has at all: no more can match
     shared = F.least(a - F.length(F.call_function("translate", F.col("term"), F.col("token"), F.lit(""))), b - F.length(F.call_function("translate", F.col("token"), F.col("term"), F.lit(""))))
     may = (F.col("score") == 0) & (a >= 5) & (b >= 5) & (2 * shared / (a + b) >= threshold - 1e-9)
-    near = pairs.where(may).select("term", "token").withColumn("score", _ratio("term", "token")).where(F.col("score") >= threshold)
-    return sure.unionByName(near)
+    sure = F.col("score") >= max(threshold, 1e-9)
+    return pairs.where(sure | may if fuzzy else sure)
+
+
+def _rated(pairs: DataFrame, threshold: float) -> DataFrame:
+    """(term, token, score) of the distinct pairs whose ratio reaches the threshold."""
+    return pairs.select("term", "token").distinct().withColumn("score", _ratio("term", "token")).where(F.col("score") >= threshold)
+
+
+def _reach(threshold: float, fuzzy: bool) -> float:
+    """The smallest share of the shorter word's length in the longer one's that can reach the threshold.
+
+    Containment needs shorter / longer >= t, and a ratio is at most 2 shorter / (shorter + longer).
+    """
+    t = max(threshold, 1e-6)
+    return t / (2 - t) if fuzzy else t
+
+
+def term_matches(terms: DataFrame, tokens: DataFrame, threshold: float, fuzzy: bool = True) -> DataFrame:
+    """(term, token, score) of distinct terms and tokens (columns term and token) with a score of at least `threshold`.
+
+    For terms that may meet any token: a term meets the tokens of the lengths that can reach the threshold, in blocks of a
+    bounded number of words.  Where it is known which tokens a term may meet, pair_matches does less.
+    """
+    low = _reach(threshold, fuzzy)
+    a, b = F.length("term"), F.length("token")
+    right = written(_words(tokens, "token").select("token", b.alias("n")), "vocabulary")
+    parts = max(1, -(-(right.groupBy("n").agg(F.count(F.lit(1)).alias("c")).agg(F.max("c")).first()[0] or 0) // _BLOCK))
+    reach = F.sequence(F.ceil(a * low - 1e-9).cast("int"), F.floor(a / low + 1e-9).cast("int"))
+    left = _words(terms, "term").select("term", F.explode(reach).alias("n")).select("term", "n", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    right = right.withColumn("part", F.pmod(F.xxhash64("token"), F.lit(parts)).cast("int"))
+    near = written(_near(right.join(left, ["n", "part"]).select("term", "token"), threshold, fuzzy), "near-words")
+    return near.where("score > 0").unionByName(_rated(near.where("score = 0"), threshold))
+
+
+def pair_matches(terms: DataFrame, tokens: DataFrame, key: str, threshold: float, fuzzy: bool = True) -> DataFrame:
+    """(`key`, term, token, score) of the terms and tokens of one `key` that reach the threshold.
+
+    Terms (`key`, term) and tokens (`key`, token) meet within their key only; each distinct pair is scored once.
+    """
+    low = _reach(threshold, fuzzy)
+    a, b = F.length("term"), F.length("token")
+    left = terms.where("term != ''").select(key, "term").distinct()
+    right = tokens.where("token != ''").select(key, "token").distinct()
+    met = left.join(right, key).where((F.least(a, b) >= low * F.greatest(a, b) - 1e-9)).select(key, "term", "token")
+    near = written(_near(met, threshold, fuzzy), "near-words")
+    rated = near.where("score = 0").drop("score").join(_rated(near.where("score = 0"), threshold), ["term", "token"]).select(key, "term", "token", "score")
+    return near.where("score > 0").unionByName(rated)
 
 
 def containing(terms: DataFrame, tokens: DataFrame, least: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vellumine.functions.text import SPACE, citation_text, col, words
+from vellumine.functions.text import SPACE, citation_text, col, let, strip, words
 
 # The grammar of a number with its sign and unit, and the names looked for besides capitalised phrases.
 NUMBER = f"(?iU)(?<![\\w.])(?:₹{SPACE}*)?\\p{{Nd}}[\\p{{Nd}},]*(?:\\.\\p{{Nd}}+)?(?:{SPACE}*%|(?:{SPACE}*(?:lakhs?|crores?|million|billion)))?"
@@ -31,8 +31,8 @@ def bare_number(value: Column) -> Column:
 
 
 def validator_number(value: Column) -> Column:
-    """The validator's form: unit words removed wherever they stand."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(value), "₹%,", ""), "lakhs|lakh|crores|crore|million|billion", ""))
+    """The validator's form: lower case, unit words removed wherever they stand, blanks at the ends only."""
+    return strip(F.regexp_replace(F.translate(F.lower(value), "₹%,", ""), "lakhs|lakh|crores|crore|million|billion", ""))
 
 
 def answer_numbers(answer: Column | str) -> Column:
@@ -52,22 +52,50 @@ def plain_numbers(text: Column | str) -> Column:
     return F.transform(found, lambda x: x.cast("double"))
 
 
+# A run of two to eight capitalised ASCII words.
+PHRASE = "\\b[A-Z][A-Za-z]*(?:\\s+[A-Z][A-Za-z]*){1,7}\\b"
+
+
 def phrases(answer: Column | str) -> Column:
     """Distinct runs of two to eight capitalised ASCII words."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(col(answer), F.lit("")), F.lit("\\b[A-Z][A-Za-z]*(?:\\s+[A-Z][A-Za-z]*){1,7}\\b"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(col(answer), F.lit("")), F.lit(PHRASE), F.lit(0)))
 
 
 def names(answer: Column | str) -> Column:
     """Known names in the answer, then its capitalised phrases, each once, in lower case."""
-    known = F.filter(words(*KNOWN_NAMES), lambda n: F.contains(citation_text(answer), n))
+    known = let(citation_text(answer), lambda t: F.filter(words(*KNOWN_NAMES), lambda n: F.contains(t, n)))
     return F.array_distinct(F.concat(known, F.transform(F.filter(phrases(answer), lambda p: F.length(p) >= 4), citation_text)))
 
 
 def matched_numbers(numbers: Column, text: Column | str) -> Column:
     """Numbers whose bare form stands in the text with separators removed (digits of neighbouring cells may join)."""
     flat = F.regexp_replace(citation_text(text), f"[₹,%]|{SPACE}", "")
-    return F.array_distinct(F.filter(numbers, lambda n: (bare_number(n) != "") & F.contains(flat, bare_number(n))))
+    met = let(flat, lambda t: F.array_distinct(F.filter(numbers, lambda n: (bare_number(n) != "") & F.contains(t, bare_number(n)))))
+    return F.when(F.size(numbers) == 0, F.array().cast("array<string>")).otherwise(met)
 
 
 def matched_names(found: Column, text: Column | str) -> Column:
-    return F.filter(found, lambda n: F.contains(citation_text(text), n))
+    met = let(citation_text(text), lambda t: F.filter(found, lambda n: F.contains(t, n)))
+    return F.when(F.size(found) == 0, F.array().cast("array<string>")).otherwise(met)
+
+
+# Names of the months, whole and short.
+MONTHS = "(?:january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sept|sep|oct|nov|dec)"
+
+
+def is_year(value: Column) -> Column:
+    """A year of the last or this century, and nothing else."""
+    return F.coalesce(strip(value).rlike("^(?:19|20)\\p{Nd}{2}$"), F.lit(False))
+
+
+def is_date_like(value: Column) -> Column:
+    """A day, a month's name and a year stand together, or the month's name first."""
+    low = F.lower(value)
+    day_first = f"\\b\\p{{Nd}}{{1,2}}(?:{SPACE}|[/-])+{MONTHS}(?:{SPACE}|[,/-])+\\p{{Nd}}{{4}}\\b"
+    month_first = f"\\b{MONTHS}(?:{SPACE}|-)+\\p{{Nd}}{{1,2}}(?:{SPACE}|[,/-])+\\p{{Nd}}{{4}}\\b"
+    return F.coalesce(low.rlike(day_first) | low.rlike(month_first), F.lit(False))
+
+
+def is_numeric_line(line: Column) -> Column:
+    """The line has a figure."""
+    return F.coalesce(line.rlike("\\p{Nd}"), F.lit(False))

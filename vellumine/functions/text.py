@@ -135,8 +135,11 @@ def query_overlap(query: Column | str, text: Column | str) -> Column:
 
 def phrase_overlap(terms: Column, text: Column | str) -> Column:
     """Share of distinct terms that have five letters or more and stand anywhere in the text; 0 without terms."""
-    known, t = F.array_distinct(terms), retrieval_text(text)
-    return F.when(F.size(known) == 0, 0.0).otherwise(F.size(F.filter(known, lambda x: (F.length(x) >= 5) & F.contains(t, x))) / F.size(known))
+    def share(p: Column) -> Column:
+        held = F.filter(p["known"], lambda x: (F.length(x) >= 5) & F.contains(p["t"], x))
+        return F.when(F.size(p["known"]) == 0, 0.0).otherwise(F.size(held) / F.size(p["known"]))
+
+    return let(F.struct(F.array_distinct(terms).alias("known"), retrieval_text(text).alias("t")), share)
 
 
 def clean_text(text: Column | str) -> Column:
@@ -175,7 +178,7 @@ def detect_language(text: Column | str) -> Column:
         shares = F.when((dev < 0.15) & (lat >= 0.5), "eng").when(dev >= 0.5, devanagari).when((c["dev"] > 0) & (c["lat"] > 0), "mixed").otherwise("unknown")
         return F.when(c["blank"], "unknown").otherwise(shares)
 
-    return let(let(F.translate(F.coalesce(col(text), F.lit("")), ZERO_WIDTH, ""), counted), decide)
+    return let(let(normalize_unicode(text), counted), decide)
 
 
 def text_quality(text: Column | str) -> Column:

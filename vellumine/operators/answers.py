@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumine.functions.fuzzy import term_matches
-from vellumine.functions.numbers import answer_numbers, bare_number, matched_names, matched_numbers, names, number_strings
+from vellumine.functions.fuzzy import pair_matches
+from vellumine.functions.numbers import KNOWN_NAMES, answer_numbers, bare_number, matched_names, matched_numbers, names, number_strings
 from vellumine.functions.text import SPACE, answer_terms, citation_text, collapse, let, normalize_token, phrase_overlap, query_overlap, query_terms, retrieval_text, strip, tokenize
 from vellumine.operators.chunking import sentences
 from vellumine.session import written
 
 # Table rows whose figures follow on lines of their own, and rows that end a search for figures.
-ROW_NAMES = ("total income", "total expenditure", "cash and cash equivalents", "bank balance other than cash and cash equivalents", "provision for standard assets", "total exposure to the top five npa accounts")
+ROW_NAMES = ("total income", "total expenditure", *(n for n in KNOWN_NAMES if n not in ("total income", "total expenditure")))
 ROW_ENDS = ("total expenditure", "profit / (loss) before tax from continuing operations, exceptional items and share of profit of equity accounted investees and income tax")
+STRICT = {"threshold": 0.82, "least": 0.40}  # fixed values: grounding without a question
 REFUSAL = "I could not find sufficiently relevant information in the document to answer this question."
 
 
@@ -143,9 +147,9 @@ def generic_citations(pairs: DataFrame, most: int = 3, longest: int = 320, fuzzy
     def tokens_of(part: Column) -> Column:
         return F.array_distinct(F.transform(tokenize(part), normalize_token))
 
-    # terms meet the distinct vocabulary; each query's few matches then go to its results, so that no token of a text moves
-    known = rows.select(F.explode(tokens_of(F.concat_ws(" \n ", "text", "section"))).alias("token")).where("token != ''").distinct()
-    matched = terms.join(term_matches(terms, known, 0.65, fuzzy), "term").groupBy("query_id").agg(F.collect_list(F.struct("kind", "term", "token", "score")).alias("matched"))
+    # terms meet the tokens of their own query's results; its few matches then go to the results
+    known = rows.select("query_id", F.explode(tokens_of(F.concat_ws(" \n ", "text", "section"))).alias("token"))
+    matched = terms.join(pair_matches(terms, known, "query_id", 0.65, fuzzy), ["query_id", "term"]).groupBy("query_id").agg(F.collect_list(F.struct("kind", "term", "token", "score")).alias("matched"))
     rows = rows.join(matched, "query_id", "left").withColumn("matched", F.coalesce("matched", F.array().cast("array<struct<kind:string,term:string,token:string,score:double>>")))
 
     def shares(part: Column, least: float) -> Column:
@@ -198,21 +202,26 @@ def cited_answers(pairs: DataFrame, most: int = 3) -> DataFrame:
     return format_citations(valid).unionByName(format_generic_citations(generic_citations(rest, most)))
 
 
+def missing_numbers(answers: DataFrame, contexts: DataFrame, normal: Callable[[Column], Column] = bare_number) -> DataFrame:
+    """(query_id) of the answers with a number that is none of their contexts' numbers, both in the form `normal` gives them."""
+    numbers = contexts.select("query_id", F.explode(F.transform(number_strings("text"), normal)).alias("b")).distinct()
+    wanted = answers.select("query_id", F.explode(F.array_distinct(F.transform(answer_numbers("answer"), normal))).alias("b"))
+    return wanted.join(numbers, ["query_id", "b"], "left_anti").select("query_id").distinct()
+
+
 def grounding(answers: DataFrame, contexts: DataFrame, threshold: float = 0.65, least: float = 0.25, fuzzy: bool = True) -> DataFrame:
     """(query_id, numbers_known, term_support, grounded) of answers (query_id, answer) in contexts (query_id, text), several a query.
 
     Grounded: every number of the answer is one of the contexts' numbers, and at least `least` of its distinct topic words
-    match a context token with `threshold`.  Answers that are blank or without context are not grounded.
+    match a context token with `threshold`.  Answers that are blank or without context are not grounded.  The defaults hold
+    where the question is known; without it STRICT does.
     """
     rows = answers.where(strip(F.coalesce("answer", F.lit(""))) != "")
-    text = contexts.select("query_id", retrieval_text(F.coalesce("text", F.lit(""))).alias("t")).where("t != ''")
-    numbers = text.select("query_id", F.explode(F.transform(number_strings("t"), bare_number)).alias("b")).distinct()
-    wanted = rows.select("query_id", F.explode(F.array_distinct(F.transform(answer_numbers("answer"), bare_number))).alias("b"))
-    missing = wanted.join(numbers, ["query_id", "b"], "left_anti").select("query_id").distinct().withColumn("missing", F.lit(True))
+    text = contexts.select("query_id", retrieval_text(F.coalesce("text", F.lit(""))).alias("text")).where("text != ''")
+    missing = missing_numbers(rows, text).withColumn("missing", F.lit(True))
     terms = rows.select("query_id", F.explode(F.array_distinct(answer_terms("answer"))).alias("term")).where("term != ''")
-    tokens = text.select("query_id", F.explode(F.array_distinct(F.transform(tokenize("t"), normalize_token))).alias("token")).distinct()
-    matched = term_matches(terms, tokens, threshold, fuzzy).select("term", "token")
-    hits = terms.join(matched, "term").join(tokens, ["query_id", "token"], "left_semi").select("query_id", "term").distinct()
+    tokens = text.select("query_id", F.explode(F.array_distinct(F.transform(tokenize("text"), normalize_token))).alias("token")).distinct()
+    hits = pair_matches(terms, tokens, "query_id", threshold, fuzzy).select("query_id", "term").distinct()
     share = terms.withColumn("one", F.lit(1)).join(hits.withColumn("hit", F.lit(1)), ["query_id", "term"], "left").groupBy("query_id").agg((F.count("hit") / F.count("one")).alias("term_support"))
     out = rows.select("query_id").join(text.select("query_id").distinct().withColumn("context", F.lit(True)), "query_id", "left")
     out = out.join(missing, "query_id", "left").join(share, "query_id", "left")
@@ -221,6 +230,35 @@ def grounding(answers: DataFrame, contexts: DataFrame, threshold: float = 0.65,
     return out.select("query_id", known.alias("numbers_known"), F.round(support_, 6).alias("term_support"), ok.alias("grounded"))
 
 
+def generated(queries: DataFrame, context: DataFrame, generate: Callable[[DataFrame], DataFrame] | None = None, fuzzy: bool = True) -> DataFrame:
+    """(query_id, answer, error) of queries (query_id, query) over their context rows, as of context_filter; the refusal where an answer does not hold.
+
+    generate: context rows to (query_id, answer), an extractive sentence unless given.  Refused are queries without context or
+    without any evidence in it, and answers that are blank, decline, or are not grounded in the context.
+    """
+    scores = [F.coalesce(F.col(c), F.lit(0.0)) > 0 for c in ("evidence", "lexical_score", "evidence_rescue_score") if c in context.columns]
+    speaks = reduce(lambda a, b: a | b, scores, F.coalesce(F.col("exact"), F.lit(False))) | (F.coalesce(F.col("relevance"), F.lit(0.0)) >= 0.18)
+    some = written(context.groupBy("query_id").agg(F.bool_or(speaks).alias("speaks")), "context-evidence")
+    spoken = context.join(some.where("speaks"), "query_id", "left_semi")
+    said = (generate or extractive_answer)(spoken).select("query_id", strip(F.regexp_replace(strip(F.coalesce("answer", F.lit(""))), f"(?i)^FINAL ANSWER:{SPACE}*", "")).alias("answer"))
+    said = written(said, "generated")
+    declined = (F.col("answer") == "") | (F.col("answer") == REFUSAL) | F.contains(retrieval_text("answer"), F.lit("does not provide enough information"))
+    sound = grounding(said.where(~declined), spoken.select("query_id", "text"), fuzzy=fuzzy).where("grounded").select("query_id")
+    kept = said.where(~declined).join(sound, "query_id", "left_semi")
+    out = queries.select("query_id").join(some, "query_id", "left").join(kept, "query_id", "left")
+    error = F.when(F.col("speaks").isNull(), "Missing retrieval evidence.").when(F.col("answer").isNull(), "Generation refused due to insufficient grounding.")
+    return out.select("query_id", F.coalesce("answer", F.lit(REFUSAL)).alias("answer"), error.alias("error"))
+
+
+def asked(queries: DataFrame, context: DataFrame, generate: Callable[[DataFrame], DataFrame] | None = None, fuzzy: bool = True) -> DataFrame:
+    """(query_id, answer) of every query, followed by its citations; the refusal alone where there is no answer."""
+    said = written(generated(queries, context, generate, fuzzy), "asked")
+    held = said.where(F.col("answer") != REFUSAL).select("query_id", "answer").join(context.drop("answer"), "query_id")
+    cited = cited_answers(held.drop("evidence"))
+    text = F.concat_ws("\n\n", "answer", F.nullif("citations", F.lit("")))
+    return said.join(cited, "query_id", "left").select("query_id", text.alias("answer"))
+
+
 def extractive_answer(pairs: DataFrame) -> DataFrame:
     """(query_id, answer): the sentence that covers most of the query's terms; the refusal where none covers any.
 

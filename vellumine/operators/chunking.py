@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,37 +73,30 @@ def sections(pages: DataFrame, text: str = "text") -> DataFrame:
 def pack_paragraphs(paragraphs: list[str], limit: int, overlap: int) -> list[str]:
     """Paragraphs packed greedily to `limit` characters; trailing paragraphs within `overlap` open the next chunk.
 
-    A paragraph over the limit is cut every `limit` characters without overlap.  Carried paragraphs count a line end each,
-    so a chunk that opens with some may pass the limit, as the reference semantics have it.
+    A paragraph over the limit is cut every `limit` characters without overlap, and nothing is carried over it.  Carried
+    paragraphs count a line end each, so a chunk that opens with some may pass the limit, as the reference semantics have it.
+
+    Worked out over the running lengths of the paragraphs (each with its line end), so that a chunk is a range of them: the
+    last one that fits and the first one carried are found by bisection.
     """
-    done: list[str] = []
-    held: list[str] = []
-    size = 0
-
-    def close() -> None:
-        if held:
-            done.append("\n".join(held))
-
-    for p in paragraphs:
-        if len(p) > limit:
-            close()
-            held, size = [], 0
-            done += [s for k in range(0, len(p), limit) if (s := p[k : k + limit].strip())]
-        elif not held:
-            held, size = [p], len(p)
-        elif size + 1 + len(p) <= limit:
-            held.append(p)
-            size += 1 + len(p)
-        else:
-            close()
-            carried, room = 0, overlap
-            while carried < len(held) and (need := len(held[-1 - carried]) + 1) <= room:
-                room -= need
-                carried += 1
-            held = [*held[len(held) - carried :], p]
-            size = sum(len(x) + 1 for x in held)
-    close()
-    return done
+    ends = list(accumulate((len(p) + 1 for p in paragraphs), initial=0))  # ends[k]: length of the first k paragraphs
+    oversized = [k for k, p in enumerate(paragraphs) if len(p) > limit]
+    out: list[str] = []
+    first = 0
+    for stop in [*oversized, len(paragraphs)]:
+        fresh, carried = first, first  # paragraphs from `fresh` on are in no chunk yet; those from `carried` open the next one
+        while fresh < stop:
+            # one new paragraph comes in any case; but in a range's first chunk its last line end doesn't count
+            reach = ends[carried] + limit + (fresh == first)
+            last = max(fresh + 1, min(stop, bisect_right(ends, reach) - 1))
+            out.append("\n".join(paragraphs[carried:last]))
+            carried = max(carried, bisect_left(ends, ends[last] - overlap, 0, last + 1)) if last < stop else last
+            fresh = last
+        if stop < len(paragraphs):
+            p = paragraphs[stop]
+            out += [s for k in range(0, len(p), limit) if (s := p[k : k + limit].strip())]
+        first = stop + 1
+    return out
 
 
 def chunks(pages: DataFrame, text: str = "text", limit: int = 1800, overlap: int = 300) -> DataFrame:

@@ -47,3 +47,21 @@ def answer_match(expected: Column, answer: Column) -> Column:
 
 def page_match(found: Column, expected: Column) -> Column:
     return F.when(F.size(expected) <= 0, None).otherwise(F.coalesce(F.arrays_overlap(found, expected), F.lit(False)))
+
+
+def answer_rates(rows: DataFrame) -> DataFrame:
+    """(questions, grounded_rate, page_rate, answers, answer_rate, passed) of evaluated questions, one row, rates in percent.
+
+    rows: pages, expected, answer, grounded, found (pages of the context).  Page and grounding rates are of all questions, the
+    answer rate of those with an expected answer; a run passes if every page and every answer was found.
+    """
+    page = F.coalesce(page_match(F.coalesce("found", F.array().cast("array<int>")), F.col("pages")), F.lit(False))
+    right, asked = F.coalesce(answer_match(F.col("expected"), F.col("answer")), F.lit(False)), F.coalesce("expected", F.lit("")) != ""
+    n, m = F.count(F.lit(1)), F.sum(asked.cast("int"))
+    rates = rows.agg(n.alias("questions"), F.sum(F.coalesce("grounded", F.lit(False)).cast("int")).alias("g"), F.sum(page.cast("int")).alias("p"), F.coalesce(m, F.lit(0)).alias("answers"), F.sum((asked & right).cast("int")).alias("a"))
+
+    def share(part: str, whole: str):
+        return F.round(F.when(F.col(whole) > 0, F.col(part) / F.col(whole) * 100).otherwise(0.0), 4)
+
+    rates = rates.select("questions", share("g", "questions").alias("grounded_rate"), share("p", "questions").alias("page_rate"), "answers", share("a", "answers").alias("answer_rate"))
+    return rates.withColumn("passed", (F.col("page_rate") == 100) & (F.col("answer_rate") == 100))

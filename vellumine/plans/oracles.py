@@ -3,9 +3,8 @@ distinct lists; both are spelled out here)."""
 
 from __future__ import annotations
 
-from vellumine.functions import text as X
-from vellumine.operators.agent import ARITHMETIC, COMPARATIVE
-from vellumine.operators.chunking import TABLE_LABELS
+from vellumine.plans import oracle_values as X
+from vellumine.plans.oracle_values import ARITHMETIC, COMPARATIVE, TABLE_LABELS
 
 SP = f"[{X.SPACES}]".replace("\x85", "\\x{85}")
 TOKEN = X.TOKEN.replace("'", "''")
@@ -115,6 +114,12 @@ _WORDS = f"""(with df as (select token, count(*) as df from {_TF} group by 1), n
 
 
 def sql() -> dict[str, str]:
+    from vellumine.plans import oracle_steps
+
+    return _sql() | oracle_steps.sql()
+
+
+def _sql() -> dict[str, str]:
     dev, lat, letters = (count("t", p) for p in ("[\\x{900}-\\x{97F}]", "\\p{Latin}", "\\p{L}"))
     dtokens = "list_distinct(regexp_extract_all(t, '[\\x{900}-\\x{97F}]+'))"
     mar, hin = (f"len(list_intersect({dtokens}, {lst(h)}))" for h in (X.MARATHI_HINTS, X.HINDI_HINTS))
@@ -149,7 +154,6 @@ def sql() -> dict[str, str]:
             from (select *, {rq} as r, {scanq} as s from {PAGES}))""",
         "should_denoise": f"""select page_id, long and (ratio >= 0.08 or coalesce(c >= 0 and c < 55, false) or coalesce(ocr_used and apart >= 0.45 and c < 65, false)) as needs, round(case when long then ratio else 0.0 end, 6) as ratio,
             case when long then apart else 0.0 end as disagreement from (select page_id, ocr_used, ocr_confidence as c, length({text}) >= 80 as long, {corruption(text)} as ratio, {disagreement(text, 'ocr_text')} as apart from {PAGES})""",
-        "clean_text": f"select page_id, md5({scan_clean('text')}) as digest from {PAGES} where text is not null",
         "without_headers": f"select page_id, md5(array_to_string(list_filter(string_split(text, '\n'), lambda x: not list_contains(['For and on behalf of the Board', 'This page is left blank on purpose.'], {strip('x')})), '\n')) as digest from {PAGES} where text is not null",
         "sanitize_filename": f"""select distinct filename, left(case when lower(s) like '%.pdf' then s else s || '.pdf' end, 180) as safe from (select filename, case when s = '' then 'document.pdf' else s end as s from (
             select filename, regexp_replace(regexp_replace({strip("list_extract(string_split(replace(coalesce(filename, ''), chr(92), '/'), '/'), -1)")}, '[^A-Za-z0-9._()\\- ]+', '_', 'g'), ' +', ' ', 'g') as s from document_status))""",
@@ -188,9 +192,6 @@ def sql() -> dict[str, str]:
         "language_histogram": f"select language, count(*) as pages from {PAGES} group by 1",
         "scan_summary": f"select document_id, count(*) as pages, sum(coalesce(ocr_used, false)::int) as ocr_used, sum(coalesce(denoised, false)::int) as denoised, round(coalesce(avg(ocr_confidence) filter (ocr_confidence >= 0), -1.0), 4) as confidence from {PAGES} group by 1",
         "rate_limit_bound": f"select request_id, count(*) over (partition by client order by floor(epoch(requested_at))::bigint range between 3599 preceding and current row) as recent from {REQUESTS}",
-        "retrieval_recall": f"""with top as (select document_id, page_number from {once('citations', 'cite_id')} where document_id is not null and page_number is not null and support_score is not null and not isnan(support_score)
-            qualify row_number() over (partition by document_id order by support_score desc, cite_id) <= 10), e as (select document_id, list(distinct page_number) as pages from {PAGES} where ocr_used group by 1)
-            select count(*) as questions, sum(hit) as hits, round(avg(hit), 6) as recall from (select coalesce(list_has_any(pages, found), false)::int as hit from e left join (select document_id, list(distinct page_number) as found from top group by 1) using (document_id))""",
         "page_match": f"""select request_id, coalesce(list_has_any(list_transform(sources, lambda x: x.page_number), pages), false) as match from {RESPONSES} join (select document_id, list(distinct page_number) as pages from {PAGES} where ocr_used group by 1) using (document_id)""",
         "stream_event_windows": "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as events, round(sum(value), 4) as total from events group by all",
         "stream_sessions": """select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') as session_start, count(*) as events from (select user_id, ts, sum(new) over (partition by user_id order by ts) as n from (

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from vellumine.functions import numbers as N
 from vellumine.functions import text as X
-from vellumine.operators import agent, answers, chunking, evaluation, retrieval, state
-from vellumine.operators.pages import extracted_pages
+from vellumine.operators import agent, answers, chunking, evaluation, pages, plugins, retrieval, state
 from vellumine.session import shared_folder
 from vellumine.sources.files import index_rows
 from vellumine.sources.tables import once, table
@@ -51,7 +50,7 @@ def _answered(s: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
-    return _requests(s, d).where("request_id % 20 = 0").select(F.col("request_id").alias("query_id"), "query")
+    return _requests(s, d).where("request_id % 20 = 0").select(F.col("request_id").alias("query_id"), "query", "document_id")
 
 
 def _corpus(s: SparkSession, d: str) -> DataFrame:
@@ -150,10 +149,22 @@ def valid_restoration(s: SparkSession, d: str) -> DataFrame:
 
 
 @query
-def clean_text(s: SparkSession, d: str) -> DataFrame:
+def clean_scan(s: SparkSession, d: str) -> DataFrame:
     return _pages(s, d).where("text is not null").select("page_id", F.md5(X.clean_scan("text")).alias("digest"))
 
 
+@query
+def clean_text(s: SparkSession, d: str) -> DataFrame:
+    return _pages(s, d).where("text is not null").select("page_id", F.md5(X.clean_text("text")).alias("digest"))
+
+
+@query
+def number_lines(s: SparkSession, d: str) -> DataFrame:
+    """Lines of pages by what their figures are."""
+    rows = chunking.page_lines(_pages(s, d)).where(N.is_numeric_line(F.col("line")))
+    return rows.groupBy("document_id", "page_number").agg(F.count(F.lit(1)).alias("numeric"), F.sum(N.is_year(F.col("line")).cast("int")).alias("years"), F.sum(N.is_date_like(F.col("line")).cast("int")).alias("dates"))
+
+
 @query
 def clean_unicode(s: SparkSession, d: str) -> DataFrame:
     return _pages(s, d).select("page_id", F.length(X.clean_text("text")).alias("characters"))
@@ -227,9 +238,27 @@ def sentence_windows(s: SparkSession, d: str) -> DataFrame:
     return _chunks(s, d).select("chunk_id", F.size(parts).alias("parts"))
 
 
+@query
+def denoised_pages(s: SparkSession, d: str) -> DataFrame:
+    """The gate of every page, and the text it ends with where no restorer is at hand."""
+    return pages.denoised_pages(_pages(s, d)).select("page_id", "denoised", F.round("ratio", 6).alias("ratio"), "disagreement", "error", F.md5("text").alias("digest"))
+
+
+@query
+def parsed_pages(s: SparkSession, d: str) -> DataFrame:
+    """Page rows made from the native and scanned texts, as far as their counts tell."""
+    rows = pages.parsed_pages(_pages(s, d), ["For and on behalf of the Board", "This page is left blank on purpose."])
+    return rows.select("document_id", "page_number", "language", "extraction_method", "ocr_used", "text_length", "raw_text_length", "denoised")
+
+
+@query
+def page_summary(s: SparkSession, d: str) -> DataFrame:
+    return pages.page_summary(_pages(s, d))
+
+
 @query
 def extracted(s: SparkSession, d: str) -> DataFrame:
-    return extracted_pages(_pages(s, d)).select("page_id", "method", "used", "detected", "characters")
+    return pages.extracted_pages(_pages(s, d)).select("page_id", "method", "used", "detected", "characters")
 
 
 # ---- retrieval and ranking
@@ -300,11 +329,68 @@ def hybrid_light(s: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "id", F.round("evidence_rescue_score", 4).alias("rescue"), F.round("bm25_score", 4).alias("bm25"), "rank")
 
 
+@query
+def evidence_rescue_exact(s: SparkSession, d: str) -> DataFrame:
+    """Evidence rescue by equal and contained words only."""
+    out = retrieval.evidence_rescue(_asked(s, d), _corpus(s, d), fuzzy=False)
+    return out.select("query_id", "id", F.round("evidence_rescue_score", 4).alias("score"), F.array_join("matches", "; ").alias("matches"), "rank")
+
+
+def _text_vectors(s: SparkSession, d: str) -> DataFrame:
+    """Nearest chunks of every asked question by the stand-in encoder."""
+    asked = _asked(s, d).select("query_id", plugins.hashed_embedding(F.col("query")).alias("embedding"))
+    index = _corpus(s, d).select("id", plugins.hashed_embedding(F.col("text")).alias("embedding"))
+    return retrieval.vector_topk(asked, index)
+
+
+@query
+def text_vectors(s: SparkSession, d: str) -> DataFrame:
+    return _text_vectors(s, d).select("query_id", "id", F.round("distance", 6).alias("distance"), "rank")
+
+
+def _shown(out: DataFrame) -> DataFrame:
+    return out.select("query_id", "id", F.round("evidence_rescue_score", 4).alias("rescue"), F.round("rrf_score", 9).alias("rrf"), "vector_rank", "bm25_rank", F.array_join("matches", "; ").alias("matches"), "rank")
+
+
+@query
+def hybrid_fused(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of the stand-in encoder fused with BM25, and evidence rescue."""
+    return _shown(retrieval.hybrid(_asked(s, d), _corpus(s, d), _text_vectors(s, d)))
+
+
+@query
+def hybrid_full(s: SparkSession, d: str) -> DataFrame:
+    """As hybrid_fused, with rescue by equal and contained words only (which SQL can check)."""
+    return _shown(retrieval.hybrid(_asked(s, d), _corpus(s, d), _text_vectors(s, d), fuzzy=False))
+
+
+@query
+def hybrid_by_document(s: SparkSession, d: str) -> DataFrame:
+    """Questions asked of one document: its chunks only, by its own word statistics."""
+    asked = _asked(s, d).where("document_id is not null")
+    out = retrieval.hybrid(asked, _corpus(s, d), fuzzy=False, by="document_id")
+    return out.select("query_id", "id", F.round("evidence_rescue_score", 4).alias("rescue"), F.round("bm25_score", 4).alias("bm25"), "rank")
+
+
+@query
+def dedupe_results(s: SparkSession, d: str) -> DataFrame:
+    """The stored sources of every answer, each result once."""
+    rows = _responses(s, d).select(F.col("request_id").alias("query_id"), F.posexplode("sources").alias("rank", "x")).select("query_id", "rank", F.col("x.chunk_id").alias("id"), "x.document_id", "x.source", "x.page_number", "x.section", F.lit("").alias("text"))
+    return retrieval.deduplicate(rows).select("query_id", "rank", "id")
+
+
+@query
+def reranker_order(s: SparkSession, d: str) -> DataFrame:
+    """The stored sources of every answer in the reranker's order, by its phrases alone, and the text it is shown."""
+    rows = _evidence(s, d).withColumn("rerank_score", F.lit(0.0))
+    shown = retrieval.reranker_text(F.col("section"), F.col("source"), F.col("page_number"), F.col("text"))
+    out = retrieval.rerank_documents(rows.withColumn("shown", F.md5(shown)))
+    return out.select("query_id", "id", F.round("combined_score", 6).alias("score"), "shown", "rank")
+
+
 def _candidates(s: SparkSession, d: str) -> DataFrame:
     found = retrieval.hybrid(_asked(s, d), _corpus(s, d)).drop("rank")
-    rows = found.join(_asked(s, d), "query_id").join(_corpus(s, d), "id")
-    # the offline stand-in for a cross-encoder: the BM25 score
-    return rows.withColumn("rerank_score", F.coalesce("bm25_score", F.lit(0.0)))
+    return plugins.bm25_scores(found.join(_asked(s, d).select("query_id", "query"), "query_id").join(_corpus(s, d), "id"))
 
 
 @query
@@ -314,7 +400,7 @@ def reranked(s: SparkSession, d: str) -> DataFrame:
 
 
 def _context(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.context_filter(retrieval.protect_exact(retrieval.rerank(_candidates(s, d))))
+    return retrieval.retrieve_evidence(_asked(s, d), _corpus(s, d), plugins.bm25_scores)
 
 
 @query
@@ -327,6 +413,12 @@ def context_text(s: SparkSession, d: str) -> DataFrame:
     return retrieval.context_text(_context(s, d)).select("query_id", F.length("context").alias("characters"), "sources")
 
 
+@query
+def serialized_sources(s: SparkSession, d: str) -> DataFrame:
+    out = retrieval.serialized_sources(_context(s, d))
+    return out.select("query_id", "citation_id", "chunk_id", "document_id", "page_number", "section", "exact")
+
+
 @query
 def lexical_scores(s: SparkSession, d: str) -> DataFrame:
     rows = _responses(s, d).select("request_id", F.explode("sources").alias("x")).join(_requests(s, d).select("request_id", "query"), "request_id")
@@ -388,6 +480,28 @@ def extractive_answers(s: SparkSession, d: str) -> DataFrame:
     return answers.extractive_answer(_context(s, d))
 
 
+@query
+def generated_answers(s: SparkSession, d: str) -> DataFrame:
+    """Every asked question's answer, or the refusal and why."""
+    return answers.generated(_asked(s, d), _context(s, d))
+
+
+@query
+def asked_questions(s: SparkSession, d: str) -> DataFrame:
+    """Every asked question's answer with its citations."""
+    return answers.asked(_asked(s, d), _context(s, d))
+
+
+@query
+def agent_run(s: SparkSession, d: str) -> DataFrame:
+    """Every asked question through all steps of the agent."""
+    turns = _turns(s, d)
+    past = turns.select("conversation_id", F.col("request_id").alias("turn"), F.col("query").alias("content"))
+    asked = _requests(s, d).where("request_id % 20 = 0").select(F.col("request_id").alias("query_id"), "conversation_id", F.col("request_id").alias("turn"), "query")
+    out = agent.run(asked, past, lambda q: retrieval.retrieve_evidence(q, _corpus(s, d), plugins.bm25_scores))
+    return out.select("query_id", "query", "intent", "route", "results", "answer", "error", "validated", F.array_join("errors", "; ").alias("errors"), F.length("citations").alias("cited"))
+
+
 @query
 def routes(s: SparkSession, d: str) -> DataFrame:
     return _requests(s, d).select("request_id", agent.route(F.col("query")).alias("route"), F.coalesce(agent.is_comparative(F.col("query")), F.lit(False)).alias("comparative"))
@@ -419,12 +533,21 @@ def chat_history(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def validated_answers(s: SparkSession, d: str) -> DataFrame:
+    answered = _answered(s, d).select(F.col("request_id").alias("query_id"), "answer", agent.route(F.col("query")).alias("route"))
+    return agent.validate(answered, _evidence(s, d).select("query_id", "text")).select("query_id", "validated", F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def validated_answers_exact(s: SparkSession, d: str) -> DataFrame:
+    """As validated_answers, with equal and contained words only (which SQL can check)."""
+    answered = _answered(s, d).select(F.col("request_id").alias("query_id"), "answer", agent.route(F.col("query")).alias("route"))
+    return agent.validate(answered, _evidence(s, d).select("query_id", "text"), fuzzy=False).select("query_id", "validated", F.array_join("errors", "; ").alias("errors"))
+
+
+@query
+def grounded_answers_exact(s: SparkSession, d: str) -> DataFrame:
     rows = _evidence(s, d)
-    known = answers.grounding(rows.select("query_id", "answer").distinct(), rows.select("query_id", "text"))
-    counts = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"))
-    base = _answered(s, d).select(F.col("request_id").alias("query_id"), "answer", agent.route(F.col("query")).alias("route"), F.size(N.answer_numbers("answer")).alias("numbers"))
-    out = agent.validated(base.join(counts, "query_id", "left").join(known, "query_id", "left"))
-    return out.select("query_id", "validated", F.array_join("errors", "; ").alias("errors"))
+    return answers.grounding(rows.select("query_id", "answer").distinct(), rows.select("query_id", "text"), fuzzy=False)
 
 
 # ---- ingestion state
@@ -459,6 +582,33 @@ def deleted_documents(s: SparkSession, d: str) -> DataFrame:
     return state.without_documents(_chunks(s, d), gone).select("chunk_id", "document_id")
 
 
+_NOW = "timestamp'2026-01-01 00:00:00'"
+
+
+@query
+def upload_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """The texts of `documents` uploaded as files: what is refused, known already, or begins."""
+    files = table(s, d, "documents").select(F.col("doc_id").alias("upload_id"), F.concat_ws(" ", "source", "section").alias("filename"), F.encode(F.concat(F.when(F.col("text") != "", F.lit("%PDF-")).otherwise(F.lit("")), "text"), "utf-8").alias("content"))
+    out = state.uploaded(state.latest_status(table(s, d, "document_status")), files)
+    return out.select("upload_id", "filename", "sha256", "size_bytes", "status", "duplicate", "error")
+
+
+@query
+def status_updates(s: SparkSession, d: str) -> DataFrame:
+    """The latest statuses after every document with pages has been counted anew."""
+    counted = _pages(s, d).groupBy("document_id").agg(F.count(F.lit(1)).cast("int").alias("page_count")).select("document_id", F.lit("ready").alias("status"), "page_count", F.lit(None).cast("int").alias("chunk_count"), F.lit(None).cast("string").alias("error"))
+    out = state.updated(state.latest_status(table(s, d, "document_status")), counted, F.expr(_NOW))
+    return out.select("document_id", "filename", "status", "page_count", "chunk_count", "error")
+
+
+@query
+def retry_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """What retrying every document would give, with the files of the documents that have chunks."""
+    status = state.latest_status(table(s, d, "document_status"))
+    stored = status.join(_chunks(s, d).select("document_id").distinct(), "document_id", "left_semi")
+    return state.retried(status, _pages(s, d).select("document_id").unionByName(status.select("document_id")), stored, F.expr(_NOW))[1]
+
+
 @query
 def language_histogram(s: SparkSession, d: str) -> DataFrame:
     return _pages(s, d).groupBy("language").agg(F.count(F.lit(1)).alias("pages"))
@@ -484,18 +634,45 @@ def rate_limit_bound(s: SparkSession, d: str) -> DataFrame:
 # ---- evaluation
 
 
+def _expected(s: SparkSession, d: str) -> DataFrame:
+    """The pages that the stored answers of the asked questions were taken from."""
+    rows = _responses(s, d).select(F.col("request_id").alias("query_id"), F.explode("sources").alias("x")).where("x.page_number is not null").join(_asked(s, d).select("query_id"), "query_id")
+    return rows.groupBy("query_id").agg(F.collect_set("x.page_number").alias("pages"))
+
+
+def _paged(s: SparkSession, d: str, found: DataFrame) -> DataFrame:
+    return found.select("query_id", "id", "rank").join(_corpus(s, d).select("id", "page_number"), "id")
+
+
 @query
 def retrieval_recall(s: SparkSession, d: str) -> DataFrame:
-    """Recall of the cited pages among the pages of the documents' citations, best support first."""
-    cites = once(table(s, d, "citations"), "cite_id").where("document_id is not null and page_number is not null and support_score is not null and not isnan(support_score)")
-    ranked = retrieval.top_k(cites.select(F.col("document_id").alias("query_id"), "page_number", "support_score", "cite_id"), 10, F.desc("support_score"), F.asc("cite_id"))
-    expected = _pages(s, d).where("ocr_used").groupBy("document_id").agg(F.collect_set("page_number").alias("pages")).withColumnRenamed("document_id", "query_id")
-    return evaluation.recall_at_k(ranked, expected, 10)
+    """Recall of BM25 at 10: asked questions one of whose answer's pages is among those of the first ten chunks."""
+    return evaluation.recall_at_k(_paged(s, d, retrieval.bm25_topk(_asked(s, d), *_bm25(s, d))), _expected(s, d), 10)
+
+
+@query
+def retrieval_comparison(s: SparkSession, d: str) -> DataFrame:
+    """Recall at 10 of vectors, BM25 and their fusion with rescue."""
+    vectors = _text_vectors(s, d)
+    lists = {"vector": vectors, "bm25": retrieval.bm25_topk(_asked(s, d), *_bm25(s, d)), "hybrid": retrieval.hybrid(_asked(s, d), _corpus(s, d), vectors, fuzzy=False)}
+    parts = [evaluation.recall_at_k(_paged(s, d, rows), _expected(s, d), 10).withColumn("method", F.lit(name)) for name, rows in lists.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("method", "questions", "hits", "recall")
+
+
+@query
+def answer_rates(s: SparkSession, d: str) -> DataFrame:
+    """Rates over the asked questions: grounded answers, expected pages in the context, answers that match the stored ones."""
+    context = _context(s, d)
+    said = answers.generated(_asked(s, d), context).select("query_id", "answer")
+    known = answers.grounding(said, context.select("query_id", "text"), **answers.STRICT).select("query_id", "grounded")
+    expected = _expected(s, d).join(_responses(s, d).select(F.col("request_id").alias("query_id"), F.col("answer").alias("expected")), "query_id", "left")
+    found = context.groupBy("query_id").agg(F.collect_set(F.col("page_number").cast("int")).alias("found"))
+    return evaluation.answer_rates(expected.join(said, "query_id").join(known, "query_id", "left").join(found, "query_id", "left"))
 
 
 @query
 def numbers_match(s: SparkSession, d: str) -> DataFrame:
-    return _answered(s, d).select("request_id", evaluation.numbers_match(F.col("query"), F.col("answer")).alias("match"))
+    return _answered(s, d).select("request_id", evaluation.numbers_match(F.col("query"), F.col("answer")).cast("string").alias("match"))
 
 
 @query
@@ -528,8 +705,9 @@ def stream_sessions(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_rate_limit(s: SparkSession, d: str) -> DataFrame:
-    calls = flows.table_stream(s, d, "chat_requests").select(F.coalesce("client", F.lit("unknown")).alias("client"), F.col("request_id").alias("ident"), F.col("requested_at").cast("double").alias("at"))
-    return flows.drained(flows.limited(calls.dropDuplicates(["ident"]), 3, 3600.0))
+    calls = flows.distinct_calls(flows.table_stream(s, d, "chat_requests").select("client", "request_id", F.col("requested_at").cast("timestamp").alias("requested_at")), "request_id", "requested_at", "3650 days")
+    calls = calls.select(F.coalesce("client", F.lit("unknown")).alias("client"), F.col("request_id").alias("ident"), F.col("requested_at").cast("double").alias("at"), F.col("requested_at").alias("ts"))
+    return flows.drained(flows.limited(calls, 3, 3600.0))
 
 
 @query

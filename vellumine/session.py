@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,18 @@ def local_session(cores: int | str = 8, app: str = "vellumine", memory: str = "8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where none is set, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir); one of our own only in a local session, as in tests.
+
+    A cluster without that setting is an error: a folder of one machine would silently lose what other executors write.
+    """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        base = base or "file://" + tempfile.mkdtemp(prefix="vellumine-")
+        if not base:
+            master = spark.sparkContext.master
+            if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+                raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+            base = "file://" + tempfile.mkdtemp(prefix="vellumine-")
         root = f"{base.rstrip('/')}/vellumine-{uuid.uuid4().hex}"
         _ROOTS[app] = root
         atexit.register(_remove, spark, root)

@@ -9,12 +9,24 @@ from vellumine.schema import CHUNK
 from vellumine.session import written
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """Chunk rows of JSON-array files; a missing path gives an empty table of the schema."""
+def read_chunks(spark: SparkSession, path: str, must_exist: bool = False) -> DataFrame:
+    """Chunk rows of JSON-array files; a missing path gives an empty table of the schema, or an error if it must exist (as for building an index)."""
     try:
         return spark.read.schema(CHUNK).json(path, multiLine=True)
     except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        if must_exist:
+            raise FileNotFoundError(path) from e
+        return spark.createDataFrame([], CHUNK)
+
+
+def read_document_chunks(spark: SparkSession, path: str, document: str) -> DataFrame:
+    """The chunks of one document of a table written by write_chunks: only its partition is read; none for an unknown document."""
+    try:
+        return spark.read.parquet(path).where(F.col("document_id") == document)
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return spark.createDataFrame([], CHUNK)
         raise
 

@@ -6,6 +6,7 @@ A flow is a streaming DataFrame; `drained` runs one over what lies in its source
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -61,44 +62,58 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
 
 
 def ingest(pages: DataFrame) -> Callable[[str, str], DataFrame]:
-    """A runner (table path, checkpoint path) -> table: page batches become chunks, inserted if their id is not there yet."""
+    """A runner (table path, checkpoint path) -> table: page batches become chunks, inserted if their id is not there yet.
+
+    A batch writes a partition of its own, batch=N, and looks for known ids in earlier batches' partitions only: one run
+    again after a failure finds what it found the first time and replaces its own output with the same.
+    """
 
     def run(path: str, log: str) -> DataFrame:
         spark = pages.sparkSession
 
         def take(batch: DataFrame, n: int) -> None:
             fresh = chunking.chunks(batch)
-            try:
-                fresh = state.not_indexed(fresh, spark.read.parquet(f"{path}/*"))
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
-            # a batch's folder is named by its number: a batch run again after a failure replaces its own output only
-            fresh.write.mode("overwrite").parquet(f"{path}/batch={n:06d}")
+            if n > 0:
+                try:
+                    earlier = spark.read.parquet(path).where(F.col("batch") < n)  # the partition filter: no later folder is read
+                    fresh = state.not_indexed(fresh, earlier)
+                except Exception as e:
+                    if not any(x in str(e) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+                        raise
+            fresh.write.mode("overwrite").parquet(f"{path}/batch={n}")
 
         pages.writeStream.foreachBatch(take).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.parquet(f"{path}/*")
+        return spark.read.parquet(path).drop("batch")
 
     return run
 
 
-def limited(calls: DataFrame, limit: int = 60, window: float = 60.0) -> DataFrame:
+def limited(calls: DataFrame, limit: int = 60, window: float = 60.0, late: str = "1 day") -> DataFrame:
     """Calls (client, ident, at as seconds) with `allowed`: the sliding log of admitted calls as state of each client.
 
-    Within a batch calls go in time order.  A client's state is at most `limit` times, cut to the window at its next call.
+    Event time is the column ts, which has its watermark already, or else `at`, with calls up to `late` out of order.
+
+    Within a batch calls go in time order, admitted by the same rule as state.admitted.  A client's state is at most `limit`
+    times, cut to the window at its next call, and dropped once the watermark is a window past its last call.
     """
     most = max(1, limit)
+    if "ts" not in calls.columns:
+        calls = calls.withColumn("ts", (F.col("at") + 1).cast("timestamp")).withWatermark("ts", late)  # a watermark begins at 0
 
     def admit(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], log: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(log.get[0]) if log.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "ident"])
-        allowed = []
-        for at in rows["at"]:
-            held = [h for h in held if h > at - window]
-            allowed.append(len(held) < most)
-            if allowed[-1]:
-                held.append(float(at))
-        log.update((held,))
+        if log.hasTimedOut:
+            log.remove()
+            return
+        held = deque(log.get[0]) if log.exists else deque()
+        rows = pd.concat([b[["at", "ident"]] for b in batches]).sort_values(["at", "ident"])
+        allowed = [state.admitted(held, at, most, window) for at in rows["at"]]
+        log.update((list(held),))
+        log.setTimeoutTimestamp(max(int((rows["at"].max() + window) * 1000), log.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "ident": rows["ident"], "allowed": allowed})
 
-    return calls.groupBy("client").applyInPandasWithState(admit, "client string, ident long, allowed boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+    return calls.groupBy("client").applyInPandasWithState(admit, "client string, ident long, allowed boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def distinct_calls(calls: DataFrame, ident: str, at: str, late: str = "30 days") -> DataFrame:
+    """Each redelivered call once, as long as it comes again within `late` of event time; older ids leave the state."""
+    return calls.withWatermark(at, late).dropDuplicatesWithinWatermark([ident])
