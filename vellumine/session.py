@@ -19,6 +19,9 @@ def local_session(cores: int | str = 8, app: str = "vellumine", memory: str = "8
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # few rows can be much work here (texts, word pairs): small tables keep all cores busy
+        .config("spark.sql.files.openCostInBytes", "262144")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "65536")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
