@@ -262,3 +262,29 @@ def test_mixture(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, chosen))
     empty = mixing.mixture(df.limit(0), targets, "doc_id", "source", "text", "tokens")
     assert empty[0].count() == 0 and mixing.source_report(*empty).count() == 4
+
+
+def test_the_solver_places_most_items():
+    rng = random.Random(3)
+    histogram = Counter(min(900, int(rng.lognormvariate(5, 0.7)) + 3) for _ in range(8000))
+    runs, left = packing.solved(dict(histogram), 2048)
+    assert left.sum() <= 0.2 * sum(histogram.values())
+    containers = sum(r for _, r in [*runs, *packing.greedy(left, 2048)])
+    assert sum(n * c for n, c in histogram.items()) / (containers * 2048) > 0.98
+
+
+def test_kept_shares(spark):
+    docs = [(k, s, f"{s}{k}", n) for k, (s, n) in enumerate([("a", 7)] * 30 + [("b", 5)] * 8 + [("b", 3)] * 5)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string, tokens long")
+    targets = spark.createDataFrame([("a", 0.3, 1), ("b", 0.5, 2), ("none", 0.2, 3)], "source string, target_share double, max_repeats int")
+    rows = {r.source: r for r in mixing.source_report(*mixing.mixture(df, targets, "doc_id", "source", "text", "tokens", keep=True)).collect()}
+    # b can give 2 x 55 = 110 tokens, which is 0.625 of the largest mixture: 176 tokens
+    assert (rows["a"].wanted_share, rows["b"].wanted_share, rows["none"].wanted_share) == (0.3 / 0.8, 0.5 / 0.8, 0.0)
+    assert rows["b"].reached_tokens == 110 and 66 - 7 < rows["a"].reached_tokens <= 66 and rows["none"].reached_tokens == 0
+
+
+def test_lists_with_invisible_characters_are_lists(spark):
+    rows = [("a", "Unit: Aba | Opening balance: 1.5"), ("b", "\ufeffOpening balance: 1.5 | Unit: ABA"), ("c", "Unit: Aba | Opening balance: 2.5"), ("d", "x" * 200 + ": 1; y: 2"), ("e", "Y: 2; " + "X" * 200 + ": 1")]
+    df = M.text_nodes(spark.createDataFrame(rows, "id string, t string"), "t")
+    kept = {r.id: r.kept_id for r in M.collapse(df, "id", F.col("__h"), F.col("__c")).collect()}
+    assert kept == {"a": "a", "b": "a", "c": "c", "d": "d", "e": "d"}

@@ -191,6 +191,66 @@ def test_residue_lines_are_learned_from_other_records(spark):
     assert got == {0, 1, 2, 3, 10}
 
 
+def test_residue_says_how_it_was_found(spark):
+    from vellumine.llm.template_residue import parts
+
+    clean = [f"The board met at {n} and adopted the plan.\nSamples were counted at {n} again." for n in ("Ivelle", "Nuvela", "Orruk")]
+    rows = list(enumerate(clean))
+    rows += [(10, "The board met at {{place}} and adopted the plan.")]
+    # a page template without any line of the fixed lists, and one of its lines in a report
+    rows += [(20 + k, f"Home > Files\nThe upstairs server closed session {k} early.\nHelp | Terms") for k in range(3)] + [(30, f"{clean[0]}\nThe upstairs server closed session 9 early.")]
+    rows += [(40, "Type the summary of sales here."), (41, "Type the summary of stock here."), (50, "Error 503: Service unavailable")]
+    # long pages and lines are templates too
+    rows += [(60 + k, "\n".join(["The request to the server failed and the session was closed " * 6 + "."] * 30) + f"\nRetry {k}.") for k in range(2)]
+    got = {r.i: r.how for r in parts(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()}
+    assert got == {10: "slot", 20: "page", 21: "page", 22: "page", 30: "page", 40: "line", 41: "line", 50: "single", 60: "page", 61: "page"}
+
+
+def test_a_slot_needs_both_sides_in_one_record(spark):
+    from vellumine.llm.template_residue import residue
+
+    # the words before the place stand in one clean record, those after it in another: no template has both
+    rows = [(1, "Fields such as {{name}} are filled by hand."), (2, "Fields such as rice were sown."), (3, "All forms are filled by hand."), (4, "Fields such as wheat were sown.")]
+    assert residue(spark.createDataFrame(rows, "i long, t string"), "i", "t").count() == 0
+    rows += [(5, "Fields such as dates are filled by hand."), (6, "Fields such as sums are filled by hand.")]
+    assert {r.i for r in residue(spark.createDataFrame(rows, "i long, t string"), "i", "t").collect()} == {1}
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 11])
+def test_neighbours_over_range_borders(spark, ranges):
+    from vellumine.llm.pair_defects import neighbours
+
+    rng = random.Random(ranges)
+    forms = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(40)})
+    tails = [(k, 3, "t", "".join(rng.choice("ab") for _ in range(rng.randint(1, 6)))) for k in range(60)]
+    kept = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = neighbours(spark.createDataFrame([(f,) for f in forms], "m string"), spark.createDataFrame(tails, "i int, n int, tail string, m string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept[0])
+        spark.conf.set("spark.sql.adaptive.enabled", kept[1])
+    assert len(rows) == 60
+    for r in rows:
+        assert r.below == max((f for f in forms if f <= r.m), default=None) and r.above == min((f for f in forms if f >= r.m), default=None)
+
+
+def test_truncation_comes_from_the_neighbours(spark):
+    from vellumine.llm.pair_defects import broken_off
+
+    whole = ["The board at Ivelle approved the plan for the plant.", "The samples from Orruk were counted twice by staff."]
+    cut = [(10, "The board at Nuvela approved the pl"), (11, "It rained. The samples from Quessa were counted twi"), (12, "Something else entirely was being said about")]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(whole)] + cut, "i int, a string")
+    assert {r.i for r in broken_off(df).collect()} == {10, 11}  # the third has no neighbour of its form
+
+
+def test_the_sample_is_cut_before_it_leaves_the_tasks(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("i"))
+    kept = L.hash_sample(rows, "i", 500, 20_000).count()
+    assert 500 <= kept <= 900 and L.hash_sample(rows.limit(300), "i", 500, 300).count() == 300
+
+
 def test_found_queries_against_sql(spark, data):
     duckdb = pytest.importorskip("duckdb")
     import os

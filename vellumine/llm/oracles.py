@@ -22,6 +22,16 @@ _IS_LIST = f"len({_PARTS}) >= 2 and len(list_filter({_PARTS}, lambda p: not (con
 _FORM = f"case when {_IS_LIST} then '{{' || array_to_string(list_sort(list_transform({_PARTS}, lambda p: {_canonical('split_part(p, chr(58), 1)')} || chr(1) || {_canonical('substr(p, instr(p, chr(58)) + 1)')})), chr(2)) else {_canonical('text')} end"
 
 
+# each page's site lines, as problem 3 states them
+_SITE_LINES = """
+    docs as (select source, count(distinct document_id) as n from pages where source is not null group by 1),
+    lines as (select distinct document_id, page_number, source, unnest(l) as t, generate_subscripts(l, 1) as line_no
+              from (select *, string_split(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\n]+', ' ', 'g'), chr(10)) as l from pages where source is not null)),
+    site as (select distinct document_id, page_number, line_no from lines join (
+              select source, trim(t) as t, count(distinct document_id) as c from lines where regexp_matches(t, '\\p{L}') group by all) k on k.source = lines.source and k.t = trim(lines.t)
+              join docs on docs.source = lines.source where c >= 4 and c >= 0.2 * n)"""
+
+
 def sql() -> dict[str, str]:
     return {
         "p1_found": "select distinct chunk_id from chunks where length(text) > 1800",
@@ -31,13 +41,14 @@ def sql() -> dict[str, str]:
               from (select distinct document_id, cite_id, support_score from citations)
               where document_id is not null and support_score is not null and not isnan(support_score))
             where place <= 3""",
-        "p3_found": """
-            with docs as (select source, count(distinct document_id) as n from pages where source is not null group by 1),
-            lines as (select distinct document_id, page_number, source, unnest(l) as t, generate_subscripts(l, 1) as line_no
-                      from (select *, string_split(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\n]+', ' ', 'g'), chr(10)) as l from pages where source is not null))
-            select distinct document_id, page_number, line_no from lines join (
-              select source, trim(t) as t, count(distinct document_id) as c from lines where regexp_matches(t, '\\p{L}') group by all) k on k.source = lines.source and k.t = trim(lines.t)
-            join docs on docs.source = lines.source where c >= 4 and c >= 0.2 * n""",
+        "p3_found": f"with {_SITE_LINES} select document_id, page_number, line_no from site",
+        "p3_pages": f"""
+            with {_SITE_LINES}, p as (select * from pages qualify row_number() over (partition by document_id, page_number) = 1),
+            gone as (select document_id, page_number, list(line_no) as g from site group by all)
+            select document_id, page_number, source, case when g is null then text else array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: not list_contains(g, i)), chr(10)) end as text
+            from p left join gone using (document_id, page_number)""",
+        "p7_copies": f"""
+            with c as (select distinct chunk_id as i, {_FORM} as f from chunks where text is not null) select min(i) as chunk_id, count(*) as copies from c group by f""",
         "p7_found": f"""
             with c as (select distinct chunk_id as i, {_FORM} as f from chunks where text is not null),
             s as (select distinct document_id as i, regexp_replace(lower(sha256), '[^\\p{{L}}\\p{{N}}]+', '', 'g') as f from document_status where sha256 is not null)

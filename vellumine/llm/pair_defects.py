@@ -111,7 +111,8 @@ def neighbours(forms: DataFrame, tails: DataFrame) -> DataFrame:
     down = Window.partitionBy("part").orderBy(F.desc("m"), F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     up = Window.partitionBy("part").orderBy("m", F.col("i").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     met = both.withColumn("above", F.last(form, ignorenulls=True).over(down)).withColumn("below", F.last(form, ignorenulls=True).over(up)).where("i is not null")
-    return met.join(F.broadcast(ends), "part").select("i", "n", "tail", "m", F.coalesce("above", "after").alias("above"), F.coalesce("below", "before").alias("below"))
+    met = met.join(F.broadcast(ends), "part").select("i", "n", "tail", "m", F.coalesce("above", "after").alias("above"), F.coalesce("below", "before").alias("below"))
+    return met.withColumn("above", F.when(F.col("below") == F.col("m"), F.col("m")).otherwise(F.col("above")))  # an equal form may lie in the range before
 
 
 def broken_off(answers: DataFrame, spike: int = 10) -> DataFrame:
