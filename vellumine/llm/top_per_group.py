@@ -6,7 +6,7 @@ the rows above every midpoint in one pre-aggregated pass, and keeps the interval
 are chosen, rows below it are dropped, only rows inside go on.  Where all scores of an interval are equal the round bisects
 the identifiers instead.  A round narrows an interval `fan`-fold (log2(fan) plain bisection steps), so a few rounds do
 whatever a group's size, and no group is ever sorted or held in one task: a hot group is only more counts, and its rows are
-spread over `salts` join keys.
+spread over `salts` join keys, counted from the largest group.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from vellumine.session import written
 
 _BITS = 0x7FFFFFFFFFFFFFFF
+_SALTED = 250_000
 
 
 def order_code(score: Column) -> Column:
@@ -34,25 +35,28 @@ def _midpoint(code: Column, lo: Column, hi: Column, fan: int) -> Column:
     return F.least(F.lit(fan - 1), F.when(span >= float(2**53), wide).otherwise(narrow)).cast("int")
 
 
-def top_per_group(df: DataFrame, group: str, score: str, ident: str, n: int, salts: int = 8, fan: int = 512) -> DataFrame:
+def top_per_group(df: DataFrame, group: str, score: str, ident: str, n: int, salts: int | None = None, fan: int = 512) -> DataFrame:
     """The `n` rows of the highest score of each group: columns `group`, `ident`, `score`.
 
     Equal scores go by the smaller `ident` (an integer).  A repeated `ident` counts once (of differing repeats the one with
     the highest score, then group).  Rows with a null group, null ident, or null or NaN score take no place; groups of fewer
     than `n` rows come out whole; an empty table gives an empty result.  Other columns of `df` are not looked at.
     """
-    if n < 1 or fan < 2 or salts < 1:
+    if n < 1 or fan < 2 or (salts is not None and salts < 1):
         raise ValueError("n and salts must be at least 1 and fan at least 2")
     value = F.col(score).cast("double")
     rows = df.select(F.col(group).alias("g"), F.col(ident).cast("long").alias("i"), value.alias("s"))
     rows = rows.where("g is not null and i is not null and s is not null and not isnan(s)")
     rows = rows.groupBy("i").agg(F.max(F.struct("s", "g")).alias("m")).select("m.g", "i", "m.s")
     # the identifier's code is mirrored (~i), so that a smaller one stands higher
-    rows = rows.select("g", "i", "s", order_code(F.col("s")).alias("c"), F.bitwise_not(F.col("i")).alias("d"), F.pmod(F.xxhash64("i"), F.lit(salts)).cast("int").alias("salt"))
+    rows = rows.select("g", "i", "s", order_code(F.col("s")).alias("c"), F.bitwise_not(F.col("i")).alias("d"))
     rows = written(rows.withColumn("b", F.lit(0)), "top-rows")
     ends = [F.count(F.lit(1)).alias("rows"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("d").alias("d0"), F.max("d").alias("d1")]
     # cut: the interval (bucket) of each group that holds its n-th row, and how many of its rows are still wanted
-    cut = rows.groupBy("g").agg(*ends).withColumn("need", F.lit(n).cast("long")).withColumn("at", F.lit(0))
+    cut = written(rows.groupBy("g").agg(*ends).withColumn("need", F.lit(n).cast("long")).withColumn("at", F.lit(0)), "top-cut")
+    if salts is None:  # so many that the largest group has about `_SALTED` rows for each
+        salts = max(1, -(-(cut.agg(F.max("rows")).first()[0] or 0) // _SALTED))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(salts)).cast("int"))
     chosen: list[DataFrame] = []
     while True:
         state = cut.select("g", "at", "need", (F.col("rows") <= F.col("need")).alias("whole"), (F.col("c0") == F.col("c1")).alias("tie"), "c0", "c1", "d0", "d1")
