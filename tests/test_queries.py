@@ -27,7 +27,7 @@ def test_imports_without_a_session():
     subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"], cwd=root, check=True)
 
 
-QUICK = ["tokenize_counts", "normalized_forms", "query_terms", "query_overlap", "text_quality", "detect_language", "should_denoise", "number_strings", "heading_lines", "vector_topk", "bm25_topk", "rank_fusion", "lexical_scores", "document_listing", "retrieval_recall", "stream_event_windows", "sections", "chunk_rows", "answer_support", "evidence_rescue_exact", "hybrid_full", "hybrid_by_document", "grounded_answers_exact", "validated_answers_exact", "calculations", "resolved_queries", "rate_limit_log", "stream_rate_limit", "upload_outcomes", "retry_outcomes", "denoised_pages", "retrieval_comparison", "answer_names", "numbers_match"]
+QUICK = ["tokenize_counts", "normalized_forms", "query_terms", "query_overlap", "text_quality", "detect_language", "should_denoise", "number_strings", "heading_lines", "vector_topk", "bm25_topk", "rank_fusion", "lexical_scores", "document_listing", "retrieval_recall", "stream_event_windows", "sections", "chunk_rows", "answer_support", "evidence_rescue_exact", "hybrid_full", "hybrid_by_document", "grounded_answers_exact", "validated_answers_exact", "calculations", "resolved_queries", "rate_limit_log", "stream_rate_limit", "upload_outcomes", "retry_outcomes", "denoised_pages", "retrieval_comparison", "answer_names", "numbers_match", "reranked_exact", "context_rows_exact", "extracted", "parsed_pages"]
 
 
 @pytest.mark.parametrize("name", QUICK)

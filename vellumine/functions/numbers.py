@@ -67,15 +67,16 @@ def names(answer: Column | str) -> Column:
     return F.array_distinct(F.concat(known, F.transform(F.filter(phrases(answer), lambda p: F.length(p) >= 4), citation_text)))
 
 
-def matched_numbers(numbers: Column, text: Column | str) -> Column:
-    """Numbers whose bare form stands in the text with separators removed (digits of neighbouring cells may join)."""
-    flat = F.regexp_replace(citation_text(text), f"[₹,%]|{SPACE}", "")
+def matched_numbers(numbers: Column, plain: Column | str) -> Column:
+    """Numbers whose bare form stands in a text (its citation_text) with separators removed (digits of neighbouring cells may join)."""
+    flat = F.regexp_replace(col(plain), f"[₹,%]|{SPACE}", "")
     met = let(flat, lambda t: F.array_distinct(F.filter(numbers, lambda n: (bare_number(n) != "") & F.contains(t, bare_number(n)))))
     return F.when(F.size(numbers) == 0, F.array().cast("array<string>")).otherwise(met)
 
 
-def matched_names(found: Column, text: Column | str) -> Column:
-    met = let(citation_text(text), lambda t: F.filter(found, lambda n: F.contains(t, n)))
+def matched_names(found: Column, plain: Column | str) -> Column:
+    """Names that stand in a text (its citation_text)."""
+    met = F.filter(found, lambda n: F.contains(col(plain), n))
     return F.when(F.size(found) == 0, F.array().cast("array<string>")).otherwise(met)
 
 

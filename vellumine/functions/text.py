@@ -127,9 +127,12 @@ def answer_terms(answer: Column | str) -> Column:
     return topic_tokens(answer, [*STOPWORDS, *UNITS])
 
 
-def query_overlap(query: Column | str, text: Column | str) -> Column:
-    """Share of the question's ASCII words (three letters or more) that the text has; 0 for a question without any."""
-    q, t = (F.array_distinct(F.regexp_extract_all(citation_text(c), F.lit("\\b[a-zA-Z]{3,}\\b"), F.lit(0))) for c in (query, text))
+def query_overlap(query: Column | str, text: Column | str, plain: Column | None = None) -> Column:
+    """Share of the question's ASCII words (three letters or more) that the text has; 0 for a question without any.
+
+    `plain`: the text's citation_text, where it is at hand.
+    """
+    q, t = (F.array_distinct(F.regexp_extract_all(c, F.lit("\\b[a-zA-Z]{3,}\\b"), F.lit(0))) for c in (citation_text(query), citation_text(text) if plain is None else plain))
     return F.when(F.size(q) == 0, 0.0).otherwise(F.size(F.array_intersect(q, t)) / F.size(q))
 
 

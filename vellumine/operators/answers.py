@@ -27,10 +27,11 @@ def support(pairs: DataFrame) -> DataFrame:
     The score is 1000 for each number, 100 for each name, 500 if there is any, and a thousandth of the query overlap.
     """
     rows = pairs.withColumn("wanted_numbers", answer_numbers("answer")).withColumn("wanted_names", names("answer"))
-    rows = rows.withColumn("numbers", matched_numbers(F.col("wanted_numbers"), "text")).withColumn("named", matched_names(F.col("wanted_names"), "text"))
+    rows = rows.withColumn("__plain", citation_text("text"))  # read by all three below
+    rows = rows.withColumn("numbers", matched_numbers(F.col("wanted_numbers"), "__plain")).withColumn("named", matched_names(F.col("wanted_names"), "__plain"))
     n = F.size("numbers") + F.size("named")
-    score = F.size("numbers") * 1000.0 + F.size("named") * 100.0 + F.when(n > 0, 500.0).otherwise(0.0) + 0.001 * query_overlap("query", "text")
-    return rows.withColumn("exact", n > 0).withColumn("support_score", F.round(score, 9))
+    score = F.size("numbers") * 1000.0 + F.size("named") * 100.0 + F.when(n > 0, 500.0).otherwise(0.0) + 0.001 * query_overlap("query", "text", F.col("__plain"))
+    return rows.withColumn("exact", n > 0).withColumn("support_score", F.round(score, 9)).drop("__plain")
 
 
 def _text_lines(text: Column) -> Column:

@@ -157,6 +157,28 @@ _HYBRID = f"(select *, other as rrf from {_merged(_FUSED, 'rrf', _rescue(), ('ve
 _EXPECTED = f"(select request_id as query_id, list(distinct page_number) as pages from (select request_id, unnest(list_transform(sources, lambda x: x.page_number)) as page_number from {RESPONSES} where request_id in (select query_id from {_ASKED})) where page_number is not null group by 1)"
 
 
+_LIGHT = _merged(_BM25, "s", _rescue())
+# the candidates with their evidence, reranked (rank 1 to 12) or not (null)
+_RERANKED = f"""cand as (select l.query_id, l.id, coalesce(l.rescue, 0) as rescue, coalesce(l.other, 0) as score, r.query, c.section, c.text from {_LIGHT} l join {REQUESTS} r on r.request_id = l.query_id join {CHUNKS} c on c.chunk_id = l.id),
+    ct as (select query_id, id, unnest(terms) as term, len(terms) as n from ({terms_sql('cand', 'query_id, id', 'query')})),
+    ck as (select distinct query_id, id, field, {bare('k')} as token from (select query_id, id, 'doc' as field, unnest({tokens(retrieval("coalesce(text, '')"))}) as k from cand union all select query_id, id, 'section', unnest({tokens(retrieval("coalesce(section, '')"))}) from cand)),
+    hit as (select distinct query_id, id, field, term, n from ct join ck using (query_id, id) where token != '' and {_exact('term', 'token')} >= 0.65),
+    ov as (select query_id, id, coalesce(sum(1.0::double / n) filter (field = 'doc'), 0) as d, coalesce(sum(1.0::double / n) filter (field = 'section'), 0) as s from hit group by 1, 2),
+    ph as (select query_id, id, sum(case when length(term) >= 5 and contains({retrieval("coalesce(text, '')")}, term) then 1.0::double / n else 0 end) as p from ct join cand using (query_id, id) group by 1, 2),
+    feat as (select *, round(least(1.0, greatest(d, s, p)), 9) as evidence, coalesce(list_sum(list_transform({topic('query', V.STOPWORDS)}, lambda t: case when list_contains({tokens(retrieval("coalesce(section, '')"))}, t) then 3.0 when list_contains({tokens(retrieval("coalesce(text, '')"))}, t) then 1.0 else 0.0 end)), 0.0)::double as lexical
+      from (select cand.*, coalesce(d, 0)::double as d, coalesce(s, 0)::double as s, coalesce(p, 0)::double as p from cand left join ov using (query_id, id) left join ph using (query_id, id))),
+    norm as (select *, evidence >= 0.65 as exact, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) when max(score) over w > 0 then 1.0 else 0.0 end as rn,
+      case when max(lexical) over w > min(lexical) over w then (lexical - min(lexical) over w) / (max(lexical) over w - min(lexical) over w) when max(lexical) over w > 0 then 1.0 else 0.0 end as ln from feat window w as (partition by query_id)),
+    fin as (select *, round(0.35 * rn + 0.20 * ln + 0.30 * evidence + 0.10 * least(rescue / 200, 1.0) + case when exact then 0.5 else 0.0 end, 9) as final from norm),
+    rer as (select *, row_number() over (partition by query_id order by exact desc, final desc, evidence desc, score desc, id) as rank from fin)"""
+# the reranked first, and the others with no final score and no norms of their own; exact ones count 0.90 at least
+_CONTEXT = f"""{_RERANKED}, pro as (select query_id, id, d, s, p, evidence, exact, rescue, case when rank <= 12 then score else 0 end as score, case when rank <= 12 then rn else 0 end as rn, case when rank <= 12 then ln else 0 end as ln, case when rank <= 12 then final else 0 end as final from rer),
+    pr2 as (select *, case when exact then greatest(final, 0.90) else final end as f2 from pro), pr3 as (select *, row_number() over (partition by query_id order by exact desc, f2 desc, evidence desc, score desc, id) as k from pr2),
+    rel as (select *, round(0.55 * evidence + 0.10 * s + 0.10 * p + 0.08 * ln + 0.10 * rn + 0.05 * least(rescue / 100, 1.0), 9) as relevance from pr3 where k <= 12 and (evidence >= 0.30 or rescue > 0 or exact)),
+    bst as (select *, max(relevance) over (partition by query_id) as best from rel),
+    con as (select *, row_number() over (partition by query_id order by relevance desc, evidence desc, exact desc, rn desc, ln desc, id) as rank from bst where relevance >= greatest(0.18, 0.35 * best))"""
+
+
 def _recall(found: str) -> str:
     return f"""(select count(*) as questions, sum(hit)::bigint as hits, round(avg(hit), 6) as recall from (select coalesce(list_has_any(pages, found), false)::int as hit from {_EXPECTED}
         left join (select query_id, list(distinct page_number) as found from {found} f join {CHUNKS} c on c.chunk_id = f.id where rank <= 10 group by 1) using (query_id)))"""
@@ -181,6 +203,29 @@ _LIMITED = f"""with recursive c as (select request_id, coalesce(nullif(client, '
       from (select c.client, c.n, c.s, c.request_id, list_filter(r.held, lambda h: h > c.s - 3600) as kept from r join c on c.client = r.client and c.n = r.n + 1))"""
 
 
+def _cleaned(x: str) -> str:
+    """A parsed page's text; of the composed characters only the fixed blank is spelled out, the only one the tables hold."""
+    return strip(f"regexp_replace(regexp_replace(translate(replace(coalesce({x}, ''), chr(160), ' '), '{V.ZERO_WIDTH}', ''), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', '\n\n', 'g')")
+
+
+def _detected(t: str) -> str:
+    t = f"translate({t}, '{V.ZERO_WIDTH}', '')"
+    dev, lat, letters = (f"{count(t, p)}" for p in ("[\\x{900}-\\x{97F}]", "\\p{Latin}", "\\p{L}"))
+    mar, hin = (f"len(list_intersect(list_distinct(regexp_extract_all({t}, '[\\x{{900}}-\\x{{97F}}]+')), {lst(h)}))" for h in (V.MARATHI_HINTS, V.HINDI_HINTS))
+    devanagari = f"case when {mar} > {hin} then 'mar' when {hin} > {mar} then 'hin' when regexp_matches({t}, '[{V.MARATHI_LETTERS}]') then 'mar' else 'hin' end"
+    return f"""case when {strip(t)} = '' then 'unknown' when {dev} / greatest(1, {letters}) < 0.15 and {lat} / greatest(1, {letters}) >= 0.5 then 'eng'
+        when {dev} / greatest(1, {letters}) >= 0.5 then {devanagari} when {dev} > 0 and {lat} > 0 then 'mixed' else 'unknown' end"""
+
+
+def _extracted(raw: str, scan: str) -> str:
+    """(keys, method, used, chosen) of pages: whether a scan is needed, which text is better, what is adopted."""
+    flat = strip(collapse("raw"))
+    return f"""(select *, case when used and raw = '' then 'scan' when used then 'native+scan' when raw != '' then 'native' else 'none' end as method, case when used then better else raw end as chosen from (
+        select *, needs and scan != '' and better != raw as used from (select *, length({flat}) < 80 or (coalesce(image_count, 0) > 0 and (length({flat}) < 900 or rq < 0.42)) as needs,
+          case when raw = '' then scan when scan = '' then raw when sq >= rq + 0.06 then scan when length({strip('raw')}) < 80 and length({strip('scan')}) > length({strip('raw')}) then scan else raw end as better
+          from (select *, {quality('raw')} as rq, {quality('scan')} as sq from (select page_id, document_id, page_number, image_count, {raw} as raw, {scan} as scan from {PAGES})))))"""
+
+
 def sql() -> dict[str, str]:
     clean = strip(f"regexp_replace(regexp_replace(translate(replace(coalesce(text, ''), chr(160), ' '), '{V.ZERO_WIDTH}', ''), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', '\n\n', 'g')")
     flat = strip(collapse("coalesce(text, '')"))
@@ -209,6 +254,10 @@ def sql() -> dict[str, str]:
             case when long and (ratio >= 0.08 or coalesce(c >= 0 and c < 55, false) or coalesce(ocr_used and apart >= 0.45 and c < 65, false)) then 'no restorer is configured' end as error, md5(cur) as digest
             from (select page_id, cur, ocr_used, ocr_confidence as c, length(cur) >= 80 as long, {corruption('cur')} as ratio, {corruption('cur')} as short_ratio, {disagreement('cur', 'alt')} as apart from (
               select page_id, ocr_used, ocr_confidence, case when {text} != '' then {text} else {other} end as cur, {other} as alt from {PAGES}))""",
+        "extracted": f"select page_id, method, used, {_detected('chosen')} as detected, length(chosen) as characters from {_extracted("coalesce(raw_text, '')", "coalesce(ocr_text, '')")}",
+        "parsed_pages": f"""select document_id, page_number, {_detected('final')} as language, method as extraction_method, used as ocr_used, length(final) as text_length, length(raw) as raw_text_length, false as denoised from (
+            select *, array_to_string(list_filter(string_split(kept, chr(10)), lambda x: not list_contains(['For and on behalf of the Board', 'This page is left blank on purpose.'], {strip('x')})), chr(10)) as final
+            from (select *, case when {strip('chosen')} != '' then {strip('chosen')} else {strip('scan')} end as kept from {_extracted(_cleaned('raw_text'), _cleaned('ocr_text'))}))""",
         "answer_numbers": f"select request_id, array_to_string(list_transform({_answer_numbers('answer')}, lambda n: {_bare('n')}), '|') as numbers from {RESPONSES} where answer is not null",
         "answer_names": f"select request_id, array_to_string({_names('answer')}, '|') as names from {RESPONSES} where answer is not null",
         "sections": f"with {_SECTIONS} select document_id, page_number, section_index, section, length(array_to_string(paras, chr(10))) as characters from sections",
@@ -222,6 +271,8 @@ def sql() -> dict[str, str]:
         "text_vectors": f"select query_id, id, round(distance, 6) as distance, rank from {_VECTORS}",
         "hybrid_full": f"select query_id, id, round(rescue, 4) as rescue, round(rrf, 9) as rrf, vector_rank, bm25_rank, matches, rank from {_HYBRID}",
         "hybrid_by_document": f"select query_id, id, round(rescue, 4) as rescue, round(other, 4) as bm25, rank from {_merged(_BM25_BY, 's', _rescue('document_id'))}",
+        "reranked_exact": f"with {_RERANKED} select query_id, id, round(final, 4) as score, exact, rank from rer where rank <= 12",
+        "context_rows_exact": f"with {_CONTEXT} select query_id, id, round(relevance, 6) as relevance, rank from con where rank <= 5",
         "dedupe_results": f"""select request_id as query_id, (i - 1)::int as rank, x.chunk_id as id from (select request_id, unnest(sources) as x, generate_subscripts(sources, 1) as i from {RESPONSES})
             qualify row_number() over (partition by request_id, coalesce(x.document_id, ''), x.chunk_id, case when coalesce(x.chunk_id, '') = '' then (x.page_number, x.section) end order by i) = 1""",
         "reranker_order": f"""select query_id, id, round(w, 6) as score, shown, row_number() over (partition by query_id order by w desc, id) as rank from (select query_id, id, least(0.35 * list_sum(list_transform({lst(V.PHRASES)}, lambda p: case when contains({strip(collapse("lower(coalesce(query, ''))"))}, p)

@@ -388,8 +388,8 @@ def reranker_order(s: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "id", F.round("combined_score", 6).alias("score"), "shown", "rank")
 
 
-def _candidates(s: SparkSession, d: str) -> DataFrame:
-    found = retrieval.hybrid(_asked(s, d), _corpus(s, d)).drop("rank")
+def _candidates(s: SparkSession, d: str, fuzzy: bool = True) -> DataFrame:
+    found = retrieval.hybrid(_asked(s, d), _corpus(s, d), fuzzy=fuzzy).drop("rank")
     return plugins.bm25_scores(found.join(_asked(s, d).select("query_id", "query"), "query_id").join(_corpus(s, d), "id"))
 
 
@@ -399,8 +399,21 @@ def reranked(s: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "id", F.round("final_score", 4).alias("score"), "exact", "rank")
 
 
-def _context(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.retrieve_evidence(_asked(s, d), _corpus(s, d), plugins.bm25_scores)
+@query
+def reranked_exact(s: SparkSession, d: str) -> DataFrame:
+    """As reranked, with equal and contained words only (which SQL can check)."""
+    out = retrieval.rerank(_candidates(s, d, fuzzy=False), fuzzy=False)
+    return out.select("query_id", "id", F.round("final_score", 4).alias("score"), "exact", "rank")
+
+
+def _context(s: SparkSession, d: str, fuzzy: bool = True) -> DataFrame:
+    return retrieval.retrieve_evidence(_asked(s, d), _corpus(s, d), plugins.bm25_scores, fuzzy=fuzzy)
+
+
+@query
+def context_rows_exact(s: SparkSession, d: str) -> DataFrame:
+    """As context_rows, with equal and contained words only (which SQL can check)."""
+    return _context(s, d, fuzzy=False).select("query_id", "id", F.round("relevance", 6).alias("relevance"), "rank")
 
 
 @query
