@@ -159,7 +159,7 @@ def _sql() -> dict[str, str]:
             select filename, regexp_replace(regexp_replace({strip("list_extract(string_split(replace(coalesce(filename, ''), chr(92), '/'), '/'), -1)")}, '[^A-Za-z0-9._()\\- ]+', '_', 'g'), ' +', ' ', 'g') as s from document_status))""",
         "content_hash": "select sha256(text) as sha256, min(doc_id) as kept_id, count(*) as copies from documents where text is not null group by 1",
         "number_strings": f"select request_id, array_to_string(list_transform(regexp_extract_all(answer, '{_SEP}({_NUM})', 1), lambda n: trim(n)), '|') as numbers from {RESPONSES} where answer is not null",
-        "page_lines": f"select document_id, page_number, count(*) as lines, sum((regexp_replace(x, '{SP}+', '', 'g') != '')::int) as filled from {_LINES} group by all",
+        "page_lines": f"select document_id, page_number, count(*) as lines, sum((regexp_replace(x, '{SP}+', '', 'g') != '')::int)::bigint as filled from {_LINES} group by all",
         "heading_lines": f"""select document_id, page_number, line_no, x as line from (select *, {strip(f"regexp_extract(x, '^\\p{{Nd}}+[.)]?{SP}+(.+)$', 1)")} as title from (select document_id, page_number, line_no, {strip(collapse('x'))} as x from {_LINES}))
             where x != '' and not {label} and case when regexp_matches(x, '^\\p{{Nd}}+[.)]?{SP}+.+$') then length(title) >= 3 and not {tlabel} and not regexp_matches(title, '^[\\p{{Nd}},.\\-()₹`]+$')
             else regexp_matches(x, '^[A-Z]\\.{SP}+[A-Za-z]') or (regexp_matches(x, '[\\p{{Lu}}\\p{{Lt}}]') and not regexp_matches(x, '\\p{{Ll}}') and len(string_split(x, ' ')) <= 10 and length(x) >= 4) end""",
@@ -190,7 +190,7 @@ def _sql() -> dict[str, str]:
         "incremental_index": f"select chunk_id, coalesce(nullif(source, ''), 'Unknown') as source, coalesce(nullif(section, ''), 'Unknown') as section, coalesce(page_number, 0) as page_number, coalesce(nullif(language, ''), 'unknown') as language from {CHUNKS} where chunk_id not in (select chunk_id from citations where chunk_id is not null)",
         "deleted_documents": f"select chunk_id, document_id from {CHUNKS} where document_id not in (select document_id from {latest} where status = 'failed')",
         "language_histogram": f"select language, count(*) as pages from {PAGES} group by 1",
-        "scan_summary": f"select document_id, count(*) as pages, sum(coalesce(ocr_used, false)::int) as ocr_used, sum(coalesce(denoised, false)::int) as denoised, round(coalesce(avg(ocr_confidence) filter (ocr_confidence >= 0), -1.0), 4) as confidence from {PAGES} group by 1",
+        "scan_summary": f"select document_id, count(*) as pages, sum(coalesce(ocr_used, false)::int)::bigint as ocr_used, sum(coalesce(denoised, false)::int)::bigint as denoised, round(coalesce(avg(ocr_confidence) filter (ocr_confidence >= 0), -1.0), 4) as confidence from {PAGES} group by 1",
         "rate_limit_bound": f"select request_id, count(*) over (partition by client order by floor(epoch(requested_at))::bigint range between 3599 preceding and current row) as recent from {REQUESTS}",
         "page_match": f"""select request_id, coalesce(list_has_any(list_transform(sources, lambda x: x.page_number), pages), false) as match from {RESPONSES} join (select document_id, list(distinct page_number) as pages from {PAGES} where ocr_used group by 1) using (document_id)""",
         "stream_event_windows": "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as events, round(sum(value), 4) as total from events group by all",
