@@ -79,3 +79,11 @@ def test_numbers(spark):
 def test_quality_bounds(spark):
     got = values(spark, X.text_quality("t"), "A good text of words", "����", "", None)
     assert got[0] > 0.8 and got[1:] == [0.0, 0.0, 0.0]
+
+
+def test_strip_takes_every_space_at_the_ends_without_a_pattern(spark):
+    cases = [None, "", "a", " \t\n", *[f"{c}a{c}b{c}{c}" for c in X.SPACES], "　 x\r\n", "​z ", "नम \n"]
+    rows = spark.createDataFrame([(c,) for c in cases], "x string")
+    want = F.regexp_replace("x", f"^{X.SPACE}+|{X.SPACE}+$", "")
+    assert all(r[0] == r[1] for r in rows.select(X.strip("x"), want).collect())
+    assert "regexp" not in str(X.strip("x"))
