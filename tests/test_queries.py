@@ -58,3 +58,17 @@ def test_streamed_chunks_equal_batched_ones(spark, data):
 def test_flagship(spark, data):
     rows = registry.flagship(spark, data)
     assert rows.columns == ["query_id", "answer", "score"] and rows.count() > 0
+
+
+@pytest.mark.parametrize("name", ["hybrid_full", "retrieval_comparison"])
+def test_fused_lists_read_the_texts_once(spark, data, name, monkeypatch):
+    reads = []
+
+    def corpus(s, d, corpus=registry._corpus):
+        reads.append(name)
+        return corpus(s, d)
+
+    monkeypatch.setattr(registry, "_corpus", corpus)
+    monkeypatch.setattr(registry, "_paged", lambda s, d, found: found.withColumn("page_number", registry.F.lit(1)))
+    registry.queries()[name](spark, data)
+    assert len(reads) == 1
