@@ -125,3 +125,13 @@ def test_evaluation(spark):
     found = spark.createDataFrame([(1, 1, 7), (1, 2, 8), (2, 1, 1)], "query_id long, rank int, page_number int")
     want = spark.createDataFrame([(1, [8]), (2, [5]), (3, [1])], "query_id long, pages array<int>")
     assert tuple(E.recall_at_k(found, want, 10).first()) == (3, 1, 0.333333)
+
+
+def test_extractive_answer_hands_on_no_sentences(spark):
+    """A text gives one row, its best sentence: its question's terms are worked out once, not for each sentence."""
+    long = " ".join(f"w{i}" for i in range(100)) + " profit growth"
+    rows = [(1, "a", "profit growth", "Profit fell. The growth of profit. Growth, profit."), (1, "b", "profit growth", "Profit growth."), (2, "c", "profit growth", None), (3, "d", None, "A b. C d."), (4, "e", "profit growth", long)]
+    out = answers.extractive_answer(spark.createDataFrame(rows, "query_id long, id string, query string, text string"))
+    assert "explode" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.query_id: (r.answer, r.score) for r in out.collect()}
+    assert got == {1: ("The growth of profit.", 1.0), 3: (answers.REFUSAL, 0.0), 4: (" ".join(long.split()[66:]), 1.0)}
