@@ -98,9 +98,12 @@ _ROUTE = "case when " + " or ".join(f"regexp_matches(lower(coalesce(query, '')),
 _VALIDATOR = "regexp_replace(translate(lower({}), '₹%,', ''), 'lakhs|lakh|crores|crore|million|billion', '', 'g')"
 
 
+_SOME = f"(select * from {REQUESTS} where request_id % 20 = 0)"  # what some queries ask with, where others ask with all
+
+
 def _rescue(by: str = "") -> str:
     """Evidence rescue by equal and contained words; with `by`, within each query's own document."""
-    asked = f"(select request_id, query, document_id from {REQUESTS} where request_id % 20 = 0{' and document_id is not null' if by else ''})"
+    asked = f"(select request_id, query, document_id from {REQUESTS} where request_id % 20 = 0 and document_id is not null)" if by else REQUESTS
     own = "and q.document_id = f.document_id" if by else ""
     return f"""(with q as (select request_id as query_id, document_id, terms from ({terms_sql(asked, 'request_id, document_id', 'query')}) where len(terms) > 0),
         qt as (select query_id, document_id, unnest(terms) as term, len(terms) as n from q),
@@ -117,10 +120,16 @@ def _rescue(by: str = "") -> str:
             row_number() over (partition by query_id order by score desc, id) as rank from sc qualify rank <= 10)"""
 
 
-_ASKED = f"(select request_id as query_id, {tokens('query')} as toks from {REQUESTS} where request_id % 20 = 0)"
-_BM25 = f"""(with q as (select query_id, token, count(*) as times from (select query_id, unnest(toks) as token from {_ASKED}) group by all), dl as (select chunk_id, coalesce({count('t', TOKEN)}, 0) as dl from {_DOCS}),
+def _asked(some: bool) -> str:
+    return f"(select request_id as query_id, {tokens('query')} as toks from {REQUESTS}{' where request_id % 20 = 0' if some else ''})"
+
+
+def _bm25(some: bool = False) -> str:
+    return f"""(with q as (select query_id, token, count(*) as times from (select query_id, unnest(toks) as token from {_asked(some)}) group by all), dl as (select chunk_id, coalesce({count('t', TOKEN)}, 0) as dl from {_DOCS}),
     s as (select query_id, chunk_id as id, round(sum(times * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * dl / (select avg(dl) from dl)))), 9) as s from q join {_WORDS} using (token) join {_TF} using (token) join dl using (chunk_id) group by all)
     select query_id, id, s, row_number() over (partition by query_id order by s desc, id) as rank from s qualify rank <= 15)"""
+
+
 # the same within each document, by its own counts
 _BM25_BY = f"""(with q as (select query_id, document_id, token, count(*) as times from (select request_id as query_id, document_id, unnest({tokens('query')}) as token from {REQUESTS} where request_id % 20 = 0 and document_id is not null) group by all),
     c as (select d.chunk_id, document_id, t from {_DOCS} d join {CHUNKS} using (chunk_id)),
@@ -138,12 +147,15 @@ def _hashed(x: str, keys: str, table: str) -> str:
 
 
 # both vectors have length 1, so the distance is 2 - 2 x their product; texts without a token have none
-_VECTORS = f"""(with q as {_hashed('query', 'request_id', f'(select * from {REQUESTS} where request_id % 20 = 0)')}, c as {_hashed('text', 'chunk_id', CHUNKS)},
+def _vectors(some: bool = False) -> str:
+    return f"""(with q as {_hashed('query', 'request_id', _SOME if some else REQUESTS)}, c as {_hashed('text', 'chunk_id', CHUNKS)},
     p as (select request_id as query_id, chunk_id as id, sum(q.v * c.v) as dot from q join c using (b) group by all),
     a as (select query_id, id, 2 - 2 * coalesce(dot, 0) as distance from (select distinct request_id as query_id from q) cross join (select distinct chunk_id as id from c) left join p using (query_id, id))
     select query_id, id, distance, row_number() over (partition by query_id order by round(distance, 12), id) as rank from a qualify rank <= 15)"""
+
+
 _FUSED = f"""(select query_id, id, (coalesce(1.0 / (60 + max(vr)), 0)::double + coalesce(1.0 / (60 + max(br)), 0)::double) as rrf, max(vr) as vector_rank, max(br) as bm25_rank
-    from (select query_id, id, rank as vr, null as br from {_VECTORS} union all select query_id, id, null, rank from {_BM25}) group by query_id, id qualify row_number() over (partition by query_id order by rrf desc, id) <= 15)"""
+    from (select query_id, id, rank as vr, null as br from {_vectors()} union all select query_id, id, null, rank from {_bm25()}) group by query_id, id qualify row_number() over (partition by query_id order by rrf desc, id) <= 15)"""
 
 
 def _merged(first: str, value: str, rescue: str, ranks: tuple[str, ...] = ()) -> str:
@@ -154,10 +166,13 @@ def _merged(first: str, value: str, rescue: str, ranks: tuple[str, ...] = ()) ->
 
 
 _HYBRID = f"(select *, other as rrf from {_merged(_FUSED, 'rrf', _rescue(), ('vector_rank', 'bm25_rank'))})"
-_EXPECTED = f"(select request_id as query_id, list(distinct page_number) as pages from (select request_id, unnest(list_transform(sources, lambda x: x.page_number)) as page_number from {RESPONSES} where request_id in (select query_id from {_ASKED})) where page_number is not null group by 1)"
 
 
-_LIGHT = _merged(_BM25, "s", _rescue())
+def _expected(some: bool) -> str:
+    return f"(select request_id as query_id, list(distinct page_number) as pages from (select request_id, unnest(list_transform(sources, lambda x: x.page_number)) as page_number from {RESPONSES} where request_id in (select query_id from {_asked(some)})) where page_number is not null group by 1)"
+
+
+_LIGHT = _merged(_bm25(), "s", _rescue())
 # the candidates with their evidence, reranked (rank 1 to 12) or not (null)
 _RERANKED = f"""cand as (select l.query_id, l.id, coalesce(l.rescue, 0) as rescue, coalesce(l.other, 0) as score, r.query, c.section, c.text from {_LIGHT} l join {REQUESTS} r on r.request_id = l.query_id join {CHUNKS} c on c.chunk_id = l.id),
     ct as (select query_id, id, unnest(terms) as term, len(terms) as n from ({terms_sql('cand', 'query_id, id', 'query')})),
@@ -179,8 +194,8 @@ _CONTEXT = f"""{_RERANKED}, pro as (select query_id, id, d, s, p, evidence, exac
     con as (select *, row_number() over (partition by query_id order by relevance desc, evidence desc, exact desc, rn desc, ln desc, id) as rank from bst where relevance >= greatest(0.18, 0.35 * best))"""
 
 
-def _recall(found: str) -> str:
-    return f"""(select count(*) as questions, sum(hit)::bigint as hits, round(avg(hit), 6) as recall from (select coalesce(list_has_any(pages, found), false)::int as hit from {_EXPECTED}
+def _recall(found: str, some: bool = False) -> str:
+    return f"""(select count(*) as questions, sum(hit)::bigint as hits, round(avg(hit), 6) as recall from (select coalesce(list_has_any(pages, found), false)::int as hit from {_expected(some)}
         left join (select query_id, list(distinct page_number) as found from {found} f join {CHUNKS} c on c.chunk_id = f.id where rank <= 10 group by 1) using (query_id)))"""
 
 
@@ -268,7 +283,7 @@ def sql() -> dict[str, str]:
             from (select query_id, id, len(list_distinct(list_filter({_answer_numbers('answer')}, lambda v: {_bare('v')} != '' and contains({flat_number}, {_bare('v')})))) as n, len(list_filter({_names('answer')}, lambda v: contains({citation('text')}, v))) as m,
             {words3.format(citation('query'))} as qw, {words3.format(citation('text'))} as tw from {_EVIDENCE})""",
         "evidence_rescue_exact": f"select query_id, id, round(score, 4) as score, matches, rank from {_rescue()}",
-        "text_vectors": f"select query_id, id, round(distance, 6) as distance, rank from {_VECTORS}",
+        "text_vectors": f"select query_id, id, round(distance, 6) as distance, rank from {_vectors(some=True)}",
         "hybrid_full": f"select query_id, id, round(rescue, 4) as rescue, round(rrf, 9) as rrf, vector_rank, bm25_rank, matches, rank from {_HYBRID}",
         "hybrid_by_document": f"select query_id, id, round(rescue, 4) as rescue, round(other, 4) as bm25, rank from {_merged(_BM25_BY, 's', _rescue('document_id'))}",
         "reranked_exact": f"with {_RERANKED} select query_id, id, round(final, 4) as score, exact, rank from rer where rank <= 12",
@@ -303,8 +318,8 @@ def sql() -> dict[str, str]:
             case when p.document_id is null then error end as error from {LATEST} l full join (select document_id, count(*) as n from {PAGES} group by 1) p on p.document_id = l.document_id""",
         "retry_outcomes": f"""select document_id, case when status is null then 'not found' when status != 'failed' then 'not failed' when coalesce(storage_filename, '') = '' or storage_filename not in (select storage_filename from {LATEST} where document_id in (select document_id from chunks where document_id is not null) and storage_filename is not null)
             then 'file missing' else 'processing' end as outcome from (select document_id from pages union select document_id from {LATEST}) left join {LATEST} using (document_id)""",
-        "retrieval_recall": f"select * from {_recall(_BM25)}",
-        "retrieval_comparison": " union all ".join(f"select '{n}' as method, * from {_recall(t)}" for n, t in (("vector", _VECTORS), ("bm25", _BM25), ("hybrid", _HYBRID))),
+        "retrieval_recall": f"select * from {_recall(_bm25(some=True), some=True)}",
+        "retrieval_comparison": " union all ".join(f"select '{n}' as method, * from {_recall(t)}" for n, t in (("vector", _vectors()), ("bm25", _bm25()), ("hybrid", _HYBRID))),
         "numbers_match": f'{_MATCHED} select request_id, "match"::varchar as "match" from m',
         "answer_match": f"""{_MATCHED}, p as (select *, {_PARTS} as parts from {ANSWERED} where query is not null), t as (select request_id, query, {_TEXT_MATCH} as text from p)
             select request_id, text, case when coalesce(query, '') = '' then null else coalesce("match", false) or coalesce(text, false) end as "match" from t join m using (request_id)""",
