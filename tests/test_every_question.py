@@ -40,7 +40,7 @@ def asked(spark, folder, name):
     return set(by)
 
 
-@pytest.mark.parametrize("name", ["evidence_rescue_exact", "reranked_exact", "context_rows_exact"])
+@pytest.mark.parametrize("name", ["evidence_rescue_exact", "hybrid_full", "reranked_exact", "context_rows_exact"])
 def test_every_question_is_asked(spark, folder, name):
     assert asked(spark, folder, name) == FOUND
 
@@ -55,7 +55,7 @@ def test_every_question_is_rated(spark, folder, name):
     assert {r[] for r in registry.queries()[name](spark, folder).collect()} == {4}
 
 
-@pytest.mark.parametrize("name", ["evidence_rescue_exact", "reranked_exact", "context_rows_exact"])
+@pytest.mark.parametrize("name", ["evidence_rescue_exact", "hybrid_full", "reranked_exact", "context_rows_exact"])
 def test_sql_asks_every_question(name):
     assert "request_id %" not in oracles.sql()[name]
 
