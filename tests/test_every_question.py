@@ -50,12 +50,12 @@ def test_every_question_is_answered(spark, folder, name):
     assert asked(spark, folder, name) == FOUND | {21}
 
 
-@pytest.mark.parametrize("name", [])
+@pytest.mark.parametrize("name", ["retrieval_comparison"])
 def test_every_question_is_rated(spark, folder, name):
     assert {r[] for r in registry.queries()[name](spark, folder).collect()} == {4}
 
 
-@pytest.mark.parametrize("name", ["evidence_rescue_exact", "hybrid_full", "reranked_exact", "context_rows_exact"])
+@pytest.mark.parametrize("name", ["evidence_rescue_exact", "hybrid_full", "reranked_exact", "context_rows_exact", "retrieval_comparison"])
 def test_sql_asks_every_question(name):
     assert "request_id %" not in oracles.sql()[name]
 
