@@ -40,7 +40,7 @@ def asked(spark, folder, name):
     return set(by)
 
 
-@pytest.mark.parametrize("name", ["evidence_rescue_exact", "evidence_rescue", "hybrid_full", "reranked_exact", "context_rows_exact"])
+@pytest.mark.parametrize("name", ["evidence_rescue_exact", "evidence_rescue", "hybrid_light", "hybrid_full", "reranked_exact", "context_rows_exact"])
 def test_every_question_is_asked(spark, folder, name):
     assert asked(spark, folder, name) == FOUND
 
