@@ -40,7 +40,7 @@ def asked(spark, folder, name):
     return set(by)
 
 
-@pytest.mark.parametrize("name", ["evidence_rescue_exact", "evidence_rescue", "hybrid_light", "hybrid_full", "hybrid_fused", "reranked_exact", "reranked", "context_rows_exact", "context_rows", "context_text", "serialized_sources"])
+@pytest.mark.parametrize("name", ["evidence_rescue_exact", "evidence_rescue", "hybrid_light", "hybrid_full", "hybrid_fused", "reranked_exact", "reranked", "context_rows_exact", "context_rows", "context_text", "serialized_sources", "extractive_answers"])
 def test_every_question_is_asked(spark, folder, name):
     assert asked(spark, folder, name) == FOUND
 
