@@ -50,7 +50,7 @@ def test_every_question_is_answered(spark, folder, name):
     assert asked(spark, folder, name) == FOUND | {21}
 
 
-@pytest.mark.parametrize("name", ["retrieval_comparison"])
+@pytest.mark.parametrize("name", ["answer_rates", "retrieval_comparison"])
 def test_every_question_is_rated(spark, folder, name):
     assert {r[] for r in registry.queries()[name](spark, folder).collect()} == {4}
 
