@@ -45,7 +45,7 @@ def test_every_question_is_asked(spark, folder, name):
     assert asked(spark, folder, name) == FOUND
 
 
-@pytest.mark.parametrize("name", ["generated_answers", "asked_questions"])
+@pytest.mark.parametrize("name", ["generated_answers", "asked_questions", "agent_run"])
 def test_every_question_is_answered(spark, folder, name):
     assert asked(spark, folder, name) == FOUND | {21}
 
