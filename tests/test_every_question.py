@@ -35,7 +35,7 @@ def asked(spark, folder, name):
     rows = registry.queries()[name](spark, folder).collect()
     by = {}
     for r in rows:
-        by.setdefault(r[], []).append(tuple(v for c, v in sorted(r.asDict().items()) if c != "query_id"))
+        by.setdefault(r["query_id"], []).append(tuple(v for c, v in sorted(r.asDict().items()) if c != "query_id"))
     assert sorted(by.get(1, []), key=str) == sorted(by.get(20, []), key=str) == sorted(by.get(23, []), key=str)  # equal texts, equal rows
     return set(by)
 
@@ -52,7 +52,7 @@ def test_every_question_is_answered(spark, folder, name):
 
 @pytest.mark.parametrize("name", ["answer_rates", "retrieval_comparison"])
 def test_every_question_is_rated(spark, folder, name):
-    assert {r[] for r in registry.queries()[name](spark, folder).collect()} == {4}
+    assert {r["questions"] for r in registry.queries()[name](spark, folder).collect()} == {4}
 
 
 @pytest.mark.parametrize("name", ["evidence_rescue_exact", "hybrid_full", "reranked_exact", "context_rows_exact", "retrieval_comparison"])
@@ -82,4 +82,4 @@ def test_shares_are_shown_by_their_binary_value(spark):
 def test_five_of_eight_terms(spark):
     asked = spark.createDataFrame([(1, "alpha bravo charlie delta echo foxtrot golf hotel")], "query_id long, query string")
     chunks = spark.createDataFrame([("a", "alpha bravo charlie delta echo", "Notes")], "id string, text string, section string")
-    assert retrieval.evidence_rescue(asked, chunks, fuzzy=False).first()[][0] == "term_overlap:0.62"
+    assert retrieval.evidence_rescue(asked, chunks, fuzzy=False).first()["matches"][0] == "term_overlap:0.62"
